@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm import chat, mixing, simhash, token_files
+from chainweave.llm import chat, decontaminate, language, mixing, simhash, token_files, topk
 from chainweave.plans.lineage import scratch_path
 
 
@@ -19,6 +19,15 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
+    return topk.topk(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -40,12 +49,30 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out)
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from the labelled documents that are not held out."""
+    return language.fit(docs.where(~F.coalesce(held_out(), F.lit(False))).select("doc_id", "text", "lang"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language_model(docs))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
+        "op1_topk": op1_topk,
+        "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op5_chat_windows": op5_chat_windows,
         "op7_mix_sources": op7_mix_sources,
         "op9_token_files": op9_token_files,
+        "op10_language": op10_language,
     }
 
 
