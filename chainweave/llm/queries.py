@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm import chat, decontaminate, language, mixing, simhash, token_files, topk
+from chainweave.llm import chat, decontaminate, language, mixing, personal, simhash, token_files, topk, url_rules
 from chainweave.plans.lineage import scratch_path
 
 
@@ -39,10 +39,20 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_windows(chat.format_windows(turns))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal.find(docs, personal.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), out, tokenizer_file())
@@ -70,7 +80,9 @@ def queries() -> dict:
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op5_chat_windows": op5_chat_windows,
+        "op6_url_rules": op6_url_rules,
         "op7_mix_sources": op7_mix_sources,
+        "op8_personal": op8_personal,
         "op9_token_files": op9_token_files,
         "op10_language": op10_language,
     }
