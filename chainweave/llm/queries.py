@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm import chat, decontaminate, language, mixing, personal, simhash, token_files, topk, url_rules
+from chainweave.llm import chat, decontaminate, language, mixing, personal, repeats, simhash, token_files, topk, url_rules
 from chainweave.plans.lineage import scratch_path
 
 
@@ -32,6 +32,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op1_topk": op1_topk,
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
+        "op4_repeats": op4_repeats,
         "op5_chat_windows": op5_chat_windows,
         "op6_url_rules": op6_url_rules,
         "op7_mix_sources": op7_mix_sources,
