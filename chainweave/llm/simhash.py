@@ -5,10 +5,15 @@ Fingerprint: lower-case A-Z, cut at ASCII white space, XXH64 (seed 42) of each
 Fingerprints differing in at most ``radius`` bits are linked; a document's
 component is the smallest doc_id reachable.
 
+``near_duplicates`` is the same search for copies with edits: it probes with a
+fingerprint of distinct words and a larger radius and verifies links with a
+256-bit fingerprint of five-word shingles, at the distance that a similarity
+(Jaccard) of ``similarity`` gives on average.
+
 Search (exact): bits are grouped so that correlated bits share a part (greedy on
 the bit covariance over all fingerprints); thresholds t_i >= -1 with
 sum(t_i) = radius - parts + 1 are allotted by dynamic programming on candidate
-counts estimated from the same statistics. Any two fingerprints within the
+counts estimated from the same statistics (as is the number of parts). Any two fingerprints within the
 radius agree within t_i bits on some part i, so each fingerprint is filed under
 its part's value and, for t_i > 0, under all values within t_i bits; only
 fingerprints filed under one key are compared. Work is on distinct fingerprints.
@@ -24,6 +29,7 @@ columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +40,9 @@ from pyspark.sql import functions as F
 from chainweave.plans.components import connected_components
 from chainweave.plans.lineage import written
 
-PARTS = 3
 BUCKET = 4096
+WIDE = 4  # 64-bit words of a verifying fingerprint
+FILE_COST = 500.0  # of filing a fingerprint under a key, in comparisons
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -50,23 +57,46 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         hashes = [h(b" ".join(words), 42)]
     else:
         hashes = [h(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)))]
-    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
-    for lo in range(0, n, 1 << 16):
-        a = np.array(hashes[lo:lo + (1 << 16)], dtype="<u8")
-        ones += np.unpackbits(a.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(_majority(np.array(hashes, dtype="<u8"))[0])
+
+
+def edit_fingerprints(text: str | None) -> tuple[int, bytes]:
+    """(64-bit SimHash of the distinct words, 256-bit SimHash of the five-word shingles) of a text, lower-cased, without ASCII punctuation."""
+    from chainweave.llm.decontaminate import masked, word_hashes
+
+    words = word_hashes(text)
+    if not len(words):
+        return 0, bytes(8 * WIDE)
+    shingles = masked(words, "1" * min(5, len(words)))
+    return int(_majority(np.unique(words))[0]), b"".join(_majority(_spread(shingles, k)).tobytes() for k in range(WIDE))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def _spread(x: np.ndarray, k: int) -> np.ndarray:
+    x = x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(s))) * np.uint64(m)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        a = np.ascontiguousarray(hashes[lo:lo + (1 << 16)]).view("u1").reshape(-1, 8)
+        ones += np.unpackbits(a, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprints(docs: DataFrame, edits: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long), wide (the verifying fingerprint, empty without ``edits``)."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in b.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = [edit_fingerprints(x.as_py()) if edits else (fingerprint(x.as_py()), b"") for x in b.column("text")]
+            own = np.array([f for f, _ in fps], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own), pa.array([w for _, w in fps], pa.binary())], names=["doc_id", "fp", "wide"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+        run, "doc_id long, fp long, wide binary")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -126,8 +156,8 @@ def estimated_candidates(n: int, ones: np.ndarray, cov: np.ndarray, part: list[i
     return float(n) ** 2 * min(1.0, agree * total)
 
 
-def allot(costs: list[list[float]], radius: int) -> list[int]:
-    """Thresholds (index - 1 into each cost row) with sum radius - parts + 1 and the least total cost."""
+def allot(costs: list[list[float]], radius: int) -> tuple[float, list[int]] | None:
+    """(total cost, thresholds): thresholds (index - 1 into each cost row) with sum radius - parts + 1 and the least total cost."""
     goal, best = radius - len(costs) + 1, {0: (0.0, [])}
     for row in costs:
         nxt: dict = {}
@@ -137,7 +167,24 @@ def allot(costs: list[list[float]], radius: int) -> list[int]:
                 if key not in nxt or new < nxt[key]:
                     nxt[key] = new
         best = nxt
-    return best[goal][1]
+    return best.get(goal)
+
+
+def plan(n: int, ones: np.ndarray, cov: np.ndarray, bits: list[int], radius: int) -> tuple[list[list[int]], list[int]]:
+    """Parts of ``bits`` and their thresholds, with the least estimated cost of filing and comparing."""
+    best = None
+    for parts in range(max(2, (radius + 3) // 3), radius + 3):
+        groups = [g for g in group_bits(ones, cov, bits, parts) if g]
+        if len(groups) < parts:
+            break
+        costs = []
+        for g in groups:
+            keys = np.cumsum([math.comb(len(g), t) for t in range(min(2, radius, len(g)) + 1)])
+            costs.append([0.0, *(FILE_COST * n * k + estimated_candidates(n, ones, cov, g, t) for t, k in enumerate(keys.tolist()))])
+        found = allot(costs, radius)
+        if found and (best is None or found[0] < best[0]):
+            best = (found[0], groups, found[1])
+    return best[1], best[2]
 
 
 def _gather(fps: np.ndarray, part: list[int]) -> np.ndarray:
@@ -156,7 +203,7 @@ def _mix(level: int, i: int, before: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def filed(fps: DataFrame, parts: list[list[int]], ts: list[int], level: int) -> DataFrame:
-    """fps(key0, fp, rep) -> one row per key that a fingerprint is filed under."""
+    """fps(key0, fp, wide, rep) -> one row per key that a fingerprint is filed under."""
 
     def run(batches):
         for b in batches:
@@ -169,92 +216,149 @@ def filed(fps: DataFrame, parts: list[list[int]], ts: list[int], level: int) ->
                 for flips in (c for r in range(t + 1) for c in combinations(range(len(part)), r)):
                     mask = np.uint64(sum(1 << f for f in flips))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_mix(level, i, k0, v ^ mask).view(np.int64)), pa.array(fp), pa.array(rep), pa.array(np.full(len(fp), i, np.int32))],
-                        names=["key", "fp", "rep", "via"])
-
-    return fps.mapInArrow(run, "key long, fp long, rep long, via int")
-
-
-def _roots(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the index of the one it was reached from first (breadth first); no pairs are kept."""
-    n = len(fps)
-    root, todo = np.arange(n), np.arange(n)
-    while len(todo):
-        seed, todo = todo[0], todo[1:]
-        front = np.array([seed])
-        while len(front) and len(todo):
-            near = np.zeros(len(todo), dtype=bool)
-            for lo in range(0, len(front), 256):
-                near |= (np.bitwise_count(fps[front[lo:lo + 256], None] ^ fps[None, todo]) <= radius).any(axis=0)
-            front, todo = todo[near], todo[~near]
-            root[front] = seed
-    return root
-
-
-def spanning_links(keyed: DataFrame, radius: int, width: int) -> DataFrame:
-    """src, dst: links that connect, key by key, what is within the radius there."""
-
-    def links(key, fp, rep):
-        src, dst = [], []
+                        [pa.array(_mix(level, i, k0, v ^ mask).view(np.int64)), pa.array(fp), b.column("wide"), pa.array(rep),
+                         pa.array(np.full(len(fp), i, np.int32))], names=["key", "fp", "wide", "rep", "via"])
+
+    return fps.mapInArrow(run, "key long, fp long, wide binary, rep long, via int")
+
+
+class Near:
+    """Which fingerprints are linked: within the radius, and within the wide radius where there is a wide fingerprint."""
+
+    def __init__(self, fps: np.ndarray, wide: np.ndarray | None, radius: int, wide_radius: int):
+        self.fps, self.wide, self.radius, self.wide_radius = fps, wide, radius, wide_radius
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each place whether fingerprints a and b (indices) are linked."""
+        hit = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= self.radius
+        if self.wide is not None:
+            at = np.flatnonzero(hit)
+            hit[at] = np.bitwise_count(self.wide[a[at]] ^ self.wide[b[at]]).sum(axis=1) <= self.wide_radius
+        return hit
+
+    def block(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs (places in a, places in b) of all fingerprints a with all b."""
+        x, y = np.nonzero(np.bitwise_count(self.fps[a][:, None] ^ self.fps[b][None, :]) <= self.radius)
+        if self.wide is not None and len(x):
+            ok = np.concatenate([np.bitwise_count(self.wide[a[x[i:i + 65536]]] ^ self.wide[b[y[i:i + 65536]]]).sum(axis=1) <= self.wide_radius
+                                 for i in range(0, len(x), 65536)])
+            x, y = x[ok], y[ok]
+        return x, y
+
+    def spanning(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect ``at`` as all its links do, at most one for each fingerprint: from the first one met, breadth first.
+
+        Most have no neighbour, so neighbours are counted first, in blocks.
+        """
+        n, src, dst = len(at), [], []
+        degree = np.zeros(n, dtype=np.int64)
+        few = []
+        for lo in range(0, n, 256):
+            x, y = self.block(at[lo:lo + 256], at)
+            own = x + lo != y
+            degree += np.bincount(y[own], minlength=n)
+            few.append((x[own] + lo, y[own]))
+            if sum(len(f[0]) for f in few) > 8 * n:
+                few = None
+                break
+        if few is not None:
+            x, y = (np.concatenate(c) for c in zip(*few))
+            return at[x[x < y]], at[y[x < y]]
+        todo = np.arange(n)
+        while len(todo):
+            seed, front, todo = todo[0], todo[:1], todo[1:]
+            while len(front) and len(todo):
+                near = np.zeros(len(todo), dtype=bool)
+                for lo in range(0, len(front), 256):
+                    left = np.flatnonzero(~near)
+                    if len(left):
+                        near[left[np.unique(self.block(at[front[lo:lo + 256]], at[todo[left]])[1])]] = True
+                front, todo = todo[near], todo[~near]
+                src.append(np.full(len(front), at[seed]))
+                dst.append(at[front])
+        return (np.concatenate(src), np.concatenate(dst)) if src else (at[:0], at[:0])
+
+
+def spanning_links(keyed: DataFrame, radius: int, wide_radius: int, width: int) -> DataFrame:
+    """src, dst: links that connect, key by key, what is linked there."""
+
+    def links(key, fp, wide, rep):
+        near = Near(fp.view(np.uint64), np.frombuffer(b"".join(wide), "<u8").reshape(len(fp), -1) if len(fp) and wide[0] else None, radius, wide_radius)
+        src, dst, places = [], [], np.arange(len(key))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        small = np.repeat(sizes <= 32, sizes)
-        for k in range(1, min(32, len(key))):
-            hit = np.flatnonzero((key[k:] == key[:-k]) & small[k:] & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= radius))
-            if not len(hit) and not (sizes > k).any():
+        small = np.repeat(sizes <= 24, sizes)
+        for k in range(1, min(24, len(key))):
+            if not (sizes > k).any():
                 break
-            src.append(rep[hit])
-            dst.append(rep[hit + k])
-        for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
-            root = _roots(fp[s:s + n], radius)
-            own = np.flatnonzero(root != np.arange(n))
-            src.append(rep[s + own])
-            dst.append(rep[s + root[own]])
-        return np.concatenate(src) if src else rep[:0], np.concatenate(dst) if dst else rep[:0]
+            a = np.flatnonzero((key[k:] == key[:-k]) & small[k:])
+            a = a[near.pairs(a, a + k)]
+            src.append(a)
+            dst.append(a + k)
+        for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
+            x, y = near.spanning(places[s:s + n])
+            src.append(x)
+            dst.append(y)
+        src, dst = (rep[np.concatenate(c)] if c else rep[:0] for c in (src, dst))
+        return pa.RecordBatch.from_arrays([pa.array(src[src != dst]), pa.array(dst[src != dst])], names=["src", "dst"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)]
         for b in batches:
-            rows = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp", "rep"))]
+            new = [b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False),
+                   b.column("wide").to_pylist(), b.column("rep").to_numpy(zero_copy_only=False)]
+            rows = [h + x if isinstance(h, list) else np.concatenate([h, x]) for h, x in zip(held, new)]
             if not len(rows[0]):
                 continue
             cut = np.searchsorted(rows[0], rows[0][-1])  # the last key may go on in the next batch
             held = [r[cut:] for r in rows]
             if cut:
-                s, d = links(rows[0][:cut], rows[1][:cut].view(np.uint64), rows[2][:cut])
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d)], names=["src", "dst"])
-        s, d = links(held[0], held[1].view(np.uint64), held[2])
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d)], names=["src", "dst"])
+                yield links(*(r[:cut] for r in rows))
+        yield links(*held)
 
-    return (keyed.select("key", "fp", "rep").repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long"))
+    return keyed.select("key", "fp", "wide", "rep").repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 2, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
-    spark = docs.sparkSession
+def components(rows: DataFrame, radius: int, wide_radius: int, bucket: int) -> DataFrame:
+    """rows(doc_id, fp, wide) -> doc_id, fp, component_id; ``rows`` is a written table."""
+    spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(fingerprints(docs), "simhash-fp")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-distinct")
+    fps = written(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-distinct")
     n, ones, cov = bit_statistics(fps)
-    links, work = [], [(fps.select(F.lit(0).cast("long").alias("key0"), "fp", "rep"), list(range(64)), 0)]
+    links, work = [], [(fps.select(F.lit(0).cast("long").alias("key0"), "fp", "wide", "rep"), list(range(64)), 0)]
     while work:
         todo, free, level = work.pop()
-        groups = group_bits(ones, cov, free, parts)
-        most = radius if level == 0 else 0  # below the first level the parts are short
-        costs = [[estimated_candidates(n, ones, cov, g, t) for t in range(-1, min(most, len(g)) + 1)] for g in groups]
-        keyed = filed(todo, groups, allot(costs, radius), level)
-        if level < 2:
+        groups, thresholds = plan(n, ones, cov, free, radius)
+        keyed = filed(todo, groups, thresholds, level)
+        if level < 2 and len(free) > 32:
             big = written(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"), "simhash-big")
             if not big.isEmpty():
-                over = keyed.join(big, "key").select(F.col("key").alias("key0"), "fp", "rep", "via")
+                over = keyed.join(big, "key").select(F.col("key").alias("key0"), "fp", "wide", "rep", "via")
                 for i, g in enumerate(groups):
-                    work.append((over.where(F.col("via") == i).drop("via"), [x for x in free if x not in g], level + 1))
+                    if thresholds[i] >= 0:
+                        work.append((over.where(F.col("via") == i).drop("via"), [x for x in free if x not in g], level + 1))
                 keyed = keyed.join(big, "key", "left_anti")
-        links.append(spanning_links(keyed, radius, width))
+        links.append(spanning_links(keyed, radius, wide_radius, width))
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)
     found = connected_components(edges)
-    reached = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(reached, "fp", "left").select(
+    reached = fps.join(found, fps.rep == found.node, "left").select("fp", "wide", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(reached, ["fp", "wide"], "left").select("doc_id", "fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
+    rows = written(fingerprints(docs), "simhash-fp")
+    return components(rows, radius, 0, bucket).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 8, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, component_id for every row of ``docs``: texts whose five-word shingles are about ``similarity`` alike are linked."""
+    cosine = 2 * similarity / (1 + similarity)
+    bits = 64 * WIDE
+    share = math.acos(cosine) / math.pi
+    rows = written(fingerprints(docs, edits=True), "simhash-fp")
+    # the mean distance at that similarity and one and a half standard deviations
+    return components(rows, radius, round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share))), bucket).select("doc_id", "component_id")
