@@ -2,10 +2,639 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainweave.functions import sequences as seq
+from chainweave.functions import values
+from chainweave.operators import clonotypes as ct
+from chainweave.operators import counting, distances, diversity, groups, indexing, mutation, qc
+from chainweave.plans import receptors
+from chainweave.plans.lineage import scratch_path
+from chainweave.sources import legacy, tables
+
+WIDE_FIELDS = ("locus", "junction_aa", "junction", "v_call", "d_call", "j_call", "umi_count")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed cells with quality control."""
+    return qc.chain_qc(indexing.index_chains(receptors.receptor_cells(spark, sf_dir)))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with the fields of their chains as columns, has_ir, quality control and a clone named by its primary chains."""
+    df = indexing.with_airr(base(spark, sf_dir), WIDE_FIELDS).withColumn("has_ir", indexing.has_ir()).drop("airr", "chain_indices")
+    clone = F.when(F.coalesce("VJ_1_junction_aa", "VDJ_1_junction_aa").isNotNull(), F.concat_ws("/", F.coalesce("VJ_1_junction_aa", F.lit("-")), F.coalesce("VDJ_1_junction_aa", F.lit("-"))))
+    return df.withColumn("clone", clone)
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+# ---- oracle building blocks (any engine) -----------------------------------------------------------------------------
+
+_CHAINS = f"chains as ({receptors.chains_sql('varchar', 'lineitem')})"
+_CELLS = f"cells as ({receptors.cells_sql('varchar')})"
+_RANKED = """ranked as (
+  select *, case when locus in ('TRA','TRG','IGK','IGL') then 'VJ' else 'VDJ' end as arm,
+    row_number() over (partition by cell_id, case when locus in ('TRA','TRG','IGK','IGL') then 'VJ' else 'VDJ' end
+      order by coalesce(umi_count,0) desc, coalesce(consensus_count,0) desc, coalesce(junction,'') desc, coalesce(junction_aa,'') desc, chain_idx) as rn,
+    count(*) over (partition by cell_id, case when locus in ('TRA','TRG','IGK','IGL') then 'VJ' else 'VDJ' end) as n
+  from chains where productive and junction_aa is not null)"""
+_PICK = ",\n  ".join(f"max(case when arm='{a}' and rn={n} then {v} end) as {a}_{n}_{v}" for a in ("VJ", "VDJ") for n in (1, 2) for v in ("chain_idx", *WIDE_FIELDS))
+_W0 = f"""w0 as (select cells.*, i.* exclude (cell_id), coalesce(i.many, false) as multichain, i.cell_id is not null as has_ir
+  from cells left join (select cell_id, max(n) > 2 as many, {_PICK} from ranked group by cell_id) i on cells.cell_id = i.cell_id)"""
+_HAS = {x: f"coalesce('{x}' in (VJ_1_locus,VJ_2_locus,VDJ_1_locus,VDJ_2_locus), false)" for x in ("TRA", "TRB", "TRG", "TRD", "IGH", "IGK", "IGL")}
+_W1 = "w1 as (select *, " + ", ".join(
+    f"(coalesce(VJ_1_locus,'')='{x}' or coalesce(VJ_2_locus,'')='{x}' or coalesce(VDJ_1_locus,'')='{x}' or coalesce(VDJ_2_locus,'')='{x}') as h_{x}"
+    for x in ("TRA", "TRB", "TRG", "TRD", "IGH", "IGK", "IGL")) + " from w0)"
+_W2 = """w2 as (select *, h_TRA or h_TRB or h_TRG or h_TRD as tr, h_IGH or h_IGK or h_IGL as ig from w1)"""
+_W3 = """w3 as (select *,
+  case when multichain and has_ir then 'multichain' when ig and not tr then 'BCR' when tr and not ig then 'TCR' when not has_ir then 'no IR' else 'ambiguous' end as receptor_type,
+  case when multichain and has_ir then 'multichain' when h_IGK and h_IGL and h_IGH and not tr then 'IGH+IGK/L' when h_IGK and not h_IGL and not tr then 'IGH+IGK'
+    when h_IGL and not h_IGK and not tr then 'IGH+IGL' when h_IGH and not h_IGK and not h_IGL and not tr then 'IGH'
+    when (h_TRG or h_TRD) and not h_TRA and not h_TRB and not ig then 'TRG+TRD' when (h_TRA or h_TRB) and not h_TRG and not h_TRD and not ig then 'TRA+TRB'
+    when not has_ir then 'no IR' else 'ambiguous' end as receptor_subtype from w2)"""
+_WIDE = """wide as (select *,
+  case when multichain and has_ir then 'multichain' when receptor_subtype='ambiguous' then 'ambiguous'
+    when VJ_1_junction_aa is not null and VDJ_1_junction_aa is not null then
+      case when VJ_2_junction_aa is not null and VDJ_2_junction_aa is not null then 'two full chains' when VDJ_2_junction_aa is not null then 'extra VDJ'
+        when VJ_2_junction_aa is not null then 'extra VJ' else 'single pair' end
+    when VDJ_1_junction_aa is not null then 'orphan VDJ' when VJ_1_junction_aa is not null then 'orphan VJ' else 'no IR' end as chain_pairing,
+  case when coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null then coalesce(VJ_1_junction_aa,'-')||'/'||coalesce(VDJ_1_junction_aa,'-') end as clone
+  from w3)"""
+
+
+def on_chains(sql: str) -> str:
+    return f"with {_CHAINS} {sql}"
+
+
+def on_wide(sql: str) -> str:
+    """``sql`` starts with further common tables (", x as (...) select ...") or with select."""
+    return "with recursive " + ",\n".join([_CHAINS, _CELLS, _RANKED, _W0, _W1, _W2, _W3, _WIDE]) + "\n" + sql
+
+
+_Q: dict = {}
+_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- chains and expressions ------------------------------------------------------------------------------------------
+
+
+@query(on_chains("select * from chains"))
+def chain_view(spark, sf):
+    return receptors.chains(spark, sf)
+
+
+@query(on_chains("select locus, case when locus in ('TRA','TRG','IGK','IGL') then 'VJ' else 'VDJ' end as arm, count(*) as n from chains group by locus"))
+def locus_to_arm(spark, sf):
+    return receptors.chains(spark, sf).groupBy("locus", seq.arm_of(F.col("locus")).alias("arm")).agg(F.count("*").alias("n"))
+
+
+@query(on_chains("""select cell_id, chain_idx, case when v_call like locus||'%' and (d_call is null or d_call like locus||'%') and j_call like locus||'%' then locus end as inferred from chains"""))
+def infer_locus(spark, sf):
+    c = receptors.chains(spark, sf)
+    return c.select("cell_id", "chain_idx", seq.infer_locus(F.col("v_call"), F.col("d_call"), F.col("j_call"), F.lit(None).cast("string")).alias("inferred"))
+
+
+@query(on_chains("select distinct v_call||'*0'||chain_idx as gene, v_call as stripped from chains"))
+def allele_strip(spark, sf):
+    gene = F.concat("v_call", F.lit("*0"), F.col("chain_idx").cast("string"))
+    return receptors.chains(spark, sf).select(gene.alias("gene"), seq.without_allele(gene).alias("stripped")).distinct()
+
+
+@query(on_chains("""select cell_id, chain_idx, case when regexp_matches(junction_aa,'^C.*[WF]$') then substr(junction_aa,2,length(junction_aa)-2) end as cdr3_aa,
+  case when junction is not null then substr(junction,4,length(junction)-6) end as cdr3_nt from chains"""))
+def cdr3_from_junction(spark, sf):
+    return receptors.chains(spark, sf).select("cell_id", "chain_idx", seq.cdr3_aa(F.col("junction_aa")).alias("cdr3_aa"), seq.cdr3_nt(F.col("junction")).alias("cdr3_nt"))
+
+
+_TEXTS = "(values ('nan'),('NaN'),('None'),('N/A'),(''),('False'),('false'),('FALSE'),('0'),('True'),('TRUE'),('foobar'),('42'),(null)) t(x)"
+_NA = "x is null or x in ('NaN','nan','None','N/A','')"
+
+
+@query(f"select x, case when not ({_NA}) then x end as y, count(*) as n from {_TEXTS}, region group by x")
+def na_normalise(spark, sf):
+    t = spark.sql(f"select x from values ('nan'),('NaN'),('None'),('N/A'),(''),('False'),('false'),('FALSE'),('0'),('True'),('TRUE'),('foobar'),('42'),(null) t(x)")
+    n = spark.read.parquet(f"{sf}/region.parquet").select(F.lit(1))
+    return t.crossJoin(n).groupBy("x").agg(F.count("*").alias("n")).select("x", values.nullify(F.col("x")).alias("y"), "n")
+
+
+@query(f"select x, not ({_NA}) and x not in ('False','false','0') as is_true, coalesce(not ({_NA}) and x in ('False','false','0'), false) as is_false from {_TEXTS}")
+def truthiness(spark, sf):
+    t = spark.sql("select x from values ('nan'),('NaN'),('None'),('N/A'),(''),('False'),('false'),('FALSE'),('0'),('True'),('TRUE'),('foobar'),('42'),(null) t(x)")
+    return t.select("x", values.is_true(F.col("x")).alias("is_true"), values.is_false(F.col("x")).alias("is_false"))
+
+
+_CODES = ",".join(f"('{a}{b}{c}','{seq.AMINO_ACIDS[16 * i + 4 * j + k]}')" for i, a in enumerate(seq.BASES) for j, b in enumerate(seq.BASES) for k, c in enumerate(seq.BASES))
+
+
+@query(on_chains(f""", d as (select distinct junction from chains where junction is not null), p as (select junction, unnest(range(0, length(junction)//3)) as i from d)
+select junction, string_agg(aa, '' order by i) as protein from p join (values {_CODES}) c(codon, aa) on codon = substr(junction, cast(3*i+1 as int), 3) group by junction"""))
+def translate_dna(spark, sf):
+    d = receptors.chains(spark, sf).where("junction is not null").select("junction").distinct()
+    return d.select("junction", seq.translate(F.col("junction")).alias("protein"))
+
+
+# ---- indexing and quality control ------------------------------------------------------------------------------------
+
+
+@query(on_wide("select cell_id, VJ_1_chain_idx as vj1, VJ_2_chain_idx as vj2, VDJ_1_chain_idx as vdj1, VDJ_2_chain_idx as vdj2, multichain from wide"))
+def index_chains(spark, sf):
+    df = indexing.index_chains(receptors.receptor_cells(spark, sf))
+    return df.select("cell_id", *[F.get(f"chain_indices.{a}", n - 1).alias(f"{a.lower()}{n}") for a in ("VJ", "VDJ") for n in (1, 2)], F.col("chain_indices.multichain").alias("multichain"))
+
+
+@query(on_wide("select multichain, count(*) as n from wide group by multichain"))
+def multichain_flag(spark, sf):
+    return base(spark, sf).groupBy(F.col("chain_indices.multichain").alias("multichain")).agg(F.count("*").alias("n"))
+
+
+@query(on_wide("select cell_id, VJ_1_junction_aa, VJ_1_locus, VJ_2_junction_aa, VJ_2_locus, VDJ_1_junction_aa, VDJ_1_locus, VDJ_2_junction_aa, VDJ_2_locus from wide"))
+def get_airr_wide(spark, sf):
+    return indexing.get_airr(base(spark, sf), ("junction_aa", "locus"))
+
+
+@query(on_wide("select cell_id, has_ir from wide"))
+def has_ir(spark, sf):
+    return base(spark, sf).select("cell_id", indexing.has_ir().alias("has_ir"))
+
+
+@query(f"""with {_CHAINS}, {_CELLS}, r as (select *, row_number() over (partition by cell_id order by coalesce(consensus_count,0) desc, chain_idx) as rn from chains
+  where productive and junction_aa is not null and locus in ('TRA','TRG','IGK','IGL')) select cells.cell_id, chain_idx as vj1 from cells left join r on cells.cell_id = r.cell_id and rn = 1""")
+def chain_sort_custom_keys(spark, sf):
+    df = indexing.index_chains(receptors.receptor_cells(spark, sf), sort_keys={"consensus_count": 0})
+    return df.select("cell_id", F.get("chain_indices.VJ", 0).alias("vj1"))
+
+
+@query(on_wide("select receptor_type, count(*) as n from wide group by receptor_type"))
+def chain_qc_types(spark, sf):
+    return base(spark, sf).groupBy("receptor_type").agg(F.count("*").alias("n"))
+
+
+@query(on_wide("select cell_id, receptor_subtype from wide"))
+def chain_qc_subtype(spark, sf):
+    return base(spark, sf).select("cell_id", "receptor_subtype")
+
+
+@query(on_wide("select cell_id, chain_pairing from wide"))
+def chain_pairing(spark, sf):
+    return base(spark, sf).select("cell_id", "chain_pairing")
+
+
+# ---- counting --------------------------------------------------------------------------------------------------------
+
+_EXP = "case when clone is null then 'nan' when n <= 1 then '<= 1' when n <= 2 then '<= 2' else '> 2' end"
+
+
+@query(on_wide(f"select cell_id, {_EXP} as clonal_expansion from (select *, count(*) over (partition by clone) as n from wide)"))
+def clonal_expansion(spark, sf):
+    return counting.clonal_expansion(wide(spark, sf), "clone").select("cell_id", "clonal_expansion")
+
+
+@query(on_wide(f"select cell_id, {_EXP} as clonal_expansion from (select *, count(*) over (partition by sample, clone) as n from wide)"))
+def clonal_expansion_in_group(spark, sf):
+    return counting.clonal_expansion(wide(spark, sf), "clone", "sample").select("cell_id", "clonal_expansion")
+
+
+def _summary(rows: str, value: str) -> str:
+    return on_wide(f""", e as (select *, {_EXP} as label from (select *, count(*) over (partition by clone) as n from wide) where clone is not null),
+r as ({rows}), c as (select sample, label, count(*) as n from r group by sample, label),
+spine as (select * from (select distinct sample from r), (values ('<= 1'),('<= 2'),('> 2')) l(label))
+select spine.sample, spine.label as clonal_expansion, round({value}, 6) as value from spine left join c using (sample, label)""")
+
+
+@query(_summary("select sample, label from e", "coalesce(n,0) / sum(n) over (partition by spine.sample)"))
+def summarize_expansion_cell(spark, sf):
+    return _rounded(counting.summarize_clonal_expansion(wide(spark, sf), "sample", "clone"), "value")
+
+
+@query(_summary("select distinct sample, clone, label from e", "coalesce(n,0) * 1.0"))
+def summarize_expansion_clone(spark, sf):
+    return counting.summarize_clonal_expansion(wide(spark, sf), "sample", "clone", "clone_id", normalize=False)
+
+
+def _abundance(value: str) -> str:
+    return on_wide(f""", c as (select sample, receptor_type, count(*) as n from wide group by all), g as (select sample, row_number() over (order by sum(n) desc, sample) as group_rank from c group by sample),
+t as (select receptor_type, row_number() over (order by sum(n) desc, receptor_type) as target_rank from c group by receptor_type)
+select sample, receptor_type, round({value}, 6) as value, group_rank, target_rank from c join g using (sample) join t using (receptor_type)""")
+
+
+@query(_abundance("n * 1.0"))
+def group_abundance_count(spark, sf):
+    return _rounded(counting.group_abundance(base(spark, sf), "sample", "receptor_type"), "value")
+
+
+@query(_abundance("n / sum(n) over (partition by sample)"))
+def group_abundance_fraction(spark, sf):
+    return _rounded(counting.group_abundance(base(spark, sf), "sample", "receptor_type", fraction=True), "value")
+
+
+def _spectratype(value: str) -> str:
+    return on_wide(f""", c as (select length(VJ_1_junction_aa) as length, sample, count(*) as n from wide where VJ_1_junction_aa is not null group by all)
+select l.length, s.sample, round(coalesce({value}, 0), 6) as value from (select unnest(range(0, (select max(length) + 1 from c))) as length) l
+cross join (select distinct sample from c) s left join (select *, sum(n) over (partition by sample) as t from c) c on c.length = l.length and c.sample = s.sample""")
+
+
+@query(_spectratype("n * 1.0"))
+def spectratype(spark, sf):
+    return _rounded(counting.spectratype(wide(spark, sf), "sample"), "value")
+
+
+@query(_spectratype("n / t"))
+def spectratype_fraction(spark, sf):
+    return _rounded(counting.spectratype(wide(spark, sf), "sample", fraction=True), "value")
+
+
+_GENES = ("VJ_1_v_call", "VJ_1_j_call", "VDJ_1_v_call", "VDJ_1_d_call", "VDJ_1_j_call")
+
+
+@query(on_wide(", l as (" + " union all ".join(f"select '{g}' as col, coalesce({g}, 'none') as segment from wide" for g in _GENES) + """), c as (select col, segment, count(*) as n from l group by all),
+r as (select *, row_number() over (partition by col order by n desc, segment) as rn from c)
+select col, case when rn <= 10 then segment else 'other' end as segment, sum(n) * 1.0 as value from r group by 1, 2"""))
+def vdj_usage_segments(spark, sf):
+    return counting.vdj_segments(wide(spark, sf), _GENES, 10)
+
+
+@query(on_wide("select " + ", ".join(f"coalesce({g}, 'none') as {g}" for g in _GENES) + ", count(*) * 1.0 as value from wide group by 1,2,3,4,5 order by 6 desc, 1, 2, 3, 4, 5 limit 20"))
+def vdj_usage_ribbons(spark, sf):
+    return counting.vdj_ribbons(wide(spark, sf), _GENES, 20)
+
+
+@query(on_wide(""", m as (select VJ_1_junction_aa as s, unnest(range(0, 14)) as pos from wide where length(VJ_1_junction_aa) = 14)
+select cast(pos as int) as pos, substr(s, cast(pos + 1 as int), 1) as letter, count(*) * 1.0 as value from m group by 1, 2"""))
+def motif_counts(spark, sf):
+    return counting.motif(wide(spark, sf).where("length(VJ_1_junction_aa) = 14"), "VJ_1_junction_aa")
+
+
+@query(on_wide(""", m as (select VJ_1_junction_aa as s, unnest(range(0, 14)) as pos from wide where length(VJ_1_junction_aa) = 14),
+c as (select pos, substr(s, cast(pos + 1 as int), 1) as letter, count(*) as n from m group by 1, 2), p as (select *, n / sum(n) over (partition by pos) as p from c)
+select cast(pos as int) as pos, letter, round(p * (log2(20.0) + sum(p * log2(p)) over (partition by pos)), 6) as value from p"""))
+def motif_information(spark, sf):
+    return _rounded(counting.motif(wide(spark, sf).where("length(VJ_1_junction_aa) = 14"), "VJ_1_junction_aa", "information"), "value")
+
+
+_ALPHA = """, c as (select sample, clone, count(*) as n from wide where clone is not null and sample is not null group by all), p as (select *, n / sum(n) over (partition by sample) as p,
+  row_number() over (partition by sample order by n, clone) as up, row_number() over (partition by sample order by n desc, clone) as i, sum(n) over (partition by sample order by n desc, clone rows unbounded preceding) as upto,
+  sum(n) over (partition by sample) as total, count(*) over (partition by sample) as k from c) """
+
+
+def _alpha(metric: str, value: str, where: str = "true", **options):
+    def f(spark, sf):
+        return _rounded(diversity.alpha_diversity(wide(spark, sf), "sample", "clone", metric, **options), "value")
+
+    f.__name__ = "alpha_" + {"normalized_shannon_entropy": "shannon"}.get(metric, metric.lower())
+    query(on_wide(f"{_ALPHA} select sample, round({value}, 6) as value from p where {where} group by sample"))(f)
+
+
+_alpha("normalized_shannon_entropy", "case when count(*) = 1 then 0 else sum(-p*ln(p))/ln(count(*)) end")
+_alpha("D50", "min(i) / max(k) * 100", "upto >= total * 0.5")
+_alpha("DXX", "min(i) / max(k) * 100", "upto >= total * 0.8", percentage=80)
+_alpha("observed_otus", "count(*) * 1.0")
+_alpha("simpson", "1 - sum(p*p)")
+_alpha("berger_parker_d", "max(p)")
+_alpha("chao1", "count(*) + count(*) filter (n=1) * (count(*) filter (n=1) - 1) / (2.0 * (count(*) filter (n=2) + 1))")
+_alpha("gini_index", "2 * sum(up * p) / count(*) - (count(*) + 1) / count(*)")
+
+
+@query(on_wide("select sample, count(*) * 1.0 as value from (select distinct sample, clone from wide where clone is not null) group by sample"))
+def alpha_callable(spark, sf):
+    return diversity.alpha_diversity(wide(spark, sf), "sample", "clone", len)
+
+
+@query(on_wide(""", x as (select *, VJ_1_junction_aa as coarse, VJ_1_junction||VJ_1_v_call as fine from wide), g as (select coarse, count(distinct fine) as k from x where coarse is not null and fine is not null group by coarse)
+select cell_id, case when coarse is not null then case when k > 1 then 'convergent' else 'not convergent' end end as is_convergent from x left join g using (coarse)"""))
+def convergence(spark, sf):
+    rows = wide(spark, sf).withColumn("fine", F.concat("VJ_1_junction", "VJ_1_v_call"))
+    return counting.convergence(rows, "VJ_1_junction_aa", "fine").select("cell_id", "is_convergent")
+
+
+@query(on_wide(""", c as (select clone, count(*) filter (status='F') as f, count(*) filter (status='O') as o from wide where clone is not null group by clone)
+select f, o, count(*) as n from c where f > 0 or o > 0 group by f, o"""))
+def overlap_pair_table(spark, sf):
+    c = wide(spark, sf).where("clone is not null").groupBy("clone").agg(F.count_if(F.col("status") == "F").alias("f"), F.count_if(F.col("status") == "O").alias("o"))
+    return counting.overlap_pairs(c, "f", "o")
+
+
+# ---- distances -------------------------------------------------------------------------------------------------------
+
+_SEQS = """, s as (select distinct 'VJ' as arm, VJ_1_junction_aa as seq from wide where VJ_1_junction_aa is not null union select 'VJ', VJ_2_junction_aa from wide where VJ_2_junction_aa is not null
+  union select 'VDJ', VDJ_1_junction_aa from wide where VDJ_1_junction_aa is not null union select 'VDJ', VDJ_2_junction_aa from wide where VDJ_2_junction_aa is not null)"""
+_COLUMNS = {a: [f"{a}_{n}_junction_aa" for n in (1, 2)] for a in ("VJ", "VDJ")}
+
+
+def seqs(spark, sf) -> DataFrame:
+    return distances.sequences(wide(spark, sf), _COLUMNS)
+
+
+def _distance(name: str, metric: str, sql: str, **options):
+    def f(spark, sf):
+        return distances.ir_dist(seqs(spark, sf), None, metric, **options)
+
+    f.__name__ = name
+    query(on_wide(_SEQS + sql))(f)
+
+
+_distance("dist_identity", "identity", " select arm, seq as seq1, seq as seq2, 0 as dist from s")
+_distance("dist_hamming", "hamming", " select a.arm, a.seq as seq1, b.seq as seq2, cast(hamming(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where hamming(a.seq, b.seq) <= 2")
+_distance("dist_norm_hamming", "normalized_hamming", " select a.arm, a.seq as seq1, b.seq as seq2, cast(floor(100.0 * hamming(a.seq, b.seq) / length(a.seq) + 0.5) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where floor(100.0 * hamming(a.seq, b.seq) / length(a.seq) + 0.5) <= 14", cutoff=14)
+_distance("dist_levenshtein", "levenshtein", " select a.arm, a.seq as seq1, b.seq as seq2, cast(levenshtein(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and abs(length(a.seq) - length(b.seq)) <= 2 where levenshtein(a.seq, b.seq) <= 2")
+_M = distances.substitution_matrix()
+_MATRIX = ", mat as (select * from (values " + ",".join(f"('{a}{b}',{_M[i, j]})" for i, a in enumerate(distances.LETTERS) for j, b in enumerate(distances.LETTERS)) + ") m(pair, v))"
+# few distinct sequences, so that the oracle's letter by letter comparison ends soon
+_FEW = " few as (select distinct arm, seq from s where substr(seq, length(seq)-1, 1) in ('A','C') ),"
+
+
+def few(spark, sf) -> DataFrame:
+    return seqs(spark, sf).where("substr(seq, length(seq) - 1, 1) in ('A', 'C')")
+
+
+def _scored(name: str, metric: str, sql: str):
+    def f(spark, sf):
+        return distances.ir_dist(seqs(spark, sf), None, metric)
+
+    f.__name__ = name
+    query(sql and on_wide(sql))(f)
+
+
+_LETTERWISE = """, u as (select arm, length(seq) as n, seq, unnest(range(1, length(seq) + 1)) as i, unnest(string_split(seq, '')) as c from s)"""
+_scored("dist_alignment", "alignment", _SEQS + _MATRIX + _LETTERWISE + """, self as (select arm, seq, sum(v) as v from u join mat on pair = c||c group by arm, seq),
+d as (select a.arm, a.seq as seq1, b.seq as seq2, sum(v) as v from u a join u b on a.arm = b.arm and a.n = b.n and a.i = b.i join mat on pair = a.c||b.c group by 1, 2, 3)
+select d.arm, seq1, seq2, cast(least(x.v, y.v) - d.v as int) as dist from d join self x on x.arm = d.arm and x.seq = seq1 join self y on y.arm = d.arm and y.seq = seq2 where least(x.v, y.v) - d.v <= 10""")
+_scored("dist_fastalignment", "fastalignment", None)
+_scored("dist_tcrdist", "tcrdist", _SEQS + """, mat as (select pair, case when substr(pair,1,1) = substr(pair,2,1) then 0 else 3 * least(4, 4 - v) end as w from (values """ + ",".join(
+    f"('{a}{b}',{_M[i, j]})" for i, a in enumerate(distances.LETTERS) for j, b in enumerate(distances.LETTERS)) + """) m(pair, v)),
+p as (select a.arm, a.seq as seq1, b.seq as seq2, length(a.seq) as n, length(b.seq) as m, least(length(a.seq), length(b.seq)) as short,
+  case when length(a.seq) = length(b.seq) then length(a.seq) - 2 else least(6, 3 + (least(length(a.seq), length(b.seq)) - 5) // 2) end as g from s a join s b on a.arm = b.arm and abs(length(a.seq) - length(b.seq)) <= 5),
+x as (select *, list_transform(range(3, g), lambda k: substr(seq1, cast(k + 1 as int), 1) || substr(seq2, cast(k + 1 as int), 1)) as l,
+  case when n = m then [] else list_transform(range(2, short - g), lambda k: substr(seq1, cast(n - k as int), 1) || substr(seq2, cast(m - k as int), 1)) end as r from p),
+y as (select arm, seq1, seq2, n, m, unnest(list_concat(l, r)) as pair from x)
+select y.arm, seq1, seq2, cast(sum(w) + 4 * abs(n - m) as int) as dist from y join mat using (pair) group by y.arm, seq1, seq2, n, m having sum(w) + 4 * abs(n - m) <= 20""")
+
+
+@query(on_wide(_SEQS + ", r as (select distinct 'VJ' as arm, junction_aa as seq from chains where productive and locus = 'TRA' and umi_count > 25 and junction_aa is not null) select s.arm, s.seq as seq1, s.seq as seq2, 0 as dist from s join r using (arm, seq)"))
+def dist_identity_ref(spark, sf):
+    ref = receptors.chains(spark, sf).where("productive and locus = 'TRA' and umi_count > 25 and junction_aa is not null").select(F.lit("VJ").alias("arm"), F.upper("junction_aa").alias("seq")).distinct()
+    return distances.ir_dist(seqs(spark, sf), ref, "identity")
+
+
+@query(on_wide(_SEQS + ", d as (select a.arm, a.seq, min(hamming(a.seq, b.seq)) as d from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) and a.seq <> b.seq group by 1, 2) select arm, nearest, count(*) as n from (select s.arm, cast(coalesce(d, length(s.seq)) as int) as nearest from s left join d using (arm, seq)) group by 1, 2"))
+def nn_histogram(spark, sf):
+    return distances.nearest_neighbours(seqs(spark, sf)).groupBy("arm", "nearest").agg(F.count("*").alias("n"))
+
+
+@query(on_wide(", v as (select distinct VJ_1_junction_aa as seq from wide where VJ_1_junction_aa is not null), p as (select row_number() over (order by seq) as pos, seq from v) select a.pos as pos1, b.pos as pos2, cast(levenshtein(a.seq, b.seq) as int) as dist from p a join p b on abs(length(a.seq) - length(b.seq)) <= 1 where levenshtein(a.seq, b.seq) <= 1"))
+def sequence_dist(spark, sf):
+    from pyspark.sql import Window
+
+    v = wide(spark, sf).where("VJ_1_junction_aa is not null").select(F.col("VJ_1_junction_aa").alias("seq")).distinct()
+    return distances.sequence_dist(v.withColumn("pos", F.row_number().over(Window.orderBy("seq")).cast("long")), "levenshtein", 1)
+
+
+# ---- clonotypes ------------------------------------------------------------------------------------------------------
+
+#: equal-component label for identity clusters under "or" rules: nodes are cells and chains, minima spread over them
+def _components(nodes: str) -> str:
+    """``nodes``: SQL giving (ord, hub) pairs; label of a cell: least cell_ord reachable through shared hubs (fixed number of doublings)."""
+    steps, last = [], "l0"
+    for i in range(12):
+        steps += [f"h{i} as materialized (select hub, min(low) as low from inc join {last} using (ord) group by hub)",
+                  f"l{i + 1} as materialized (select ord, min(h{i}.low) as low from inc join h{i} using (hub) group by ord)"]
+        last = f"l{i + 1}"
+    return f", inc as materialized ({nodes}), l0 as materialized (select distinct ord, ord as low from inc), " + ", ".join(steps) + \
+        f" select 'cell_'||ord as cell_id, cast(dense_rank() over (order by low) - 1 as varchar) as cluster_id, count(*) over (partition by low) as cluster_size from {last}"
+
+
+def _clusters(name: str, nodes: str | None, **options):
+    def f(spark, sf):
+        return ct.define_clonotype_clusters(wide(spark, sf), **options)
+
+    f.__name__ = name
+    query(nodes and on_wide(_components(nodes)))(f)
+
+
+def _hubs(field: str, arms=("VJ", "VDJ"), chains=(1, 2), gene: str = "", group: str = "receptor_type") -> str:
+    out = []
+    for a in arms:
+        for n in chains:
+            seq_ = f"{a}_{n}_{field}"
+            ok = f"{seq_} is not null" + (f" and {a}_{n}_{gene} is not null" if gene else "")
+            hub = f"'{a}|'||{seq_}||'|'||{group}" + (f"||'|'||{a}_{n}_{gene}" if gene else "")
+            out.append(f"select cell_ord as ord, {hub} as hub from wide where {ok}")
+            # every cell with a configuration takes part, and equal configurations are one clonotype
+    own = "||'|'||".join(f"coalesce({a}_{n}_{k}, '~')" for a in arms for n in chains for k in (field, *([gene] if gene else [])))
+    some = "coalesce(" + ", ".join(f"{a}_{n}_{k}" for a in arms for n in chains for k in (field, *([gene] if gene else []))) + ")"
+    out.append(f"select cell_ord, 'own|'||{own}||'|'||{group} from wide where has_ir and {some} is not null")
+    return " union all ".join(out)
+
+
+_clusters("clusters_any_any", _hubs("junction_aa"), receptor_arms="any", dual_ir="any")
+_clusters("clusters_vj_any", _hubs("junction_aa", ("VJ",)), receptor_arms="VJ", dual_ir="any")
+_clusters("clusters_any_primary", _hubs("junction_aa", chains=(1,)), receptor_arms="any", dual_ir="primary_only")
+_clusters("clusters_same_v", _hubs("junction_aa", ("VDJ",), gene="v_call"), receptor_arms="VDJ", dual_ir="any", same_v_gene=True)
+_clusters("clusters_same_j", _hubs("junction_aa", ("VDJ",), gene="j_call"), receptor_arms="VDJ", dual_ir="any", same_j_gene=True)
+_clusters("clusters_within_group", _hubs("junction_aa", ("VJ",), group="receptor_type||'|'||sample"), receptor_arms="VJ", dual_ir="any", match=("receptor_type", "sample"))
+_PRIMARY = "select cell_ord as ord, coalesce(VJ_1_{0},'~')||'|'||coalesce(VDJ_1_{0},'~')||'|'||receptor_type as hub from wide where coalesce(VJ_1_{0}, VDJ_1_{0}) is not null"
+_clusters("clusters_all_primary", _PRIMARY.format("junction_aa"), receptor_arms="all", dual_ir="primary_only")
+_PAIRS = """, g as (select min(cell_ord) as ct, VJ_1_{f} as a1, VJ_2_{f} as a2, VDJ_1_{f} as b1, VDJ_2_{f} as b2, receptor_type as t from wide where coalesce(VJ_1_{f}, VDJ_1_{f}) is not null group by 2,3,4,5,6),
+c as (select ct, 'A' as arm, 1 as slot, a1 as seq, t from g where a1 is not null union all select ct, 'A', 2, a2, t from g where a2 is not null union all select ct, 'B', 1, b1, t from g where b1 is not null union all select ct, 'B', 2, b2, t from g where b2 is not null),
+m as (select x.ct as i, y.ct as j, x.arm, bool_or(x.slot=1 and y.slot=1) as s11, bool_or(x.slot=2 and y.slot=2) as s22, bool_or(x.slot=1 and y.slot=2) as s12, bool_or(x.slot=2 and y.slot=1) as s21
+  from c x join c y on x.arm = y.arm and x.seq = y.seq and x.t = y.t and x.ct < y.ct group by 1, 2, 3),
+k as (select i, j, max(case when arm='A' then {arm_a} end) as da, max(case when arm='B' then {arm_b} end) as db, any_value(g1.a1 is not null) as ia, any_value(g1.b1 is not null) as ib, any_value(g2.a1 is not null) as ja, any_value(g2.b1 is not null) as jb
+  from m join g g1 on g1.ct = i join g g2 on g2.ct = j group by i, j),
+e as materialized (select i, j from k where {keep})"""
+_TWO = "case when (case when g1.{0}2 is null then 1 else 2 end) = (case when g2.{0}2 is null then 1 else 2 end) then case when g1.{0}2 is null then cast(s11 as int) else cast((s11 and s22) or (s12 and s21) as int) end else 0 end"
+_BOTH_ARMS = "(cast(ia as int) + cast(ib as int)) = (cast(ja as int) + cast(jb as int)) and case when ia and ib then coalesce(da, 0) = 1 and coalesce(db, 0) = 1 else coalesce(da, 0) = 1 or coalesce(db, 0) = 1 end"
+
+
+def _pair_clusters(name: str, field: str, arm: str, keep: str, **options):
+    body = _PAIRS.replace("{f}", field).replace("{arm_a}", arm.format("a")).replace("{arm_b}", arm.format("b")).replace("{keep}", keep)
+    hubs = """select ord, hub from (select cell_ord as ord, g.ct||'' as hub from wide join g on VJ_1_{f} is not distinct from a1 and VJ_2_{f} is not distinct from a2 and VDJ_1_{f} is not distinct from b1 and VDJ_2_{f} is not distinct from b2 and receptor_type = t
+  where coalesce(VJ_1_{f}, VDJ_1_{f}) is not null) union all select i, i||'-'||j from e union all select j, i||'-'||j from e""".replace("{f}", field)
+
+    def f(spark, sf):
+        return ct.define_clonotype_clusters(wide(spark, sf), sequence="nt" if field == "junction" else "aa", **options)
+
+    f.__name__ = name
+    query(on_wide(body + _components(hubs)))(f)
+
+
+_pair_clusters("clonotypes_nt", "junction", "1", _BOTH_ARMS, receptor_arms="all", dual_ir="any")
+_pair_clusters("clusters_all_any", "junction_aa", "1", _BOTH_ARMS, receptor_arms="all", dual_ir="any")
+_pair_clusters("clusters_all_all", "junction_aa", _TWO, _BOTH_ARMS, receptor_arms="all", dual_ir="all")
+_pair_clusters("clusters_any_all", "junction_aa", _TWO, "coalesce(da, 0) = 1 or coalesce(db, 0) = 1", receptor_arms="any", dual_ir="all")
+
+
+@query()
+def clusters_hamming(spark, sf):
+    return ct.define_clonotype_clusters(wide(spark, sf), metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only")
+
+
+@query()
+def clusters_leiden(spark, sf):
+    return ct.define_clonotype_clusters(wide(spark, sf), metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only", partitions="leiden")
+
+
+def _network(spark, sf):
+    s = ct.Setup(metric="identity", receptor_arms="all", dual_ir="any")
+    table, members = ct.configurations(wide(spark, sf), s)
+    return members, ct.links(table, s)
+
+
+@query()
+def clonotype_network(spark, sf):
+    members, links = _network(spark, sf)
+    nodes = ct.network_nodes(members, links, min_cells=3, min_nodes=2)
+    return ct.layout(nodes, links).join(nodes, "ct")
+
+
+# ---- reference queries -----------------------------------------------------------------------------------------------
+
+
+def reference(spark, sf) -> DataFrame:
+    """A reference table: cells of one status, annotated with their sample as ``epitope``."""
+    return wide(spark, sf).where("status = 'P'").withColumn("epitope", F.col("sample"))
+
+
+_REF = """, q as (select cell_id, cell_ord, VJ_1_junction_aa as a, VDJ_1_junction_aa as b, receptor_type as t from wide where coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null),
+r as (select cell_id as ref_id, VJ_1_junction_aa as a, VDJ_1_junction_aa as b, receptor_type as t, sample as epitope, patient from wide where status = 'P' and coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null),
+h as (select q.cell_id, r.ref_id, epitope from q join r on q.t = r.t and q.a is not distinct from r.a and q.b is not distinct from r.b)"""
+_OPTIONS = {"receptor_arms": "all", "dual_ir": "primary_only"}
+
+
+@query(on_wide(_REF + " select cell_id, ref_id, epitope from h"))
+def query_annotate_df(spark, sf):
+    ref = reference(spark, sf)
+    return ct.annotate_df(ct.ir_query(wide(spark, sf), ref, **_OPTIONS), ref, ["epitope"])
+
+
+@query(on_wide(_REF + ", x as (select min(cell_ord) as i, a, b, t from q group by a, b, t), y as (select min(cast(substr(ref_id, 6) as bigint)) as j, a, b, t from r group by a, b, t) select i, j, 0 as dist from x join y on x.t = y.t and x.a is not distinct from y.a and x.b is not distinct from y.b"))
+def query_pairs(spark, sf):
+    return ct.ir_query(wide(spark, sf), reference(spark, sf), **_OPTIONS)[0]
+
+
+def _annotated(name: str, strategy: str, sql: str):
+    def f(spark, sf):
+        cells, ref = wide(spark, sf), reference(spark, sf)
+        hits = ct.annotate_df(ct.ir_query(cells, ref, **_OPTIONS), ref, ["epitope"])
+        return ct.annotate(cells, hits, "epitope", strategy)
+
+    f.__name__ = name
+    query(on_wide(_REF + ", n as (select cell_id, epitope, count(*) as n from h where epitope is not null group by 1, 2), z as (" + sql + ") select wide.cell_id, z.epitope from wide left join z using (cell_id)"))(f)
+
+
+_annotated("annotate_unique", "unique-only", "select cell_id, case when count(*) = 1 then min(epitope) else 'ambiguous' end as epitope from n group by cell_id")
+_annotated("annotate_frequent", "most-frequent", "select cell_id, case when count(*) filter (n = m) > 1 then 'ambiguous' else max(case when n = m then epitope end) end as epitope from (select *, max(n) over (partition by cell_id) as m from n) group by cell_id")
+_annotated("annotate_json", "json", "select cell_id, '{'||string_agg('\"'||epitope||'\":'||n, ',' order by epitope)||'}' as epitope from n group by cell_id")
+
+
+# ---- groups ----------------------------------------------------------------------------------------------------------
+
+
+@query(on_wide("select patient, clone, count(*) * 1.0 as value from wide where clone is not null and patient is not null group by 1, 2"))
+def overlap_matrix(spark, sf):
+    return groups.presence(wide(spark, sf), "patient", "clone")
+
+
+@query(on_wide(", p as (select distinct patient as g, clone from wide where clone is not null and patient is not null), n as (select g, count(*) as n from p group by g), i as (select x.g as a, y.g as b, count(*) as k from p x join p y on x.clone = y.clone and x.g < y.g group by 1, 2) select x.g as a, y.g as b, round(1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 6) as distance from n x join n y on x.g < y.g left join i on i.a = x.g and i.b = y.g"))
+def overlap_jaccard(spark, sf):
+    return _rounded(groups.jaccard(wide(spark, sf), "patient", "clone"), "distance")
+
+
+_SIDES = ", x as (select *, case when status = 'F' then 'case' when status = 'O' then 'control' end as side from wide where patient is not null and status is not null)"
+
+
+@query(on_wide(_SIDES + ", t as (select count(distinct case when side='case' then patient end) as case_total, count(distinct case when side='control' then patient end) as control_total from x) select clone, count(distinct case when side='case' then patient end) as case_n, count(distinct case when side='control' then patient end) as control_n, case_total, control_total from x, t where clone is not null and side is not null group by clone, case_total, control_total"))
+def imbalance_counts(spark, sf):
+    return groups.imbalance_counts(wide(spark, sf), "patient", "status", "clone", "F", "O")
+
+
+@query()
+def clonotype_imbalance(spark, sf):
+    return groups.clonotype_imbalance(wide(spark, sf), "patient", "status", "clone", "F", "O")
+
+
+def neighbours(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(labels, edges) of a ring of orders: each cell's next ones by rank of cell_ord."""
+    cells = wide(spark, sf).where("clone is not null").select(F.col("cell_ord").alias("node"), F.col("VJ_1_v_call").alias("label"))
+    edges = cells.select(F.col("node").alias("src"), F.explode(F.sequence(F.col("node") + 1, F.col("node") + 5)).alias("dst")).join(cells.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return cells, edges.select("src", "dst")
+
+
+@query(on_wide(", c as (select cell_ord as node, VJ_1_v_call as label from wide where clone is not null), e as (select x.label from c x join c y on y.node between x.node + 1 and x.node + 5 where x.label = y.label), s as (select label, count(*) as size from c where label is not null group by label) select s.label, size, (select count(*) from e where e.label = s.label) as n_edges from s"))
+def modularity_observed_edges(spark, sf):
+    return groups.observed_edges(*neighbours(spark, sf))
+
+
+@query()
+def modularity_score(spark, sf):
+    return groups.clonotype_modularity(*neighbours(spark, sf), n_permutations=50)
+
+
+# ---- mutations -------------------------------------------------------------------------------------------------------
+
+_PLACES = {"v": "i <= 312", "fwr1": "i <= 78", "cdr1": "i > 78 and i <= 114", "fwr2": "i > 114 and i <= 165", "cdr2": "i > 165 and i <= 195", "fwr3": "i > 195 and i <= 312",
+           "cdr3": "i > 312 and i <= 312 + j - 6", "fwr4": "i > 312 + j - 6", "full": "true"}
+
+
+def _mutations(r: str):
+    def f(spark, sf):
+        rows = receptors.chains(spark, sf).select("sequence_alignment", "germline_alignment_d_mask", "junction").distinct()
+        return _rounded(mutation.mutational_load(rows, (r,)), f"{r}_mutation_freq").select(
+            "sequence_alignment", "junction", F.col(f"{r}_mutation_count").alias("mutation_count"), F.col(f"{r}_mutation_freq").alias("mutation_freq"))
+
+    f.__name__ = f"mutation_load_{r}"
+    need = " and junction is not null" if r in ("cdr3", "fwr4") else ""
+    query(on_chains(f""", a as (select distinct sequence_alignment as s, germline_alignment_d_mask as g, junction from chains),
+u as (select s, g, unnest(range(1, length(s) + 1)) as i from (select distinct s, g from a)), v as (select s, i, substr(s, cast(i as int), 1) as x, substr(g, cast(i as int), 1) as y from u),
+d as (select s, i, cast(x <> y and x not in ('.', 'N') and y not in ('.', 'N') as int) as m, cast(x not in ('.', 'N') and y not in ('.', 'N') as int) as k from v),
+b as (select distinct s, junction, length(junction) as j from a where true{need}), z as (select b.s, b.junction, sum(m) as m, sum(k) as k, count(*) as n from b join d on d.s = b.s and {_PLACES[r]} group by 1, 2)
+select a.s as sequence_alignment, a.junction, cast(case when k > 0 then m end as int) as mutation_count, round(case when k > 0 then m end / n, 6) as mutation_freq from a left join z on z.s = a.s and z.junction is not distinct from a.junction"""))(f)
+
+
+for _r in _PLACES:
+    _mutations(_r)
+
+
+# ---- tables ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {_CHAINS}, {_CELLS}, o as (select distinct cell_id, locus, productive, umi_count, consensus_count, junction_aa, junction, v_call, d_call, j_call from chains) select cells.cell_id, count(o.cell_id) as n from cells left join o using (cell_id) group by 1")
+def merge_airr_counts(spark, sf):
+    rows = receptors.chains(spark, sf).drop("sequence_alignment", "germline_alignment_d_mask")
+    cells = receptors.cells(spark, sf)
+    a = receptors.nested(cells, rows.where("umi_count > 20"))
+    return indexing.merge_airr(a, receptors.nested(cells.select("cell_id", "sample"), rows)).select("cell_id", F.size("airr").cast("long").alias("n"))
+
+
+@query(on_wide("select cell_id, arm, cast(slot as int) as slot, locus, junction_aa from (" + " union all ".join(
+    f"select cell_id, '{a}' as arm, {n} as slot, {a}_{n}_locus as locus, {a}_{n}_junction_aa as junction_aa from wide where {a}_{n}_junction_aa is not null" for a in ("VJ", "VDJ") for n in (1, 2)) + ")"))
+def legacy_unpivot(spark, sf):
+    flat = wide(spark, sf).select("cell_id", *[F.col(f"{a}_{n}_{v}").alias(f"IR_{a}_{n}_{v}") for a in ("VJ", "VDJ") for n in (1, 2) for v in ("locus", "junction_aa")])
+    return legacy.upgrade_schema(flat).select("cell_id", "arm", "slot", "locus", "junction_aa")
+
+
+@query(on_chains("select cell_id, locus, productive, cast(umi_count as bigint) as umi_count, junction_aa, v_call from chains"))
+def write_read_airr(spark, sf):
+    path = scratch_path(spark, "airr")
+    tables.write_airr(receptors.chains(spark, sf), path)
+    return tables.read_airr(spark, path, infer=False).select("cell_id", "locus", "productive", F.col("umi_count").cast("long").alias("umi_count"), "junction_aa", "v_call")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
