@@ -65,18 +65,22 @@ def targets(sizes: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with size and start in their source's stream, the sources with targets and blocks)."""
-    rows = docs.withColumn("size", size_of(F.col("text"))).withColumn("tie", F.xxhash64("text", "doc_id")).withColumn(
-        "chunk", F.floor(F.coalesce("doc_id", F.lit(-1)) / CHUNK))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
-    sums = written(sums, "mix-chunks")
+    """(documents without texts, with size and start in their source's stream; the sources with targets and blocks)."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text", "doc_id").alias("tie"))
+    rows = written(rows, "mix-sizes").withColumn("chunk", F.floor(F.coalesce("doc_id", F.lit(-1)) / CHUNK))
+    sums = written(rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size")), "mix-chunks")
     w = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(w), F.lit(0).cast("long"))).drop("chunk_size")
     sources = targets(sums.groupBy("source").agg(F.sum("chunk_size").alias("source_size")))
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn(
         "quota", F.least(F.round(F.col("target") / BLOCK).cast("long"), REPEAT * F.col("blocks")))
-    return rows.join(bases.withColumnRenamed("source", "s").withColumnRenamed("chunk", "c"),
-                     F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).drop("s", "c"), sources
+    sources = written(sources, "mix-sources")
+    bases = bases.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    own = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0).cast("long")))
+    bases = bases.withColumnRenamed("source", "s").withColumnRenamed("chunk", "c")
+    rows = rows.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).drop("s", "c")
+    return rows.withColumn("begin", F.col("base") + F.col("within")).drop("base", "within", "chunk"), sources
 
 
 def drawn_slots(sources: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def drawn_slots(sources: DataFrame) -> DataFrame:
     else:
         draws = spark.range(slots).withColumn("point", point).join(
             shares.select("lo", "hi", "source_no"), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    counts = draws.groupBy(F.floor(F.col("id") / SHARD).alias("shard"), "source_no").agg(F.count("*").alias("n"))
+    counts = written(draws.groupBy(F.floor(F.col("id") / SHARD).alias("shard"), "source_no").agg(F.count("*").alias("n")), "mix-draws")
     shard = Window.partitionBy("source_no").orderBy("shard")
     run = counts.withColumn("upto", F.sum("n").over(shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     run = run.join(live.select("source_no", "blocks", "quota"), "source_no")
@@ -125,11 +129,8 @@ def block_uses(sources: DataFrame) -> DataFrame:
 
 def _mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents without their texts, their pieces with uses); source_no and begin name a document that has words."""
-    rows, sources = placed(docs.select("doc_id", "source", "text"))
-    rows = rows.drop("text")
-    w = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.col("base") + F.coalesce(F.sum("size").over(w), F.lit(0).cast("long")))
-    rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows, sources = placed(docs)
+    rows = written(rows, "mix-places")
     pieces = rows.where("size > 0").select(
         "source_no", "begin", "size", F.explode(F.expr(f"sequence(begin div {BLOCK}, (begin + size - 1) div {BLOCK})")).alias("block"))
     pieces = pieces.join(block_uses(sources), ["source_no", "block"]).select(
