@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"CWTOKIDX"
-CACHE_PIECES = 300_000  # pieces remembered per Python worker
+CACHE_PIECES = 600_000  # pieces remembered per Python worker
 PART_SCHEMA = "part int, n_docs long, n_ids long, bin string, idx string"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -61,39 +62,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.once = self.without_cache(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict = {}  # a text's first cut, no space before it
+        space = self.tok.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how a space is written in the vocabulary
+        self.starts = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.starts[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
+        self.first: dict = {}  # cuts with no space before them
         self.rest: dict = {}
+        self.marks = dict(zip(".,\n", self.whole([".", ",", "\n"])))
+
+    @staticmethod
+    def without_cache(path: str):
+        """The same tokeniser without its own memory of words: every word given to it is new."""
+        import json
+
+        from tokenizers import Tokenizer, models
+
+        tok, spec = Tokenizer.from_file(path), json.loads(Path(path).read_text())["model"]
+        if spec.get("merges") and not any(spec.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+            tok.model = models.BPE(vocab=spec["vocab"], merges=pairs, cache_capacity=0)
+        return tok
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, cuts: set[str], cache: dict, lead: str) -> None:
-        new = [c for c in cuts if c not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = list(cuts)
-        odd = [c for c in new if not c or c[0].isspace() or c[-1].isspace() or "<|" in c]
-        cache.update(dict.fromkeys(odd))
-        good = [c for c in new if c not in cache]
-        cache.update(zip(good, self.whole([lead + c for c in good])))
+    def learn_words(self, words: list[str]) -> None:
+        """Runs of letters are one piece each, whose first id alone starts with the space: encode them as one text."""
+        if not words:
+            return
+        ids = np.array(self.once.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.flatnonzero(self.starts[ids])
+        if len(cuts) == len(words):
+            raw, ends = ids.tobytes(), (np.r_[cuts[1:], len(ids)] * self.dtype.itemsize).tolist()
+            self.rest.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def learn(self, cuts: set[str]) -> None:
+        """Fill ``rest``. A mark at a cut's end and a line feed inside are pieces of their own, what follows one has no space."""
+        rest, lines, marked, words, odd = self.rest, [], [], set(), []
+        for c in cuts:
+            if c.isalpha():
+                words.add(c)
+            elif c[-1:] in (".", ",") and c[:-1].isalpha():
+                marked.append(c)
+                words.add(c[:-1])
+            elif c != c.strip() or not c or "<|" in c:
+                rest[c] = None  # not a cut that can be encoded alone
+            elif c.count("\n") == 1 and len(c.split()) == 2:
+                lines.append(c)
+            else:
+                odd.append(c)
+        halves = [c.split("\n") for c in lines]
+        if not all(a and b and not a[-1].isspace() and not b[0].isspace() for a, b in halves):
+            odd += lines
+            halves = lines = []
+        for a, _ in halves:
+            if a.isalpha():
+                words.add(a)
+            elif a[-1] in ".," and a[:-1].isalpha():
+                marked.append(a)
+                words.add(a[:-1])
+            else:
+                odd.append(a)
+        self.learn_words([w for w in words if w not in rest])
+        left = []
+        for c in marked:
+            stem = rest.get(c[:-1])
+            if stem is None:
+                left.append(c)
+            else:
+                rest[c] = stem + self.marks[c[-1]]
+        left += odd + [w for w in words if w not in rest]
+        rest.update(zip(left, self.whole([" " + c for c in left])))
+        heads = list({b for _, b in halves}.difference(self.first))
+        self.first.update(zip(heads, self.whole(heads)))
+        for c, (a, b) in zip(lines, halves):
+            rest[c] = rest[a] + self.marks["\n"] + self.first[b]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        out = [None] * len(texts)
         split = [t.split(" ") for t in texts]
-        self.learn({s[0] for s in split}, self.first, "")
-        out, at = [None] * len(texts), 0
-        while at < len(split):  # as many texts at a time as the cache holds
-            some, end = set(), at
-            while end < len(split) and (end == at or len(some) + len(split[end]) <= CACHE_PIECES):
-                some.update(split[end][1:])
-                end += 1
-            self.learn(some, self.rest, " ")
+        for lo in range(0, len(split), 64):
+            new = set().union(*split[lo:lo + 64]).difference(self.rest)
+            if len(self.rest) + len(self.first) + len(new) > CACHE_PIECES:
+                self.rest.clear(), self.first.clear()
+                new = set().union(*split[lo:lo + 64])
+            if new:
+                self.learn(new)
             get = self.rest.get
-            for i in range(at, end):
-                ids = [self.first.get(split[i][0]), *map(get, split[i][1:])]
+            for i in range(lo, min(lo + 64, len(split))):
+                head = split[i][0]
+                ids = self.first.get(head)
+                if ids is None:
+                    ids = b"" if not head and len(split[i]) == 1 else None if get(head, b"") is None else self.whole([head])[0]
+                    self.first[head] = ids
+                ids = [ids, *map(get, split[i][1:])]
                 out[i] = None if None in ids else b"".join(ids)
-            at = end
         left = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(left, self.whole([texts[i] for i in left])):
             out[i] = ids
