@@ -73,7 +73,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(w), F.lit(0).cast("long"))).drop("chunk_size")
     sources = targets(sums.groupBy("source").agg(F.sum("chunk_size").alias("source_size")))
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn(
-        "quota", F.least(F.round(F.col("target") / BLOCK).cast("long"), REPEAT * F.col("blocks")))
+        "quota", F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), REPEAT * F.col("blocks"))).otherwise(0))
     sources = written(sources, "mix-sources")
     bases = bases.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     own = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,14 +162,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     took = rows.where("size > 0").select(key, "tie", "size", "source_no", "begin").join(turns, ["source_no", "begin"])
     took = took.groupBy("key", "tie", "begin").agg(F.collect_list(F.struct("spans", "got", "size")).alias("rounds"))
     took = took.groupBy("key", "tie").agg(F.array_sort(F.collect_list(F.struct("begin", "rounds"))).alias("of_equal"))
-    # one shuffle of the texts, by key and tie; equal rows take their shares in turn
+    # one shuffle of the texts, by key and tie; equal rows take their shares in turn. A row travels whole, so no column can clash
     nth = F.row_number().over(Window.partitionBy("key", "tie").orderBy("tie"))
-    out = docs.select("*", key, F.xxhash64("text", "doc_id").alias("tie")).withColumn("nth", nth).join(took, ["key", "tie"])
-    out = out.withColumn("round", F.explode(F.get("of_equal", F.col("nth") - 1)["rounds"])).select(*docs.columns, "round.*")
+    out = docs.select(F.struct(*docs.columns).alias("row"), key, F.xxhash64("text", "doc_id").alias("tie")).withColumn("nth", nth).join(took, ["key", "tie"])
+    out = out.select("row", F.explode(F.get("of_equal", F.col("nth") - 1)["rounds"]).alias("round")).select("row", F.col("row.text").alias("text"), "round.*")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(
         words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
+    out = out.select("row", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
