@@ -1,9 +1,9 @@
 """Language identification of mixed texts.
 
-Learning (Spark job): counts of letter n-grams (1 to 3, with word ends) and of
-whole words per language, over at most ``max_docs`` labelled documents chosen by
-a hash of doc_id; the table keeps the ``max_features`` most frequent features.
-It also learns which scripts each language uses.
+Learning (Spark job): counts of letter n-grams (1 to 4, with word ends) per
+language, over at most about ``max_docs`` labelled documents chosen by a hash of
+doc_id; the table keeps the ``max_features`` most frequent n-grams, filed under
+hashes of their letters. It also learns which scripts each language uses.
 
 Prediction: scripts, given as code point ranges, narrow a word's candidates to
 the languages that use its script; each remaining language scores the word by
@@ -19,7 +19,6 @@ prediction; extra columns are ignored. Whole texts are used, whatever length.
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -29,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_FEATURES = 20_000, 100_000
+from chainweave.plans.lineage import written
+
+MAX_DOCS, MAX_FEATURES = 10_000, 30_000
 SWITCH = 12.0
 SLICE_CHARS = 3_000_000  # texts handled at a time in a task
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+TABLE_BITS = 18
+LONGEST = 4  # of the n-grams
 #: starts of script ranges by code point (fixed values of the Unicode standard, blocks of one script merged)
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -49,50 +52,94 @@ def script_of(ch: str) -> str:
 
 
 def features(run: str) -> list[str]:
-    """n-grams of a letter run with its ends marked, and the run itself."""
-    s = f"^{run}$"
-    return [s[i:i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)] + [f"={run}"]
+    """n-grams of a letter run with its ends marked."""
+    s = f"_{run}_"
+    return [s[i:i + n] for n in range(1, LONGEST + 1) for i in range(len(s) - n + 1) if s[i:i + n] != "_"]
+
+
+def gram_slots(codes: np.ndarray, n: int) -> np.ndarray:
+    """Place in the table of each n-gram of code points."""
+    h = np.full(max(0, len(codes) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x100000001B3) + codes[k:k + len(h)]
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) + 1
+
+
+_alpha = None
+
+
+def is_letter(codes: np.ndarray) -> np.ndarray:
+    global _alpha
+    if _alpha is None:
+        _alpha = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), dtype=np.uint8).astype(bool)
+    return _alpha[codes]
 
 
 class Model:
-    def __init__(self, langs: list[str], table: dict, scripts: dict):
-        """table: feature -> log-probabilities by language; scripts: script -> allowed languages as a mask."""
-        self.langs, self.table, self.scripts = langs, table, scripts
+    """Row 0 of ``table`` is what an unknown n-gram says: nothing."""
+
+    def __init__(self, langs: list[str], grams: dict, scripts: dict):
+        """grams: n-gram -> log-probabilities by language; scripts: script -> allowed languages as a mask."""
+        self.langs = langs
+        table = np.zeros(((1 << TABLE_BITS) + 1, len(langs)), dtype=np.float32)
+        for g, v in grams.items():
+            table[gram_slots(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[0]] = v
+        refused = np.zeros((len(SCRIPTS), len(langs)), dtype=np.float32)
+        for i, (_, name) in enumerate(SCRIPTS):
+            if name in scripts:
+                refused[i] = -50.0 * ~scripts[name]
+        self.table, self.refused = table, refused
         self.reset()
 
     def __getstate__(self):
-        return self.langs, self.table, self.scripts
+        return self.langs, self.table, self.refused
 
     def __setstate__(self, state):
-        self.langs, self.table, self.scripts = state
+        self.langs, self.table, self.refused = state
         self.reset()
 
     def reset(self):
         self.index: dict = {}
-        self.scores = np.zeros((1024, len(self.langs)))
-        self.letters = np.zeros(1024, dtype=np.int64)
-
-    def learn_word(self, word: str) -> int:
-        i = len(self.index)
-        if i == len(self.letters):
-            self.scores, self.letters = np.vstack([self.scores, self.scores * 0]), np.append(self.letters, self.letters * 0)
-        total, n = np.zeros(len(self.langs)), 0
-        for run in _RUN.findall(word.lower()):
-            n += len(run)
-            known = [self.table[f] for f in features(run) if f in self.table]
-            if known:
-                total += np.sum(known, axis=0) / 3
-            allowed = self.scripts.get(script_of(run[0]))
-            if allowed is not None:
-                total = total - 50.0 * len(run) * ~allowed
-        self.scores[i] = total - total.max() if len(total) else total
-        self.letters[i] = n
-        self.index[word] = i
-        return i
-
-    def words(self, text: str) -> np.ndarray:
-        get, learn = self.index.get, self.learn_word
-        return np.array([i if (i := get(w)) is not None else learn(w) for w in text.split()], dtype=np.int64)
+        self.scores = np.zeros((0, len(self.langs)), dtype=np.float32)
+        self.letters = np.zeros(0, dtype=np.int64)
+
+    def learn_words(self, words: list[str]) -> None:
+        """Scores of new words, all at once: sums over their n-grams, less what their scripts refuse."""
+        for lo in range(0, len(words), 20_000):
+            part = words[lo:lo + 20_000]
+            codes = np.frombuffer(("_" + "_".join(part) + "_").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            letter = is_letter(codes)
+            codes = np.where(letter, codes, 0x5F).astype(np.uint64)
+            lens = np.array([len(w) for w in part], dtype=np.int64) + 1  # a word and the mark before it
+            starts = np.cumsum(lens) - lens
+            total = np.zeros((len(codes), len(self.langs)), dtype=np.float32)
+            for n in range(1, LONGEST + 1):
+                slot = gram_slots(codes, n)
+                ok = letter[:len(slot)].copy() if n == 1 else np.ones(len(slot), dtype=bool)
+                for k in range(1, n - 1):  # ends of words stand at the ends of an n-gram only
+                    ok &= letter[k:k + len(slot)]
+                if n == 2:
+                    ok &= letter[:-1] | letter[1:]
+                total[:len(slot)] += self.table[np.where(ok, slot, 0)] / 3
+            script = np.searchsorted(_STARTS, codes, side="right") - 1
+            total += self.refused[script] * letter[:, None]
+            new = np.add.reduceat(total, starts, axis=0)
+            self.scores = np.vstack([self.scores, new - new.max(axis=1, keepdims=True)])
+            self.letters = np.append(self.letters, np.add.reduceat(letter.astype(np.int64), starts))
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each text."""
+        split = [t.lower().split() for t in texts]
+        new = set().union(*split).difference(self.index)
+        if new:
+            if len(self.index) + len(new) > CACHE_WORDS:
+                self.reset()
+                new = set().union(*split)
+            self.learn_words(list(new))
+        get = self.index.__getitem__
+        return [np.fromiter(map(get, s), dtype=np.int64, count=len(s)) for s in split]
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> Model:
@@ -122,23 +169,28 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATU
 
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, f string, n long").groupBy("f").agg(
         F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top = counts.orderBy(F.col("f").startswith("#").desc(), F.desc("total"), "f").limit(max_features).collect()  # bounded by max_features
-    table, scripts, langs = {}, {}, sorted({b.lang for r in top for b in r.by})
+    counts = written(counts, "language-counts")
+    # the least count that leaves at most max_features: from a histogram of counts, at most a few hundred rows
+    level = F.floor(F.log2("total") * 8).cast("int")
+    bound, held = 0, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        held += r.n
+        if held > max_features:
+            bound = r.level + 1
+            break
+    top = counts.where((level >= bound) | F.startswith(F.col("f"), F.lit("#"))).select("f", F.explode("by").alias("b")).select("f", "b.lang", "b.n").toArrow()
+    table, scripts, langs, by_feature = {}, {}, sorted(set(top["lang"].to_pylist())), {}
     at = {x: i for i, x in enumerate(langs)}
-    by_feature = {}
-    for r in top:
-        v = np.zeros(len(langs))
-        for b in r.by:
-            v[at[b.lang]] += b.n
-        by_feature[r.f] = v
+    for f, lang, n in zip(*(top[c].to_pylist() for c in ("f", "lang", "n"))):
+        by_feature.setdefault(f, np.zeros(len(langs)))[at[lang]] += n
     letters = sum((v for f, v in by_feature.items() if f[0] == "#"), np.zeros(len(langs)))
-    kinds = {}  # log-probabilities within n-grams of each length, and within words
+    kinds = {}  # log-probabilities within n-grams of each length
     for f, v in by_feature.items():
         if f[0] == "#":
             if len(f) > 1:
                 scripts[f[1:]] = v >= 0.01 * np.maximum(letters, 1)
             continue
-        kinds.setdefault("=" if f[0] == "=" and len(f) > 1 else len(f), []).append(f)
+        kinds.setdefault(len(f), []).append(f)
     for names in kinds.values():
         m = np.array([by_feature[f] for f in names])
         p = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(names)))
@@ -174,12 +226,10 @@ def label_spans(scores: np.ndarray, docs: list[np.ndarray], switch: float) -> li
 
 def predict_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -> list[tuple]:
     """(lang, score, spans as (from word, to word, lang)) of each text."""
-    if len(model.index) > CACHE_WORDS:
-        model.reset()
     out = [("und", 0.0, [])] * len(texts)
     if not model.langs:
         return out
-    words = [model.words(t or "") for t in texts]
+    words = model.words([t or "" for t in texts])
     order = sorted((i for i, w in enumerate(words) if model.letters[w].sum()), key=lambda i: -len(words[i]))
     at = 0
     while at < len(order):
