@@ -82,7 +82,7 @@ def _most(cutoff: int, normalized: bool) -> Column:
     if not normalized:
         return F.lit(cutoff)
     # largest m with int(100 m / length + 0.5) <= cutoff
-    return F.ceil((cutoff + 0.5) * F.length("seq") / 100 - 1e-9).cast("int") - 1
+    return F.greatest(F.ceil((cutoff + 0.5) * F.length("seq") / 100 - 1e-9).cast("int") - 1, F.lit(0))
 
 
 def _segments(df: DataFrame, cutoff: int, normalized: bool) -> DataFrame:
@@ -103,7 +103,7 @@ def hamming(left: DataFrame, right: DataFrame | None = None, cutoff: int = 2, no
     pairs = pairs.select("arm", "seq", "seq2", "n", "k").distinct()
     m = mismatches(F.split("seq", ""), F.split("seq2", ""))
     pairs = pairs.withColumn("m", m).where(F.col("m") <= F.col("k"))
-    dist = F.floor(100 * F.col("m") / F.col("n") + 0.5) if normalized else F.col("m")
+    dist = F.floor(100 * F.col("m") / F.greatest("n", F.lit(1)) + 0.5) if normalized else F.col("m")
     return _mirror(pairs.select(*_edges(F.col("seq"), F.col("seq2"), dist)), left if square else None)
 
 
