@@ -15,8 +15,10 @@ the bit covariance over all fingerprints); thresholds t_i >= -1 with
 sum(t_i) = radius - parts + 1 are allotted by dynamic programming on candidate
 counts estimated from the same statistics (as is the number of parts). Any two fingerprints within the
 radius agree within t_i bits on some part i, so each fingerprint is filed under
-its part's value and, for t_i > 0, under all values within t_i bits; only
-fingerprints filed under one key are compared. Work is on distinct fingerprints.
+its part's value and, for t_i > 0, under all values within one bit: two that
+differ in one or two bits of the part meet half way. Only fingerprints filed
+under one key are compared, and a pair is linked under the first key that both
+have. Work is on distinct fingerprints.
 A key with more than ``bucket`` fingerprints is filed again by parts of its
 remaining bits, which keeps every link. Inside a key only a spanning set of
 links is emitted, never all pairs.
@@ -30,7 +32,6 @@ columns beside doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from chainweave.plans.lineage import written
 
 BUCKET = 4096
 WIDE = 4  # 64-bit words of a verifying fingerprint
+VIA = 128  # via: part times VIA, plus the flipped bit's place in the part from 1, or 0
 FILE_COST = 500.0  # of filing a fingerprint under a key, in comparisons
 
 
@@ -144,16 +146,17 @@ def estimated_candidates(n: int, ones: np.ndarray, cov: np.ndarray, part: list[i
     """Expected pairs that agree within t bits on a part: chain of bits, each given its most correlated predecessor."""
     if t < 0 or not part:
         return 0.0 if t < 0 else float(n) ** 2
-    agree, flips = 1.0, []
+    agree, odds = 1.0, [1.0, 0.0, 0.0]  # odds: of no, one and two differing bits against none
     for i, b in enumerate(part):
         p = ones[b] ** 2 + (1 - ones[b]) ** 2
         if i:
             a = max(part[:i], key=lambda x: abs(cov[x, b]))
             p = min(1.0, p + 4 * cov[a, b] ** 2 / max(1e-9, ones[a] ** 2 + (1 - ones[a]) ** 2))
         agree *= p
-        flips.append((1 - p) / max(p, 1e-9))
-    total = 1.0 + (sum(flips) if t >= 1 else 0) + (sum(x * y for x, y in combinations(flips, 2)) if t >= 2 else 0)
-    return float(n) ** 2 * min(1.0, agree * total)
+        x = (1 - p) / max(p, 1e-9)
+        odds = [odds[0], odds[1] + x * odds[0], odds[2] + x * odds[1]]
+    met = [1.0] if t == 0 else [len(part) + 1.0, 2.0, 2.0]  # keys under which such a pair meets
+    return float(n) ** 2 * agree * sum(k * o for k, o in zip(met, odds))
 
 
 def allot(costs: list[list[float]], radius: int) -> tuple[float, list[int]] | None:
@@ -179,8 +182,7 @@ def plan(n: int, ones: np.ndarray, cov: np.ndarray, bits: list[int], radius: int
             break
         costs = []
         for g in groups:
-            keys = np.cumsum([math.comb(len(g), t) for t in range(min(2, radius, len(g)) + 1)])
-            costs.append([0.0, *(FILE_COST * n * k + estimated_candidates(n, ones, cov, g, t) for t, k in enumerate(keys.tolist()))])
+            costs.append([0.0, *(FILE_COST * n * (len(g) + 1 if t else 1) + estimated_candidates(n, ones, cov, g, t) for t in range(min(2, radius, len(g)) + 1))])
         found = allot(costs, radius)
         if found and (best is None or found[0] < best[0]):
             best = (found[0], groups, found[1])
@@ -203,7 +205,7 @@ def _mix(level: int, i: int, before: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def filed(fps: DataFrame, parts: list[list[int]], ts: list[int], level: int) -> DataFrame:
-    """fps(key0, fp, wide, rep) -> one row per key that a fingerprint is filed under."""
+    """fps(key0, fp, wide, rep) -> one row per key that a fingerprint is filed under; via: part and flipped bit."""
 
     def run(batches):
         for b in batches:
@@ -213,11 +215,11 @@ def filed(fps: DataFrame, parts: list[list[int]], ts: list[int], level: int) ->
                 if t < 0:
                     continue
                 v = _gather(u, part)
-                for flips in (c for r in range(t + 1) for c in combinations(range(len(part)), r)):
-                    mask = np.uint64(sum(1 << f for f in flips))
+                for flip in range(-1, len(part) if t else 0):
+                    mask = np.uint64(1 << flip if flip >= 0 else 0)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_mix(level, i, k0, v ^ mask).view(np.int64)), pa.array(fp), b.column("wide"), pa.array(rep),
-                         pa.array(np.full(len(fp), i, np.int32))], names=["key", "fp", "wide", "rep", "via"])
+                         pa.array(np.full(len(fp), i * VIA + flip + 1, np.int32))], names=["key", "fp", "wide", "rep", "via"])
 
     return fps.mapInArrow(run, "key long, fp long, wide binary, rep long, via int")
 
@@ -245,8 +247,8 @@ class Near:
             x, y = x[ok], y[ok]
         return x, y
 
-    def spanning(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect ``at`` as all its links do, at most one for each fingerprint: from the first one met, breadth first.
+    def spanning(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Links that connect ``at`` as all its links do, and whether these are all of them; where they are many, at most one for each fingerprint: from the first one met, breadth first.
 
         Most have no neighbour, so neighbours are counted first, in blocks.
         """
@@ -263,7 +265,7 @@ class Near:
                 break
         if few is not None:
             x, y = (np.concatenate(c) for c in zip(*few))
-            return at[x[x < y]], at[y[x < y]]
+            return at[x[x < y]], at[y[x < y]], True
         todo = np.arange(n)
         while len(todo):
             seed, front, todo = todo[0], todo[:1], todo[1:]
@@ -276,13 +278,28 @@ class Near:
                 front, todo = todo[near], todo[~near]
                 src.append(np.full(len(front), at[seed]))
                 dst.append(at[front])
-        return (np.concatenate(src), np.concatenate(dst)) if src else (at[:0], at[:0])
+        return (np.concatenate(src), np.concatenate(dst), False) if src else (at[:0], at[:0], False)
 
 
-def spanning_links(keyed: DataFrame, radius: int, wide_radius: int, width: int) -> DataFrame:
-    """src, dst: links that connect, key by key, what is linked there."""
+def first_meeting(fp: np.ndarray, rep: np.ndarray, via: np.ndarray, a: np.ndarray, b: np.ndarray, masks: list[int], ts: list[int]) -> np.ndarray:
+    """For rows a and b of one key whether no earlier key holds both: the first part within its threshold; there the shared value, else that of the smaller rep or of the lower flip."""
+    part, x = via[a] // VIA, fp[a] ^ fp[b]
+    first = part == via[b] // VIA
+    own = np.zeros(len(a), dtype=np.int64)
+    for i, (mask, t) in enumerate(zip(masks, ts)):
+        d = np.bitwise_count(x & np.uint64(mask)).astype(np.int64)
+        first &= (part <= i) | (d > t)
+        own = np.where(part == i, d, own)
+    fa, fb = via[a] % VIA, via[b] % VIA
+    smaller = np.where(rep[a] < rep[b], fa, fb)
+    return first & np.where(own == 2, np.where(rep[a] < rep[b], fa < fb, fb < fa), smaller == 0)
 
-    def links(key, fp, wide, rep):
+
+def spanning_links(keyed: DataFrame, groups: list[list[int]], ts: list[int], radius: int, wide_radius: int, width: int) -> DataFrame:
+    """src, dst: links that connect, key by key, what is linked there; a pair within small keys comes once."""
+    masks, reach = [sum(1 << b for b in g) for g in groups], [2 if t > 0 else t for t in ts]
+
+    def links(key, fp, wide, rep, via):
         near = Near(fp.view(np.uint64), np.frombuffer(b"".join(wide), "<u8").reshape(len(fp), -1) if len(fp) and wide[0] else None, radius, wide_radius)
         src, dst, places = [], [], np.arange(len(key))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -293,20 +310,24 @@ def spanning_links(keyed: DataFrame, radius: int, wide_radius: int, width: int)
                 break
             a = np.flatnonzero((key[k:] == key[:-k]) & small[k:])
             a = a[near.pairs(a, a + k)]
+            a = a[first_meeting(near.fps, rep, via, a, a + k, masks, reach)]
             src.append(a)
             dst.append(a + k)
         for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-            x, y = near.spanning(places[s:s + n])
+            x, y, whole = near.spanning(places[s:s + n])
+            if whole:
+                once = first_meeting(near.fps, rep, via, x, y, masks, reach)
+                x, y = x[once], y[once]
             src.append(x)
             dst.append(y)
         src, dst = (rep[np.concatenate(c)] if c else rep[:0] for c in (src, dst))
         return pa.RecordBatch.from_arrays([pa.array(src[src != dst]), pa.array(dst[src != dst])], names=["src", "dst"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for b in batches:
             new = [b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False),
-                   b.column("wide").to_pylist(), b.column("rep").to_numpy(zero_copy_only=False)]
+                   b.column("wide").to_pylist(), b.column("rep").to_numpy(zero_copy_only=False), b.column("via").to_numpy(zero_copy_only=False)]
             rows = [h + x if isinstance(h, list) else np.concatenate([h, x]) for h, x in zip(held, new)]
             if not len(rows[0]):
                 continue
@@ -316,7 +337,7 @@ def spanning_links(keyed: DataFrame, radius: int, wide_radius: int, width: int)
                 yield links(*(r[:cut] for r in rows))
         yield links(*held)
 
-    return keyed.select("key", "fp", "wide", "rep").repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
+    return keyed.select("key", "fp", "wide", "rep", "via").repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
 def components(rows: DataFrame, radius: int, wide_radius: int, bucket: int) -> DataFrame:
@@ -336,9 +357,9 @@ def components(rows: DataFrame, radius: int, wide_radius: int, bucket: int) -> D
                 over = keyed.join(big, "key").select(F.col("key").alias("key0"), "fp", "wide", "rep", "via")
                 for i, g in enumerate(groups):
                     if thresholds[i] >= 0:
-                        work.append((over.where(F.col("via") == i).drop("via"), [x for x in free if x not in g], level + 1))
+                        work.append((over.where(F.floor(F.col("via") / VIA) == i).drop("via"), [x for x in free if x not in g], level + 1))
                 keyed = keyed.join(big, "key", "left_anti")
-        links.append(spanning_links(keyed, radius, wide_radius, width))
+        links.append(spanning_links(keyed, groups, thresholds, radius, wide_radius, width))
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)

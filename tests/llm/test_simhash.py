@@ -75,3 +75,28 @@ def test_empty(spark):
 
 def test_allotment():
     assert simhash.allot([[0, 1, 5], [0, 2, 3], [0, 9, 10]], 2)[1] == [1, 0, -1] or sum(simhash.allot([[0, 1, 5], [0, 2, 3], [0, 9, 10]], 2)[1]) == 0
+
+
+def test_half_way_meetings_lose_no_link(spark):
+    """Wide radius, where parts with two differing bits meet under a flipped key; links of small keys come once."""
+    import random
+
+    r = random.Random(5)
+    fps = [r.getrandbits(64) for _ in range(150)]
+    for f in fps[:100]:
+        for n in (3, 6, 8):
+            g = f
+            for b in r.sample(range(64), n):
+                g ^= 1 << b
+            fps.append(g)
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f, b"") for i, f in enumerate(fps)], "doc_id long, fp long, wide binary")
+    for radius in (3, 5, 8):
+        want = components(fps, list(range(len(fps))), radius)
+        got = {x.doc_id: x.component_id for x in simhash.components(df, radius, 0, 4096).collect()}
+        assert [got[i] for i in range(len(fps))] == want
+    rows = df.selectExpr("0L as key0", "fp", "wide", "doc_id as rep")
+    n, ones, cov = simhash.bit_statistics(df)
+    parts, ts = simhash.plan(n, ones, cov, list(range(64)), 8)
+    links = [(min(x), max(x)) for x in simhash.spanning_links(simhash.filed(rows, parts, ts, 0), parts, ts, 8, 0, 4).collect()]
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 8}
+    assert set(links) == want and len(links) == len(want)
