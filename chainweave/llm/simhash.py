@@ -346,18 +346,20 @@ def components(rows: DataFrame, radius: int, wide_radius: int, bucket: int) -> D
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fps = written(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-distinct")
     n, ones, cov = bit_statistics(fps)
-    links, work = [], [(fps.select(F.lit(0).cast("long").alias("key0"), "fp", "wide", "rep"), list(range(64)), 0)]
+    links, work = [], [(fps.select(F.lit(0).cast("long").alias("key0"), "fp", "wide", "rep"), list(range(64)), 0, n)]
     while work:
-        todo, free, level = work.pop()
-        groups, thresholds = plan(n, ones, cov, free, radius)
+        todo, free, level, size = work.pop()
+        groups, thresholds = plan(size, ones, cov, free, radius)
         keyed = filed(todo, groups, thresholds, level)
         if level < 2 and len(free) > 32:
-            big = written(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"), "simhash-big")
+            big = written(keyed.groupBy("key").count().where(F.col("count") > bucket), "simhash-big")
             if not big.isEmpty():
-                over = keyed.join(big, "key").select(F.col("key").alias("key0"), "fp", "wide", "rep", "via")
+                c = F.col("count").cast("double")
+                mean = math.ceil(big.agg(F.sum(c * c) / F.sum(c)).first()[0])  # rows that a row of these keys is compared with
+                over = keyed.join(big.select("key"), "key").select(F.col("key").alias("key0"), "fp", "wide", "rep", "via")
                 for i, g in enumerate(groups):
                     if thresholds[i] >= 0:
-                        work.append((over.where(F.floor(F.col("via") / VIA) == i).drop("via"), [x for x in free if x not in g], level + 1))
+                        work.append((over.where(F.floor(F.col("via") / VIA) == i).drop("via"), [x for x in free if x not in g], level + 1, mean))
                 keyed = keyed.join(big, "key", "left_anti")
         links.append(spanning_links(keyed, groups, thresholds, radius, wide_radius, width))
     edges = links[0]
