@@ -5,11 +5,6 @@ Fingerprint: lower-case A-Z, cut at ASCII white space, XXH64 (seed 42) of each
 Fingerprints differing in at most ``radius`` bits are linked; a document's
 component is the smallest doc_id reachable.
 
-``near_duplicates`` is the same search for copies with edits: it probes with a
-fingerprint of distinct words and a larger radius and verifies links with a
-256-bit fingerprint of five-word shingles, at the distance that a similarity
-(Jaccard) of ``similarity`` gives on average.
-
 Search (exact): bits are grouped so that correlated bits share a part (greedy on
 the bit covariance over all fingerprints); thresholds t_i >= -1 with
 sum(t_i) = radius - parts + 1 are allotted by dynamic programming on candidate
@@ -38,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.llm.near import near_duplicates  # noqa: F401
 from chainweave.plans.components import connected_components
 from chainweave.plans.lineage import written
 
 BUCKET = 4096
-WIDE = 4  # 64-bit words of a verifying fingerprint
 VIA = 128  # via: part times VIA, plus the flipped bit's place in the part from 1, or 0
 FILE_COST = 500.0  # of filing a fingerprint under a key, in comparisons
 
@@ -62,24 +57,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(_majority(np.array(hashes, dtype="<u8"))[0])
 
 
-def edit_fingerprints(text: str | None) -> tuple[int, bytes]:
-    """(64-bit SimHash of the distinct words, 256-bit SimHash of the five-word shingles) of a text, lower-cased, without ASCII punctuation."""
-    from chainweave.llm.decontaminate import masked, word_hashes
-
-    words = word_hashes(text)
-    if not len(words):
-        return 0, bytes(8 * WIDE)
-    shingles = masked(words, "1" * min(5, len(words)))
-    return int(_majority(np.unique(words))[0]), b"".join(_majority(_spread(shingles, k)).tobytes() for k in range(WIDE))
-
-
-def _spread(x: np.ndarray, k: int) -> np.ndarray:
-    x = x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(s))) * np.uint64(m)
-    return x ^ (x >> np.uint64(31))
-
-
 def _majority(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 16):
@@ -88,14 +65,13 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, edits: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long), wide (the verifying fingerprint, empty without ``edits``)."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long), wide (a verifying fingerprint, empty here)."""
 
     def run(batches):
         for b in batches:
-            fps = [edit_fingerprints(x.as_py()) if edits else (fingerprint(x.as_py()), b"") for x in b.column("text")]
-            own = np.array([f for f, _ in fps], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own), pa.array([w for _, w in fps], pa.binary())], names=["doc_id", "fp", "wide"])
+            own = np.array([fingerprint(x.as_py()) for x in b.column("text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own), pa.array([b""] * len(own), pa.binary())], names=["doc_id", "fp", "wide"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long, wide binary")
@@ -375,13 +351,3 @@ def simhash_components(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -
     rows = written(fingerprints(docs), "simhash-fp")
     return components(rows, radius, 0, bucket).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 8, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, component_id for every row of ``docs``: texts whose five-word shingles are about ``similarity`` alike are linked."""
-    cosine = 2 * similarity / (1 + similarity)
-    bits = 64 * WIDE
-    share = math.acos(cosine) / math.pi
-    rows = written(fingerprints(docs, edits=True), "simhash-fp")
-    # the mean distance at that similarity and one and a half standard deviations
-    return components(rows, radius, round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share))), bucket).select("doc_id", "component_id")
