@@ -67,6 +67,32 @@ def test_edited_copies_are_brute_force(spark):
     assert found(spark, texts) == want
 
 
+def test_repeated_line_weighs_once(spark):
+    line = "the same line again and again "
+    r = random.Random(12)
+    texts = [line * 400 + " ".join(text(r, 60)) for _ in range(4)]
+    assert found(spark, texts) == [0, 1, 2, 3]
+
+
+def test_exact_links_and_blocks(spark):
+    """A group dealt into blocks, a chain that only neighbours link, and texts near the limit."""
+    r = random.Random(13)
+    words, texts = text(r, 300), []
+    for _ in range(40):
+        texts.append(" ".join(words))
+        words = words[12:] + text(r, 12)
+    base = text(r, 200)
+    texts += [" ".join(changed(r, base, "substituted", 0.08 * (1 + k % 3))) for k in range(60)]
+    want = brute(texts)
+    sets = [near.shingles(t) for t in texts]
+    rng = list(range(len(texts)))
+    for i, j in near.exact_links(sets, 0.8):
+        a, b = rng[i], rng[j]
+        rng = [min(a, b) if x in (a, b) else x for x in rng]
+    assert rng == want
+    assert found(spark, texts) == found(spark, texts, tokens=3000) == want
+
+
 def test_short_and_empty_texts(spark):
     texts = ["", " . ", "one two", "One two!", "one three", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h j k"]
     want = [0, 0, 2, 2, 4, 5, 5, 7]
