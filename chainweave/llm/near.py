@@ -216,3 +216,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, tokens: int = TOKE
     rows = written(grouped(docs, similarity, tokens), "near-rows")
     names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "component").select("doc_id", "component_id")
+
+
+def survivors(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash: one row of each group of copies, that with the smallest doc_id (none only if no other has one)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    return grouped(docs, similarity).groupBy("component").agg(first).select("row.doc_id", "row.text_hash")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm import decontaminate, language, mixing, simhash, token_files
+from chainweave.llm import decontaminate, language, mixing, near, token_files
 from chainweave.llm.queries import language_model, table, tokenizer_file
 from chainweave.plans.lineage import scratch_path
 
@@ -25,11 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies: the one with the smallest doc_id, once. Documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(
-        docs.where("doc_id is null"))
+    """One row of each group of copies: that with the smallest doc_id; rows count by id and text, so equal or missing ids lose no other text."""
+    keep = near.survivors(docs).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    rows = near.with_text_hash(docs)
+    return rows.join(keep, rows.doc_id.cast("long").eqNullSafe(keep.id) & (rows.text_hash == keep.hash), "left_semi").dropDuplicates(
+        ["doc_id", "text_hash"]).select(*docs.columns)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

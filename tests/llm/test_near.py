@@ -97,3 +97,15 @@ def test_short_and_empty_texts(spark):
     texts = ["", " . ", "one two", "One two!", "one three", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h j k"]
     want = [0, 0, 2, 2, 4, 5, 5, 7]
     assert found(spark, texts) == want
+
+
+def test_pipeline_stage_keeps_one_row_of_each_group(spark):
+    """Equal ids with different texts, and copies without an id."""
+    import corpus_pipeline
+
+    r = random.Random(14)
+    a, b, c, d = (" ".join(text(r, 80)) for _ in range(4))
+    rows = [(i, t, "en", "a", 0, 0, "") for i, t in [(1, a), (5, b), (5, a), (5, b), (None, c), (None, c), (None, d), (7, d), (None, a)]]
+    out = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "")
+    assert sorted((str(x.doc_id), x.text) for x in out.collect()) == sorted([("1", a), ("5", b), ("None", c), ("7", d)])
+    assert out.columns == table(spark, rows).columns
