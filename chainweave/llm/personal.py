@@ -10,7 +10,7 @@ candidate that overlaps a base span of its kind adds nothing.
 The trees learn from weak labels: what a check accepts (Luhn sum, octets, strict
 form, variety of characters) against what it rejects; the checks' own inputs are
 not features. They are fitted on the candidates of at most about ``MAX_DOCS``
-documents chosen by a hash; scores are computed as column expressions over the
+documents chosen by a hash, thresholds on those of all; scores are computed as column expressions over the
 trees, so a document's spans are found in one projection without a shuffle.
 
 Positions are code points, ends exclusive. Patterns use possessive repeats, so
@@ -155,24 +155,27 @@ def _candidates(text: Column, name: str, kind: str, pattern: str, test: str) ->
     return _spans(text, pattern, test)
 
 
+def _labelled(rows: DataFrame, folds: Column) -> DataFrame:
+    """kind, f (features), label of all candidates in ``rows`` whose fold is among ``folds``."""
+    parts = None
+    for name, kind, pattern, test in GENERATORS:
+        x = F.col("x")
+        one = rows.select(F.explode(_candidates(F.col("text"), name, kind, pattern, test)).alias("x")).withColumn(
+            "fold", F.pmod(F.xxhash64(x["m"]), F.lit(3))).where(folds).select(
+            F.lit(kind).alias("kind"), F.array(*_features(x, name)).alias("f"), weak_label(kind, x["m"]).cast("double").alias("label"))
+        parts = one if parts is None else parts.union(one)
+    return parts
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Selector:
-    """Fit the trees and calibrate thresholds on docs(doc_id, text)."""
+    """Fit the trees on docs(doc_id, text), or a sample of about ``max_docs``, and calibrate thresholds on all of them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     n = docs.select("doc_id").count()
     rows = docs.where("text is not null")
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
-    parts = None
-    for name, kind, pattern, test in GENERATORS:
-        x = F.col("x")
-        one = rows.select(F.explode(_candidates(F.col("text"), name, kind, pattern, test)).alias("x")).select(
-            F.lit(kind).alias("kind"), F.array(*_features(x, name)).alias("f"), weak_label(kind, x["m"]).cast("double").alias("label"),
-            F.pmod(F.xxhash64(x["m"]), F.lit(3)).alias("fold"))
-        parts = one if parts is None else parts.union(one)
-    data = written(parts, "pii-candidates")
-    learn = data.where("fold < 2")
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30))) if n > max_docs else rows
+    learn = written(_labelled(sample, F.col("fold") < 2), "pii-candidates")
     classes = [r.label for r in learn.select("label").distinct().collect()]
     if len(classes) < 2:
         return Selector()
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Selector:
 
     found = Selector([read(t._call_java("rootNode")) for t in model.trees], [float(w) for w in model.treeWeights])
     margin = found.margin([F.get("f", i) for i in range(N_FEATURES)])
-    bins = data.where("fold = 2").select("kind", "label", F.floor(F.least(F.greatest((margin + 2) * (BINS / 4), F.lit(0.0)), F.lit(BINS - 1.0))).alias("bin"))
+    bins = _labelled(rows, F.col("fold") == 2).select("kind", "label", F.floor(F.least(F.greatest((margin + 2) * (BINS / 4), F.lit(0.0)), F.lit(BINS - 1.0))).alias("bin"))
     table = bins.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # kinds x BINS rows at most
     for kind in MORE_KINDS:
         good = n = 0

@@ -138,6 +138,20 @@ def test_personal_boosting(spark):
     assert not personal.fit(table(spark, [])).trees
 
 
+def test_personal_thresholds_cover_all_documents(spark):
+    """A kind that only documents outside the sample of the trees have is calibrated all the same."""
+    share = int(100 / 400 * (1 << 30))
+    chosen = {r.id for r in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).collect()}
+    rows = []
+    for i in range(400):
+        more = f"mail user{i}@host{i}.org or user{i} at (at)x card 4111 1111 1111 {1000 + i}" if i in chosen else f"password = Zq{i}xK9mw4Lt{i}"
+        rows.append((i, f"text {i} {more} end", "en", "a", 0, 0, ""))
+    docs = table(spark, rows)
+    selector = personal.fit(docs, max_docs=100)
+    assert selector.trees and "secret" in selector.thresholds
+    assert all("secret:" in r.spans for r in personal.find(docs, selector).collect() if r.doc_id not in chosen)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
