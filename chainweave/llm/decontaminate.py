@@ -13,15 +13,19 @@ The benchmark is the query set and is broadcast in blocks of at most
 once per block and nothing of them is shuffled. Each placement is verified in
 the task that holds the document.
 
-Cases: null and empty texts overlap nothing; items of fewer than ``LEAST`` words
-are not looked for; items shorter than a mask get a mask of their own length;
-null doc_ids are kept; repeated documents and items are reported each; empty
+Items of up to ``SHORT`` words get masks of their own length, one for each set of
+places that may differ, so that no placement that passes is missed.
+
+Cases: null and empty texts overlap nothing, nor do items without words; items of
+fewer than five words must agree in every word; null doc_ids are kept; repeated documents and items are reported each; empty
 tables give no overlaps; extra columns are ignored (and kept by ``decontaminated``).
 """
 
 from __future__ import annotations
 
+import math
 import string
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,10 @@ from chainweave.llm.language import slices
 
 #: 1: position is read, 0: ignored
 MASKS = ("1101011", "111001011", "1001101011", "11100000111")
-WINDOW, AGREE, LEAST = 13, 0.8, 5
+WINDOW, AGREE, SHORT = 13, 0.8, 10
 BLOCK_HASHES = 2_000_000
 CACHE_WORDS = 300_000
+HASHES_A_WORD = 5  # at most: four masks, or 45 for an item of 10 words
 _PUNCT = str.maketrans(dict.fromkeys(string.punctuation, " "))
 _ODD = np.random.RandomState(20240229).randint(1, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict = {}
@@ -70,37 +75,48 @@ def masked(words: np.ndarray, mask: str) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def agreeing(n: int) -> int:
+    """Words of a window of n that must agree."""
+    return math.ceil(AGREE * n - 1e-9)
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks of n positions, one for each set of ignored ones that the verification accepts."""
+    return ["".join("0" if k in off else "1" for k in range(n)) for off in combinations(range(n), n - agreeing(n))]
+
+
 class Index:
     """Masked windows of some benchmark items."""
 
     bits = 22
 
     def __init__(self, items: list[tuple]):
-        self.items = [(i, words) for i, words in items if len(words) >= LEAST]
-        short = sorted({len(w) for _, w in self.items if len(w) < max(map(len, MASKS))})
+        self.items = [(i, words) for i, words in items if len(words)]
+        short = sorted({len(w) for _, w in self.items if len(w) <= SHORT})
         self.seeds = []
-        for mask in [*MASKS, *("1" * n for n in short)]:
-            own = [(masked(w, mask), k) for k, (_, w) in enumerate(self.items)
-                   if len(w) == len(mask) or mask in MASKS]
+        for mask, size in [*((m, None) for m in MASKS), *((m, n) for n in short for m in short_masks(n))]:
+            own = [(masked(w, mask), k) for k, (_, w) in enumerate(self.items) if (len(w) == size if size else len(w) > SHORT)]
             h = np.concatenate([a for a, _ in own]) if own else np.zeros(0, np.uint64)
             at = np.concatenate([np.arange(len(a)) for a, _ in own]) if own else np.zeros(0, int)
             item = np.concatenate([np.full(len(a), k) for a, k in own]) if own else np.zeros(0, int)
             order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << self.bits, dtype=bool)
-            seen[h >> np.uint64(64 - self.bits)] = True
+            # there may be many short masks: a table of their own size for each
+            bits = min(self.bits, max(10, (64 * len(h)).bit_length())) if size else self.bits
+            seen = np.zeros(1 << bits, dtype=bool)
+            seen[h >> np.uint64(64 - bits)] = True
             if len(h):
-                self.seeds.append((mask, h[order], at[order], item[order], np.packbits(seen)))
+                self.seeds.append((mask, h[order], at[order], item[order], np.packbits(seen), bits))
         self.seen: dict = {}
 
     def placements(self, words: np.ndarray, doc: np.ndarray, start: np.ndarray):
         """(document, item, place of the item's first word) of all hits; doc: document of each word, start: its first word."""
         found = []
-        for k, (mask, h, at, item, packed) in enumerate(self.seeds):
+        for k, (mask, h, at, item, packed, bits) in enumerate(self.seeds):
             seen = self.seen.get(k)
             if seen is None:
                 seen = self.seen[k] = np.unpackbits(packed).astype(bool)
             x = masked(words, mask)
-            pos = np.flatnonzero(seen[x >> np.uint64(64 - self.bits)])
+            pos = np.flatnonzero(seen[x >> np.uint64(64 - bits)])
             pos = pos[doc[pos] == doc[pos + len(mask) - 1]] if len(pos) else pos
             lo, hi = np.searchsorted(h, x[pos], "left"), np.searchsorted(h, x[pos], "right")
             for a in np.flatnonzero(hi > lo):
@@ -124,7 +140,7 @@ class Index:
             if b - a < w:
                 continue
             same = np.cumsum(np.r_[0, words[a:b] == own[a - first:b - first]])
-            good = np.flatnonzero(same[w:] - same[:-w] >= np.ceil(AGREE * w - 1e-9))
+            good = np.flatnonzero(same[w:] - same[:-w] >= agreeing(w))
             if len(good):
                 x, y = int(a + good[0]), int(a + good[-1] + w)
                 row = (int(same[y - a] - same[x - a]), -x, y)
@@ -136,7 +152,7 @@ def indexes(benchmark: DataFrame, block_hashes: int = BLOCK_HASHES):
     """Indexes over all items of benchmark(item_id, text), block by block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-words * len(MASKS) // block_hashes))
+    blocks = max(1, -(-words * HASHES_A_WORD // block_hashes))
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield Index([(r.item_id, word_hashes(r.text)) for r in part.orderBy("item_id", "text").toLocalIterator()])

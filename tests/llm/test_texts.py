@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -57,6 +58,17 @@ def test_decontaminate(spark):
     assert decontaminate.overlaps(table(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_short_items_every_placement(n):
+    """Every set of substitutions that the verification accepts is found, and none beyond."""
+    words = [f"w{k}" for k in range(n)]
+    index = decontaminate.Index([(1, decontaminate.word_hashes(" ".join(words)))])
+    allowed = n - decontaminate.agreeing(n)
+    for off in (c for m in range(allowed + 2) if m <= n for c in combinations(range(n), m)):
+        text = " ".join(["a b", *("other" if k in off else w for k, w in enumerate(words)), "c"])
+        assert len(index.overlaps([text])) == (len(off) <= allowed), off
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40 + i, 30)) for i in range(6)], "item_id long, text string")
     rows = [(i, prose(40 + i, 30), None, None, 0, 0, "") for i in range(6)]
