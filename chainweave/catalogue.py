@@ -352,14 +352,6 @@ _distance("dist_norm_hamming", "normalized_hamming", " select a.arm, a.seq as se
 _distance("dist_levenshtein", "levenshtein", " select a.arm, a.seq as seq1, b.seq as seq2, cast(levenshtein(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and abs(length(a.seq) - length(b.seq)) <= 2 where levenshtein(a.seq, b.seq) <= 2")
 _M = distances.substitution_matrix()
 _MATRIX = ", mat as (select * from (values " + ",".join(f"('{a}{b}',{_M[i, j]})" for i, a in enumerate(distances.LETTERS) for j, b in enumerate(distances.LETTERS)) + ") m(pair, v))"
-# few distinct sequences, so that the oracle's letter by letter comparison ends soon
-_FEW = " few as (select distinct arm, seq from s where substr(seq, length(seq)-1, 1) in ('A','C') ),"
-
-
-def few(spark, sf) -> DataFrame:
-    return seqs(spark, sf).where("substr(seq, length(seq) - 1, 1) in ('A', 'C')")
-
-
 def _scored(name: str, metric: str, sql: str):
     def f(spark, sf):
         return distances.ir_dist(seqs(spark, sf), None, metric)
@@ -404,16 +396,15 @@ def sequence_dist(spark, sf):
 
 # ---- clonotypes ------------------------------------------------------------------------------------------------------
 
-#: equal-component label for identity clusters under "or" rules: nodes are cells and chains, minima spread over them
 def _components(nodes: str) -> str:
-    """``nodes``: SQL giving (ord, hub) pairs; label of a cell: least cell_ord reachable through shared hubs (fixed number of doublings)."""
-    steps, last = [], "l0"
-    for i in range(12):
-        steps += [f"h{i} as materialized (select hub, min(low) as low from inc join {last} using (ord) group by hub)",
-                  f"l{i + 1} as materialized (select ord, min(h{i}.low) as low from inc join h{i} using (hub) group by ord)"]
-        last = f"l{i + 1}"
-    return f", inc as materialized ({nodes}), l0 as materialized (select distinct ord, ord as low from inc), " + ", ".join(steps) + \
-        f" select 'cell_'||ord as cell_id, cast(dense_rank() over (order by low) - 1 as varchar) as cluster_id, count(*) over (partition by low) as cluster_size from {last}"
+    """``nodes``: SQL giving (ord, hub) pairs; label of a cell: least cell_ord reachable through shared hubs, spread until nothing changes."""
+    return f""", inc as materialized ({nodes}),
+spread(ord, low) using key (ord) as (
+  select distinct ord, ord as low from inc
+  union
+  select t.ord, min(h.low) as low from inc join (select hub, min(c.low) as low from inc join recurring.spread c using (ord) group by hub) h using (hub)
+    join recurring.spread t on t.ord = inc.ord where h.low < t.low group by t.ord)
+select 'cell_'||ord as cell_id, cast(dense_rank() over (order by low) - 1 as varchar) as cluster_id, count(*) over (partition by low) as cluster_size from spread"""
 
 
 def _clusters(name: str, nodes: str | None, **options):

@@ -1,12 +1,14 @@
 """Where intermediate tables live and how lineage is cut.
 
 Everything that must outlive an executor goes to the folder named by
-``spark.checkpoint.dir``, which all machines of a cluster share. Only when the
-session names none (tests on one machine) is a temporary folder made.
+``spark.checkpoint.dir``, which all machines of a cluster share. A session that
+names none gets a temporary folder only where driver and executors are one
+process (a ``local`` master); anywhere else that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one where none is configured."""
+    """The session's shared folder; with a ``local`` master a temporary one where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="chainweave-")
