@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.plans.lineage import cut
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Column | str, name: str) -> DataFrame:
     """Add ``name``: 0, 1, ... by ``order``: a distributed sort, then one offset per partition."""
     rows = cut(df.orderBy(order).withColumn("_id", F.monotonically_increasing_id()))
     rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
