@@ -3,7 +3,8 @@
 Learning (Spark job): counts of letter n-grams (1 to 4, with word ends) per
 language, over at most about ``max_docs`` labelled documents chosen by a hash of
 doc_id; the table keeps the ``max_features`` most frequent n-grams, filed under
-hashes of their letters. It also learns which scripts each language uses.
+hashes of their letters (both numbers bound the fitted model, not what is
+predicted). It also learns which scripts each language uses.
 
 Prediction: scripts, given as code point ranges, narrow a word's candidates to
 the languages that use its script; each remaining language scores the word by
@@ -167,18 +168,19 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATU
                 part = items[lo:lo + 50_000]
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "f": [f for f, _ in part], "n": [k for _, k in part]})
 
-    counts = rows.select("lang", "text").mapInArrow(count, "lang string, f string, n long").groupBy("f").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    counts = written(counts, "language-counts")
+    # one row per n-gram and language, whatever the number of tasks that counted
+    counts = written(rows.select("lang", "text").mapInArrow(count, "lang string, f string, n long").groupBy("f", "lang").agg(F.sum("n").alias("n")), "language-counts")
+    totals = counts.groupBy("f").agg(F.sum("n").alias("total"))
     # the least count that leaves at most max_features: from a histogram of counts, at most a few hundred rows
     level = F.floor(F.log2("total") * 8).cast("int")
     bound, held = 0, 0
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+    for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         held += r.n
         if held > max_features:
             bound = r.level + 1
             break
-    top = counts.where((level >= bound) | F.startswith(F.col("f"), F.lit("#"))).select("f", F.explode("by").alias("b")).select("f", "b.lang", "b.n").toArrow()
+    chosen = totals.where((level >= bound) | F.startswith(F.col("f"), F.lit("#"))).select("f")
+    top = counts.join(chosen, "f", "left_semi").select("f", "lang", "n").toArrow()  # at most max_features n-grams per language
     table, scripts, langs, by_feature = {}, {}, sorted(set(top["lang"].to_pylist())), {}
     at = {x: i for i, x in enumerate(langs)}
     for f, lang, n in zip(*(top[c].to_pylist() for c in ("f", "lang", "n"))):

@@ -4,23 +4,25 @@ A document's size is its number of words. Sources (by code point, null last)
 weigh 1, 2, 3 in turn and share all sizes by weight; a target stops at
 ``repeat`` times its source's size and the excess is shared again by weight.
 
-Each source's documents form one stream of words (chunks of doc_id, then
-doc_id, then text hash), packed into blocks of ``block`` words; a document lies in the blocks its
-words fall into. The mix has slots of one block each, in output shards of
-``shard`` slots. Every slot draws its source from the target shares by a hash of
-its number, which gives each shard multinomial source counts; a source's counts
-are then cut at its quota (its target in blocks, ``repeat`` rounds at most) and
-what is missing at the end goes to closing shards, so totals are exact to a
-block. Slot k of a source takes block perm(k mod n), perm being an affine
-permutation of the source's n blocks with a hashed start, so within a round no
-block comes twice and none more than ``repeat`` times in all. Joining slots to
-blocks by index gives each document its words taken.
+Each source's documents form one stream of words (chunks by a hash of text and
+doc_id, then doc_id, then that hash), packed into blocks of ``block`` words; a
+document lies in the blocks its words fall into. The mix has slots of one block
+each, in output shards of ``shard`` slots. Every slot draws its source from the
+target shares by a hash of its number, which gives each shard multinomial source
+counts; a source's counts are then cut at its quota (its target in blocks,
+``repeat`` rounds at most) and what is missing at the end goes to closing shards,
+so totals are exact to a block. In round r a source's slot k takes block
+perm(k), perm being a pseudorandom permutation of the source's n blocks of its
+own for each source and round (a swap-or-not shuffle: a bijection for every n),
+so within a round no block comes twice and none more than ``repeat`` times in
+all. Joining slots to blocks by index gives each document its words taken.
 
 Determinism: only hashes of row values and slot numbers decide; reruns agree.
 Cases: null text or no words: size 0, takes nothing; null source is a source of
 its own; repeated rows are separate documents; empty tables give no rows; other
 columns are passed through by ``mixed_documents`` and ignored by ``mix``.
-Skew: prefix sums run over (source, chunk of doc_id), never a whole source.
+Skew: prefix sums run over (source, chunk), never a whole source; equal rows are
+counted before they meet, so neither a common id nor a common row is a hot key.
 """
 
 from __future__ import annotations
@@ -29,46 +31,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.plans.lineage import written
+from chainweave.plans.numbering import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 BLOCK, SHARD, CHUNK, REPEAT = 64, 4096, 2048, 3
-#: multipliers of the block permutation; the first that shares no factor with the number of blocks is used
-PRIMES = (999_983, 999_979, 999_961, 999_959, 999_953, 999_931, 999_917, 999_907)
+SWAPS = 48  # rounds of the shuffle
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, rounds: int = 64) -> DataFrame:
-    """sizes(source, source_size) -> also weight and target. One row per source: water filling in array form.
+def targets(sizes: DataFrame) -> DataFrame:
+    """sizes(source, source_size) -> also source_no, weight and target, one row per source.
 
-    Uncapped sources share what capped ones leave, in proportion to weight; a
-    source is capped when its cap per weight is below the common level. Sorting
-    by cap per weight makes the level a prefix sum, so no loop is needed.
+    Uncapped sources share what capped ones leave, in proportion to weight: a
+    source is capped when its cap per weight is below the common level, which
+    rises with each source that is capped, until no more are.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("pos", F.row_number().over(order)).withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("pos") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    w = w.withColumn("cap", F.col("source_size") * float(REPEAT)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    up = Window.orderBy("ratio", "pos")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    w = w.withColumn("total", F.sum("source_size").over(everything).cast("double")).withColumn("level", (F.col("total") - before) / rest)
-    # the capped come first in this order; the first that isn't capped sees the common level, later ones a lower one
-    w = w.withColumn("capped", F.col("ratio") < F.col("level"))
-    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
-    w = w.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * level)))
-    return w.select("source", "source_size", "weight", "target", F.col("pos").cast("long").alias("source_no"))
+    place = F.col("source_no") % len(WEIGHTS)
+    w = numbered(sizes, F.col("source").asc_nulls_last(), "source_no").withColumn(
+        "weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place + 1).cast("int")).cast("double"))
+    w = written(w.withColumn("cap", F.col("source_size") * float(REPEAT)), "mix-weights")
+    level, seen = 0.0, None
+    while True:
+        over = F.col("cap") < F.col("weight") * F.lit(level)
+        n, total, capped, free = w.agg(F.count_if(over), F.sum("source_size").cast("double"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)),
+                                       F.sum(F.when(~over, F.col("weight")).otherwise(0.0))).first()
+        if n == seen or not free:
+            break
+        seen, level = n, (total - capped) / free
+    return w.withColumn("target", F.least("cap", F.col("weight") * F.lit(level))).drop("cap")
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents without texts, with size and start in their source's stream; the sources with targets and blocks)."""
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text", "doc_id").alias("tie"))
-    rows = written(rows, "mix-sizes").withColumn("chunk", F.floor(F.coalesce("doc_id", F.lit(-1)) / CHUNK))
-    sums = written(rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size")), "mix-chunks")
+    rows = written(rows, "mix-sizes")
+    chunks = max(1, -(-rows.count() // CHUNK))
+    rows = rows.groupBy("source", "doc_id", "tie", "size").agg(F.count(F.lit(1)).alias("copies")).withColumns({
+        "chunk": F.pmod("tie", F.lit(chunks).cast("long")), "words": F.col("size") * F.col("copies")})
+    rows = written(rows, "mix-rows")
+    sums = written(rows.groupBy("source", "chunk").agg(F.sum("words").alias("chunk_size")), "mix-chunks")
     w = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(w), F.lit(0).cast("long"))).drop("chunk_size")
     sources = targets(sums.groupBy("source").agg(F.sum("chunk_size").alias("source_size")))
@@ -77,33 +82,31 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = written(sources, "mix-sources")
     bases = bases.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     own = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0).cast("long")))
+    rows = rows.withColumn("within", F.coalesce(F.sum("words").over(own), F.lit(0).cast("long")))
     bases = bases.withColumnRenamed("source", "s").withColumnRenamed("chunk", "c")
     rows = rows.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).drop("s", "c")
-    return rows.withColumn("begin", F.col("base") + F.col("within")).drop("base", "within", "chunk"), sources
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("begin", F.col("base") + F.col("within") + F.col("copy") * F.col("size"))
+    return rows.drop("base", "within", "chunk", "words", "copies", "copy"), sources
 
 
 def drawn_slots(sources: DataFrame) -> DataFrame:
-    """source_no, blocks, first, last: per shard and source the range of the source's slots (last excluded)."""
+    """source_no, blocks, first, last: per shard and source the range of the source's slots (last excluded); ``sources`` is a written table."""
     spark = sources.sparkSession
     live = sources.where("quota > 0")
-    everything = Window.partitionBy()
-    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = live.withColumns({"slots": F.sum("quota").over(everything), "hi": F.sum("quota").over(upto)}).withColumn(
-        "lo", F.col("hi") - F.col("quota"))
-    # each slot draws a point below the number of slots; the source whose span holds it is drawn
-    total = shares.agg(F.coalesce(F.max("slots"), F.lit(0)), F.count("*"), F.collect_list(F.struct("hi", "source_no"))).first()
-    slots, n_sources = int(total[0]), int(total[1])
-    point = F.pmod(F.xxhash64(F.lit("slot"), "id"), F.lit(max(1, slots)))
-    if n_sources <= 4096:  # ends of the spans as one literal
-        ends = sorted((int(r.hi), int(r.source_no)) for r in total[2])
-        pick = F.expr("element_at(array(" + ",".join(f"{s}L" for _, s in ends) + f"), cast(width_bucket_at as int))") if ends else F.lit(0)
-        array = "array(" + ",".join(f"{e}L" for e, _ in ends) + ")"
-        draws = spark.range(slots).withColumn("point", point).withColumn(
-            "width_bucket_at", F.expr(f"size(filter({array}, e -> e <= point)) + 1") if ends else F.lit(1)).withColumn("source_no", pick)
-    else:
-        draws = spark.range(slots).withColumn("point", point).join(
-            shares.select("lo", "hi", "source_no"), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
+    slots, n_sources = (int(x) for x in live.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first())
+    # each slot draws a point below the number of slots; the source whose span holds it is drawn.
+    # Spans and points meet by pages of points, of which there are twice as many as sources.
+    page = max(1, -(-slots // (2 * n_sources))) if n_sources else 1
+    upto = Window.partitionBy("part").orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parted = live.withColumn("part", F.floor(F.col("source_no") / SHARD))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for SHARD sources
+    bases = parted.groupBy("part").agg(F.sum("quota").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    spans = parted.withColumn("end", F.sum("quota").over(upto)).join(bases, "part").select(
+        "source_no", (F.col("base") + F.col("end") - F.col("quota")).alias("lo"), (F.col("base") + F.col("end")).alias("hi"))
+    spans = spans.withColumn("page", F.explode(F.sequence(F.floor(F.col("lo") / page), F.floor((F.col("hi") - 1) / page))))
+    draws = spark.range(slots).withColumn("point", F.pmod(F.xxhash64(F.lit("slot"), "id"), F.lit(max(1, slots)).cast("long")))
+    draws = draws.withColumn("page", F.floor(F.col("point") / page)).join(spans, "page").where("point >= lo and point < hi")
     counts = written(draws.groupBy(F.floor(F.col("id") / SHARD).alias("shard"), "source_no").agg(F.count("*").alias("n")), "mix-draws")
     shard = Window.partitionBy("source_no").orderBy("shard")
     run = counts.withColumn("upto", F.sum("n").over(shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -118,13 +121,26 @@ def drawn_slots(sources: DataFrame) -> DataFrame:
     return cut.where("first < last").unionByName(closing)
 
 
+def permuted(index: Column, n: Column, *key: Column) -> Column:
+    """Place of ``index`` in a pseudorandom permutation of 0 .. n - 1 that ``key`` names.
+
+    Swap-or-not: each round pairs x with k - x (mod n), k from the key and round,
+    and a hash of the larger of the two tells whether the pair swaps.
+    """
+
+    def swap(x, i):
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("k"), i, *key), n) - x, n)
+        return F.when(F.xxhash64(i, *key, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAPS)), index, swap)
+
+
 def block_uses(sources: DataFrame) -> DataFrame:
     """source_no, block, uses: how many slots of the mix take each block."""
     slots = drawn_slots(sources).select("source_no", "blocks", F.explode(F.expr("sequence(first, last - 1)")).alias("slot"))
-    prime = F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p).cast("long")) for p in PRIMES], F.lit(1).cast("long"))
-    start = F.pmod(F.xxhash64(F.lit("start"), "source_no"), F.col("blocks"))
-    index = F.pmod(F.col("slot") % F.col("blocks") * prime + start, F.col("blocks"))
-    return slots.groupBy("source_no", index.alias("block")).agg(F.count("*").alias("uses"))
+    turn = F.floor(F.col("slot") / F.col("blocks"))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), turn)
+    return slots.groupBy("source_no", block.alias("block")).agg(F.count("*").alias("uses"))
 
 
 def _mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,19 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more are linked.
+"""SimHash near-dedup on five-word shingles: documents with a Jaccard similarity of ``similarity`` or more are linked.
 
 Words are those of decontaminate (lower case, ASCII punctuation as spaces); a
 text of fewer than five words is one shingle. A set counts each shingle once.
 
-Candidates are sets that agree in one of several bands of ``ROWS`` min-hashes; a
-pair at the similarity shares a band with probability ``RECALL``, one above it
-more surely. Candidates chain into groups, each set travels once to its group (a
-group of more than ``TOKENS`` shingles is dealt into blocks, and every two blocks
-meet), and there every pair is compared by its exact Jaccard similarity: an
-inverted index over the rarest shingles finds all that can reach it. What comes
-out connects a group exactly as all its links do, never all pairs.
+Candidates: SimHash fingerprints of the sets within ``RADIUS`` bits, found by the
+generalised pigeonhole search of simhash. At a similarity of 0.8 about 10 of 64
+bits differ, further than any selective part reaches, so this alone would lose
+most such pairs; sets that agree in one of several bands of ``ROWS`` min-hashes
+are candidates too: a pair at the similarity shares a band with probability
+``RECALL``, one above it more surely. Candidates chain into groups, each set
+travels once to its group (a group of more than ``TOKENS`` shingles is dealt into
+blocks, and every two blocks meet), and there every pair is compared by its exact
+Jaccard similarity: an inverted index over the rarest shingles finds all that can
+reach it. What comes out connects a group exactly as all its links do, never all
+pairs.
 
 Cases: texts without words have the empty set and are copies of one another;
 null doc_ids are kept but can't name a component (it is null if no other member
@@ -27,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainweave.llm.decontaminate import masked, word_hashes
+from chainweave.llm.simhash import majority, search
 from chainweave.plans.components import connected_components
 from chainweave.plans.lineage import written
 
-ROWS, RECALL, TOKENS = 6, 0.9999, 1 << 21
+RADIUS, ROWS, RECALL, TOKENS = 3, 6, 0.9999, 1 << 21
 SLACK = 1e-9
 
 
@@ -67,8 +72,15 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes, as a signed long."""
+    x = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    fp = majority(x ^ (x >> np.uint64(29)))
+    return fp - (fp >> 63 << 64)
+
+
 def _sets(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_hash, set_id, n (shingles), bands of every row."""
+    """doc_id, text_hash, set_id, n (shingles), bands and fp of every row; none of both where no other set can be similar."""
     odd = multipliers(bands_for(similarity))
     # n shingles differ from another set in one at least: below similarity when n / (n + 1) is
     least = next(n for n in range(1, 1 << 30) if n / (n + 1) >= similarity - SLACK) if similarity < 1 else 1 << 62
@@ -77,12 +89,13 @@ def _sets(docs: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             own = [shingles(x.as_py()) for x in b.column("text")]
             keys = [band_keys(x, odd) if len(x) >= least else np.zeros(0, np.int64) for x in own]
+            fps = [simhash_of(x) if len(x) >= least else None for x in own]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array([set_id(x) for x in own], pa.int64()),
-                 pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "set_id", "n", "bands"])
+                 pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())],
+                names=["doc_id", "text_hash", "set_id", "n", "bands", "fp"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, set_id long, n long, bands array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, set_id long, n long, bands array<long>, fp long")
 
 
 def _stars(keyed: DataFrame, width: int) -> DataFrame:
@@ -195,7 +208,14 @@ def grouped(docs: DataFrame, similarity: float = 0.8, tokens: int = TOKENS) -> D
     docs = with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = written(_sets(docs, similarity), "near-sets")
     keyed = rows.dropDuplicates(["set_id"]).select(F.explode("bands").alias("key"), "set_id")
-    groups = connected_components(_stars(keyed, width)).withColumnRenamed("component", "cluster")
+    # sets of one fingerprint form a star, linked fingerprints an edge between the middles of theirs
+    prints = rows.where("fp is not null").select("fp", "set_id").distinct()
+    middles = written(prints.groupBy("fp").agg(F.min("set_id").alias("mid")), "near-prints")
+    close = search(middles.select("fp"), RADIUS)
+    close = close.join(middles.select(F.col("fp").alias("src"), F.col("mid").alias("a")), "src").join(
+        middles.select(F.col("fp").alias("dst"), F.col("mid").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    own = prints.join(middles, "fp").where("set_id <> mid").select(F.col("mid").alias("src"), F.col("set_id").alias("dst"))
+    groups = connected_components(_stars(keyed, width).union(close).union(own)).withColumnRenamed("component", "cluster")
     # one row of each set that has candidates
     held = rows.groupBy("set_id").agg(F.min("n").alias("n"), F.min(F.struct("text_hash", "doc_id")).alias("row")).join(
         groups.withColumnRenamed("node", "set_id"), "set_id")

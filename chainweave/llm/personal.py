@@ -7,11 +7,16 @@ boosted trees score them by format and context features; a threshold per kind,
 calibrated on held-out candidates to ``PRECISION``, selects what is added. A
 candidate that overlaps a base span of its kind adds nothing.
 
-The trees learn from weak labels: what a check accepts (Luhn sum, octets, strict
-form, variety of characters) against what it rejects; the checks' own inputs are
-not features. They are fitted on the candidates of at most about ``MAX_DOCS``
-documents chosen by a hash, thresholds on those of all; scores are computed as column expressions over the
-trees, so a document's spans are found in one projection without a shuffle.
+The trees learn from weak labels that their features don't hold (``weak_label``,
+``features``): for card, ip and phone numbers the label is the check (Luhn sum,
+octets, a leading + and its digits), features are grouping, length and context;
+for email the label is the strict form, features are context and length; for
+secrets the label is the context (a credential's name and = or : stand before),
+features are the string's own form, so strings of that form are found where no
+name stands. They are fitted on the candidates of at most about ``MAX_DOCS``
+documents chosen by a hash, thresholds on those of all; scores are computed as
+column expressions over the trees, so a document's spans are found in one
+projection without a shuffle.
 
 Positions are code points, ends exclusive. Patterns use possessive repeats, so
 matching takes linear time and no recursion on long texts; they match exactly
@@ -46,12 +51,12 @@ GENERATORS = (
     ("dotted", "ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3,7}+", r"[0-9]\.[0-9]"),
     ("digits", "card", r"[0-9](?:[\x20.-]?+[0-9]){11,}+", r"[0-9]"),
     ("dial", "phone", r"\+?+(?:[0-9]{1,3}+[\x20.-])?+\(?+[0-9]{2,4}+\)?+[\x20.-][0-9]{2,4}+[\x20.-]?+[0-9]{2,4}+(?:[\x20.-][0-9]{2,4}+){0,2}+", r"[0-9][\x20).-]"),
-    ("named", "secret", r"(?i)(?:token|secret|password|passwd|api[_-]?key)\s{0,3}+[:=]\s{0,3}+[\"']?+[^\s\"']{8,}+", r"[:=]"),
-    ("hex", "secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])", r"[0-9]"),
+    ("run", "secret", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{8,}+", r"[0-9]"),
 )
 MAX_DOCS, PRECISION, TREES, DEPTH, BINS = 50_000, 0.95, 12, 4, 50
 CONTEXT = 24
-HINTS = r"(?i)(mail|contact|tel|phone|call|fax|card|visa|account|addr|host|server|ip|token|secret|pass|key)"
+HINTS = r"(?i)(mail|contact|tel|phone|call|fax|card|visa|account|addr|host|server|ip)"
+NAMED = r"(?i)(?:token|secret|password|passwd|api[_-]?key|credential)\s{0,3}[:=]\s{0,3}[\"']?$"
 
 
 def _spans(text: Column, pattern: str, test: str | None) -> Column:
@@ -105,32 +110,32 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(_spans(text, BASE[kind], test), lambda x: passes(kind, x["m"]))
 
 
-def _features(x: Column, name: str) -> list[Column]:
-    m = x["m"]
+def features(x: Column, kind: str) -> list[Column]:
+    """Numbers of a candidate; 0 where the label of its kind would show."""
+    m, before, after = x["m"], x["before"], x["after"]
     count = lambda p: F.regexp_count(m, F.lit(p)).cast("double")
+    unless = lambda c, *kinds: F.lit(0.0) if kind in kinds else c
     n = F.length(m).cast("double")
-    before, after = x["before"], x["after"]
     return [
-        n, F.length(digits_of(m)).cast("double"), count("[A-Za-z]"), count(r"[\x20.-]"), count(r"[()\[\]]"), count("[a-f]"),
-        F.size(F.array_distinct(F.split(m, ""))).cast("double") / F.greatest(n, F.lit(1.0)),
-        F.rlike(before, F.lit(r"[0-9A-Za-z]$")).cast("double"), F.rlike(after, F.lit("[0-9A-Za-z]")).cast("double"),
-        F.rlike(before, F.lit(HINTS)).cast("double"),
-        F.lit(float([g[0] for g in GENERATORS].index(name))),
+        n, unless(F.length(digits_of(m)).cast("double"), "phone", "email"), unless(count("[A-Za-z]"), "email"), unless(count(r"[\x20.-]"), "email", "ip"),
+        unless(count(r"[()\[\]]"), "email"), unless(count("[a-f]"), "email"), unless(F.size(F.array_distinct(F.split(m, ""))).cast("double") / F.greatest(n, F.lit(1.0)), "card"),
+        unless(F.rlike(before, F.lit(r"[0-9A-Za-z]$")).cast("double"), "secret"), unless(F.rlike(after, F.lit("[0-9A-Za-z]")).cast("double"), "secret"),
+        unless(F.rlike(before, F.lit(HINTS)).cast("double"), "secret"), F.lit(float(MORE_KINDS.index(kind))),
     ]
 
 
 N_FEATURES = 11
 
 
-def weak_label(kind: str, m: Column) -> Column:
-    """What a check says of a candidate; its inputs are not among the features."""
+def weak_label(kind: str, x: Column) -> Column:
+    """What a check, or for secrets the context, says of a candidate; what it looks at is not among the kind's features."""
     if kind == "email":
-        return F.rlike(m, F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
+        return F.rlike(x["m"], F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
     if kind == "phone":
-        return F.startswith(m, F.lit("+")) & passes("phone", m)
+        return F.startswith(x["m"], F.lit("+")) & passes("phone", x["m"])
     if kind == "secret":
-        return F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(m, ""))) >= 8)
-    return passes(kind, m)
+        return F.rlike(x["before"], F.lit(NAMED))
+    return passes(kind, x["m"])
 
 
 @dataclass
@@ -151,18 +156,14 @@ class Selector:
         return total
 
 
-def _candidates(text: Column, name: str, kind: str, pattern: str, test: str) -> Column:
-    return _spans(text, pattern, test)
-
-
 def _labelled(rows: DataFrame, folds: Column) -> DataFrame:
     """kind, f (features), label of all candidates in ``rows`` whose fold is among ``folds``."""
     parts = None
-    for name, kind, pattern, test in GENERATORS:
+    for _, kind, pattern, test in GENERATORS:
         x = F.col("x")
-        one = rows.select(F.explode(_candidates(F.col("text"), name, kind, pattern, test)).alias("x")).withColumn(
+        one = rows.select(F.explode(_spans(F.col("text"), pattern, test)).alias("x")).withColumn(
             "fold", F.pmod(F.xxhash64(x["m"]), F.lit(3))).where(folds).select(
-            F.lit(kind).alias("kind"), F.array(*_features(x, name)).alias("f"), weak_label(kind, x["m"]).cast("double").alias("label"))
+            F.lit(kind).alias("kind"), F.array(*features(x, kind)).alias("f"), weak_label(kind, x).cast("double").alias("label"))
         parts = one if parts is None else parts.union(one)
     return parts
 
@@ -201,24 +202,25 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Selector:
 
 
 def find(docs: DataFrame, selector: Selector) -> DataFrame:
-    """doc_id, n_<kind> and base (base spans), spans (base and added): strings kind:start:end, by kind, then start."""
+    """doc_id, n_<kind> and base (base spans), spans (base and added): strings kind:start:end, by kind, then start; n_spans: their number."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     rows = rows.withColumn("secret", F.array().cast(rows.schema["email"].dataType))
     added = {k: [] for k in MORE_KINDS}
-    for name, kind, pattern, test in GENERATORS:
+    for _, kind, pattern, test in GENERATORS:
         if kind in selector.thresholds:
-            score = lambda x, name=name: selector.margin(_features(x, name))
+            score = lambda x, kind=kind: selector.margin(features(x, kind))
             own = F.col(kind)
-            more = F.filter(_candidates(F.col("text"), name, kind, pattern, test), lambda x: ~F.exists(
+            more = F.filter(_spans(F.col("text"), pattern, test), lambda x: ~F.exists(
                 own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (score(x) >= selector.thresholds[kind]))
             added[kind].append(F.transform(more, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     plain = lambda k: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     label = lambda k, spans: F.transform(spans, lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")))
     base = F.array_join(F.concat(*(label(k, plain(k)) for k in KINDS)), ",")
-    everything = F.array_join(F.concat(*(label(k, F.array_sort(F.array_distinct(F.concat(plain(k), *added[k])))) for k in MORE_KINDS)), ",")
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), everything.alias("spans"))
+    everything = F.concat(*(label(k, F.array_sort(F.array_distinct(F.concat(plain(k), *added[k])))) for k in MORE_KINDS))
+    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), F.array_join(everything, ",").alias("spans"),
+                       F.size(everything).cast("long").alias("n_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -40,7 +40,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.read_windows(chat.format_windows(turns))
+    return chat.read_windows(chat.format_windows(turns, tokenizer_file()))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal.find(docs, personal.fit(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,72 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+# ---- what SQL can express of a query whose other columns it can't -----------------------------------------------------
+
+
+def text_turn_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_chat_windows(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def text_hand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def text_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def text_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_personal(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+_TOPK = """with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10"""
+
+_TURNS = """with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256 from t group by conv_id"""
+
+_HAND = """with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)
+select page_id, host, path, case """ + " ".join(
+    f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{h}{p}'" for _, h, p in sorted(url_rules.RULES, key=lambda r: -len(r[1] + r[2]))) + " end as rule from p"
+
+_TARGETS = """with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight from d group by source),
+o as (select *, 3.0::double * source_size / weight as ratio from s),
+l as (select *, (cast(sum(source_size) over () as double) - coalesce(sum(3.0::double * source_size) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
+  / cast(sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as double) as level from o),
+c as (select max(level) filter (ratio >= level) as level from l)
+select d.doc_id, d.size, s.source_size, least(3.0::double * s.source_size, s.weight * coalesce(c.level, 'infinity'::double)) as target
+from d join s on d.source is not distinct from s.source, c"""
+
+#: pattern and test of each kind (fixed values of the contract)
+_BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.m, '.'), lambda o: length(ltrim(o, '0')) > 3 or cast('0'||right(ltrim(o, '0'), 3) as int) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "length(x.d) between 13 and 19 and list_sum(list_transform(range(1, length(x.d) + 1), lambda i: case when i % 2 = 1 then cast(substr(x.d, i, 1) as int) "
+             "else (2 * cast(substr(x.d, i, 1) as int)) // 10 + (2 * cast(substr(x.d, i, 1) as int)) % 10 end)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(x.d) between 9 and 15"),
+}
+
+
+def _base_sql() -> str:
+    lists = ", ".join(f"regexp_extract_all(t, '{p}') as {k}_m, string_split_regex(t, '{p}') as {k}_g" for k, (p, _) in _BASE.items())
+    placed = ", ".join(f"""list_filter(list_transform(range(1, len({k}_m) + 1), lambda k: {{'m': {k}_m[k], 'd': reverse(regexp_replace({k}_m[k], '[^0-9]', '', 'g')),
+      's': coalesce(list_sum(list_transform({k}_g[1:k], lambda y: length(y))), 0) + coalesce(list_sum(list_transform({k}_m[1:k-1], lambda y: length(y))), 0)}}), lambda x: {test}) as {k}"""
+                       for k, (_, test) in _BASE.items())
+    labels = " || ".join(f"list_transform({k}, lambda x: '{k}:'||cast(x.s as bigint)||':'||cast(x.s + length(x.m) as bigint))" for k in _BASE)
+    counts = ", ".join(f"cast(len({k}) as bigint) as n_{k}" for k in _BASE)
+    return f"""with t as (select doc_id, coalesce(text, '') as t from documents), m as (select doc_id, {lists} from t), f as (select doc_id, {placed} from m)
+select doc_id, {counts}, sha256(array_to_string({labels}, ',')) as base_sha256 from f"""
+
+
 def queries() -> dict:
     return {
         "op1_topk": op1_topk,
@@ -90,8 +156,18 @@ def queries() -> dict:
         "op8_personal": op8_personal,
         "op9_token_files": op9_token_files,
         "op10_language": op10_language,
+        "text_turn_digests": text_turn_digests,
+        "text_hand_rules": text_hand_rules,
+        "text_mix_targets": text_mix_targets,
+        "text_base_spans": text_base_spans,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op1_topk": _TOPK,
+        "text_turn_digests": _TURNS,
+        "text_hand_rules": _HAND,
+        "text_mix_targets": _TARGETS,
+        "text_base_spans": _base_sql(),
+    }

@@ -15,8 +15,11 @@
    a boundary that appears in round t has a common prefix of t - 1 symbols. No
    suffix is compared again. An interval whose prefix spans a window and whose
    weights sum to 2 or more is a repeat.
-4. Anchors whose segments exceed ``group_bytes`` would not fit a task: their
-   windows are told apart by 128-bit hashes, counted over the cluster (exact too).
+4. Anchors whose segments exceed ``group_bytes`` would not fit a task. Their
+   suffixes are refined over the cluster: an interval, named by a 128-bit key,
+   holds the suffixes that share their first symbols, each round splits it by
+   further symbols (1, 2, 4, ... in all), and a suffix that is left alone in its
+   interval goes no further. What remains after the window's last symbol repeats.
 5. Repeated windows go back to their documents as byte ranges, joined there.
 
 Cases: null text is empty; texts shorter than ``length`` keep all bytes;
@@ -284,20 +287,24 @@ def merged_repeats(texts: DataFrame, length: int, step: int, width: int, shard_b
     return texts.repartition(width, "m").sortWithinPartitions("m", "d").mapInArrow(run, FOUND)
 
 
-def counted_repeats(texts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors that no task could hold: windows counted by 128-bit hashes."""
+def refined_repeats(texts: DataFrame, length: int, step: int) -> DataFrame:
+    """The same for anchors that no task could hold: intervals of suffixes, refined in rounds over the cluster."""
+    shares = [min(1 << k, length // step) * step for k in range((length // step - 1).bit_length() + 1)]  # bytes that an interval's suffixes share
 
     def run(batches):
         for batch in batches:
             for m, d, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "d", "n", "data"))):
                 raw = np.frombuffer(data, dtype=np.uint8)
-                a, b = (rolling(raw, length, w).view(np.int64) for w in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), m)), pa.array(np.full(len(a), d)), pa.array(np.full(len(a), n)),
-                                                  pa.array(np.arange(len(a))), pa.array(a), pa.array(b)], names=["m", "d", "n", "at", "w1", "w2"])
+                k = len(raw) - length + 1
+                names = [rolling(raw, w, which)[:k].view(np.int64) for w in shares for which in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(k, m), np.full(k, d), np.full(k, n), np.arange(k), *names)], names=columns)
 
-    rows = texts.dropDuplicates(["m", "d"]).mapInArrow(run, "m long, d long, n long, at long, w1 long, w2 long")
-    twice = rows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2").drop("total")
-    return rows.join(twice, ["w1", "w2"], "left_semi").select("m", "d", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("windows"))
+    columns = ["m", "d", "n", "at", *(f"{c}{w}" for w in shares for c in "ab")]
+    rows = texts.dropDuplicates(["m", "d"]).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    for w in shares:
+        key = [f"a{w}", f"b{w}"]
+        rows = written(rows.join(rows.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").drop("total"), key, "left_semi").drop(*key), "repeat-intervals")
+    return rows.select("m", "d", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("windows"))
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL, shard_bytes: int = SHARD_BYTES,
@@ -341,7 +348,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sym
     found = copies.union(merged_repeats(texts.where(F.col("bytes") <= group_bytes), length, step, width, shard_bytes, job_bytes))
     large = texts.where(F.col("bytes") > group_bytes)
     if not large.isEmpty():
-        found = found.union(counted_repeats(large, length))
+        found = found.union(refined_repeats(large, length, step))
     places = rows.join(found, ["m", "d"]).select("k1", "k2", "lo", F.explode("windows").alias("w")).select(
         "k1", "k2", (F.col("lo") + F.col("w.a")).alias("a"), (F.col("lo") + F.col("w.b") + length).alias("b"))
     places = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("cover"))

@@ -8,20 +8,24 @@ component is the smallest doc_id reachable.
 Search (exact): bits are grouped so that correlated bits share a part (greedy on
 the bit covariance over all fingerprints); thresholds t_i >= -1 with
 sum(t_i) = radius - parts + 1 are allotted by dynamic programming on candidate
-counts estimated from the same statistics (as is the number of parts). Any two fingerprints within the
-radius agree within t_i bits on some part i, so each fingerprint is filed under
-its part's value and, for t_i > 0, under all values within one bit: two that
-differ in one or two bits of the part meet half way. Only fingerprints filed
-under one key are compared, and a pair is linked under the first key that both
-have. Work is on distinct fingerprints.
-A key with more than ``bucket`` fingerprints is filed again by parts of its
-remaining bits, which keeps every link. Inside a key only a spanning set of
-links is emitted, never all pairs.
+counts estimated from the same statistics (as is the number of parts). Any two
+fingerprints within the radius agree within t_i bits on some part i, so each
+fingerprint is filed under its part's value and, for t_i > 0, under all values
+within one bit: two that differ in one or two bits of the part meet half way.
+Only fingerprints filed under one key are compared, and a pair is linked under
+the first key of its level that both have. Work is on distinct fingerprints.
+
+What is filed is written once per level. Fingerprints of a key that holds more
+than ``bucket`` of them are filed again by parts of their remaining bits (planned
+with the statistics of these rows, each taken relative to its key's first
+fingerprint), which keeps every link, level by level until ``LAST_BITS`` bits are
+left: then a key holds at most all values of these. Inside a key only a spanning
+set of links is emitted, never all pairs.
 
 Cases: null or wordless text has fingerprint zero and is linked like any other;
-null doc_ids are kept but can't name a component (it is null if no other member
-has an id); repeated rows share their fingerprint; an empty table gives no rows;
-columns beside doc_id and text are ignored.
+null doc_ids take part and may connect others, but can't name a component (it is
+null if no member has an id); repeated rows share their fingerprint; an empty
+table gives no rows; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.near import near_duplicates  # noqa: F401
 from chainweave.plans.components import connected_components
 from chainweave.plans.lineage import written
 
-BUCKET = 4096
+BUCKET, LAST_BITS = 4096, 12
 VIA = 128  # via: part times VIA, plus the flipped bit's place in the part from 1, or 0
 FILE_COST = 500.0  # of filing a fingerprint under a key, in comparisons
 
@@ -54,27 +57,27 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         hashes = [h(b" ".join(words), 42)]
     else:
         hashes = [h(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)))]
-    return int(_majority(np.array(hashes, dtype="<u8"))[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         a = np.ascontiguousarray(hashes[lo:lo + (1 << 16)]).view("u1").reshape(-1, 8)
         ones += np.unpackbits(a, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long), wide (a verifying fingerprint, empty here)."""
+    """doc_id, fp (64 bits as a signed long) of every row."""
 
     def run(batches):
         for b in batches:
             own = np.array([fingerprint(x.as_py()) for x in b.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own), pa.array([b""] * len(own), pa.binary())], names=["doc_id", "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long, wide binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -180,131 +183,126 @@ def _mix(level: int, i: int, before: np.ndarray, v: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def filed(fps: DataFrame, parts: list[list[int]], ts: list[int], level: int) -> DataFrame:
-    """fps(key0, fp, wide, rep) -> one row per key that a fingerprint is filed under; via: part and flipped bit."""
+class Plan:
+    """How fingerprints of one kind are filed: the bits not yet used, parts of these and their thresholds."""
+
+    def __init__(self, n: int, ones: np.ndarray, cov: np.ndarray, free: list[int], radius: int):
+        self.free = free
+        self.parts, self.ts = plan(n, ones, cov, free, radius)
+        self.masks = [sum(1 << b for b in g) for g in self.parts]
+        self.reach = [2 if t > 0 else t for t in self.ts]
+
+
+def filed(fps: DataFrame, plans: list[Plan], level: int) -> DataFrame:
+    """fps(key0, kind, fp) -> one row per key that a fingerprint is filed under; kind: its plan; via: part and flipped bit."""
 
     def run(batches):
         for b in batches:
-            key0, fp, rep = (np.ascontiguousarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("key0", "fp", "rep"))
-            u, k0 = fp.view(np.uint64), key0.view(np.uint64)
-            for i, (part, t) in enumerate(zip(parts, ts)):
-                if t < 0:
-                    continue
-                v = _gather(u, part)
-                for flip in range(-1, len(part) if t else 0):
-                    mask = np.uint64(1 << flip if flip >= 0 else 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_mix(level, i, k0, v ^ mask).view(np.int64)), pa.array(fp), b.column("wide"), pa.array(rep),
-                         pa.array(np.full(len(fp), i * VIA + flip + 1, np.int32))], names=["key", "fp", "wide", "rep", "via"])
-
-    return fps.mapInArrow(run, "key long, fp long, wide binary, rep long, via int")
-
-
-class Near:
-    """Which fingerprints are linked: within the radius, and within the wide radius where there is a wide fingerprint."""
-
-    def __init__(self, fps: np.ndarray, wide: np.ndarray | None, radius: int, wide_radius: int):
-        self.fps, self.wide, self.radius, self.wide_radius = fps, wide, radius, wide_radius
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each place whether fingerprints a and b (indices) are linked."""
-        hit = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= self.radius
-        if self.wide is not None:
-            at = np.flatnonzero(hit)
-            hit[at] = np.bitwise_count(self.wide[a[at]] ^ self.wide[b[at]]).sum(axis=1) <= self.wide_radius
-        return hit
-
-    def block(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs (places in a, places in b) of all fingerprints a with all b."""
-        x, y = np.nonzero(np.bitwise_count(self.fps[a][:, None] ^ self.fps[b][None, :]) <= self.radius)
-        if self.wide is not None and len(x):
-            ok = np.concatenate([np.bitwise_count(self.wide[a[x[i:i + 65536]]] ^ self.wide[b[y[i:i + 65536]]]).sum(axis=1) <= self.wide_radius
-                                 for i in range(0, len(x), 65536)])
-            x, y = x[ok], y[ok]
-        return x, y
-
-    def spanning(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Links that connect ``at`` as all its links do, and whether these are all of them; where they are many, at most one for each fingerprint: from the first one met, breadth first.
-
-        Most have no neighbour, so neighbours are counted first, in blocks.
-        """
-        n, src, dst = len(at), [], []
-        degree = np.zeros(n, dtype=np.int64)
-        few = []
-        for lo in range(0, n, 256):
-            x, y = self.block(at[lo:lo + 256], at)
-            own = x + lo != y
-            degree += np.bincount(y[own], minlength=n)
-            few.append((x[own] + lo, y[own]))
-            if sum(len(f[0]) for f in few) > 8 * n:
-                few = None
-                break
-        if few is not None:
-            x, y = (np.concatenate(c) for c in zip(*few))
-            return at[x[x < y]], at[y[x < y]], True
-        todo = np.arange(n)
-        while len(todo):
-            seed, front, todo = todo[0], todo[:1], todo[1:]
-            while len(front) and len(todo):
-                near = np.zeros(len(todo), dtype=bool)
-                for lo in range(0, len(front), 256):
-                    left = np.flatnonzero(~near)
-                    if len(left):
-                        near[left[np.unique(self.block(at[front[lo:lo + 256]], at[todo[left]])[1])]] = True
-                front, todo = todo[near], todo[~near]
-                src.append(np.full(len(front), at[seed]))
-                dst.append(at[front])
-        return (np.concatenate(src), np.concatenate(dst), False) if src else (at[:0], at[:0], False)
-
-
-def first_meeting(fp: np.ndarray, rep: np.ndarray, via: np.ndarray, a: np.ndarray, b: np.ndarray, masks: list[int], ts: list[int]) -> np.ndarray:
-    """For rows a and b of one key whether no earlier key holds both: the first part within its threshold; there the shared value, else that of the smaller rep or of the lower flip."""
+            key0, kind, fp = (np.ascontiguousarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("key0", "kind", "fp"))
+            for k in np.unique(kind).tolist():
+                at = kind == k
+                own, k0 = fp[at], key0[at].view(np.uint64)
+                u = own.view(np.uint64)
+                for i, (part, t) in enumerate(zip(plans[k].parts, plans[k].ts)):
+                    if t < 0:
+                        continue
+                    v = _gather(u, part)
+                    for flip in range(-1, len(part) if t else 0):
+                        mask = np.uint64(1 << flip if flip >= 0 else 0)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(_mix(level, i, k0, v ^ mask).view(np.int64)), pa.array(np.full(len(own), k, np.int32)), pa.array(own),
+                             pa.array(np.full(len(own), i * VIA + flip + 1, np.int32))], names=["key", "kind", "fp", "via"])
+
+    return fps.mapInArrow(run, "key long, kind int, fp long, via int")
+
+
+def block(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (places in a, places in b) of all fingerprints a with all b."""
+    return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+
+
+def spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Links (places) that connect ``fps`` as all its links do, and whether these are all of them; where they are many, at most one for each fingerprint: from the first one met, breadth first.
+
+    Most have no neighbour, so neighbours are counted first, in blocks.
+    """
+    n, src, dst, few, held = len(fps), [], [], [], 0
+    for lo in range(0, n, 256):
+        x, y = block(fps[lo:lo + 256], fps, radius)
+        up = x + lo < y
+        few.append((x[up] + lo, y[up]))
+        held += int(up.sum())
+        if held > 4 * n:
+            few = None
+            break
+    if few is not None:
+        return (*(np.concatenate(c) for c in zip(*few)), True)
+    todo = np.arange(n)
+    while len(todo):
+        seed, front, todo = todo[0], todo[:1], todo[1:]
+        while len(front) and len(todo):
+            near = np.zeros(len(todo), dtype=bool)
+            for lo in range(0, len(front), 256):
+                left = np.flatnonzero(~near)
+                if len(left):
+                    near[left[np.unique(block(fps[front[lo:lo + 256]], fps[todo[left]], radius)[1])]] = True
+            front, todo = todo[near], todo[~near]
+            src.append(np.full(len(front), seed))
+            dst.append(front)
+    return (np.concatenate(src), np.concatenate(dst), False) if src else (todo, todo, False)
+
+
+def first_meeting(fp: np.ndarray, via: np.ndarray, a: np.ndarray, b: np.ndarray, own_plan: Plan) -> np.ndarray:
+    """For rows a and b of one key whether no earlier key holds both: the first part within its threshold; there the shared value, else that of the smaller fingerprint or of the lower flip."""
     part, x = via[a] // VIA, fp[a] ^ fp[b]
     first = part == via[b] // VIA
     own = np.zeros(len(a), dtype=np.int64)
-    for i, (mask, t) in enumerate(zip(masks, ts)):
+    for i, (mask, t) in enumerate(zip(own_plan.masks, own_plan.reach)):
         d = np.bitwise_count(x & np.uint64(mask)).astype(np.int64)
         first &= (part <= i) | (d > t)
         own = np.where(part == i, d, own)
     fa, fb = via[a] % VIA, via[b] % VIA
-    smaller = np.where(rep[a] < rep[b], fa, fb)
-    return first & np.where(own == 2, np.where(rep[a] < rep[b], fa < fb, fb < fa), smaller == 0)
+    low = fp[a] < fp[b]
+    return first & np.where(own == 2, np.where(low, fa < fb, fb < fa), np.where(low, fa, fb) == 0)
 
 
-def spanning_links(keyed: DataFrame, groups: list[list[int]], ts: list[int], radius: int, wide_radius: int, width: int) -> DataFrame:
+def spanning_links(keyed: DataFrame, plans: list[Plan], radius: int, width: int) -> DataFrame:
     """src, dst: links that connect, key by key, what is linked there; a pair within small keys comes once."""
-    masks, reach = [sum(1 << b for b in g) for g in groups], [2 if t > 0 else t for t in ts]
 
-    def links(key, fp, wide, rep, via):
-        near = Near(fp.view(np.uint64), np.frombuffer(b"".join(wide), "<u8").reshape(len(fp), -1) if len(fp) and wide[0] else None, radius, wide_radius)
-        src, dst, places = [], [], np.arange(len(key))
+    def links(key, kind, fp, via):
+        u, src, dst = fp.view(np.uint64), [], []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = np.repeat(sizes <= 24, sizes)
+
+        def once(a, b):
+            keep = np.zeros(len(a), dtype=bool)
+            for k in np.unique(kind[a]).tolist():
+                at = np.flatnonzero(kind[a] == k)
+                keep[at] = first_meeting(u, via, a[at], b[at], plans[k])
+            src.append(a[keep])
+            dst.append(b[keep])
+
         for k in range(1, min(24, len(key))):
             if not (sizes > k).any():
                 break
             a = np.flatnonzero((key[k:] == key[:-k]) & small[k:])
-            a = a[near.pairs(a, a + k)]
-            a = a[first_meeting(near.fps, rep, via, a, a + k, masks, reach)]
-            src.append(a)
-            dst.append(a + k)
-        for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-            x, y, whole = near.spanning(places[s:s + n])
+            a = a[np.bitwise_count(u[a] ^ u[a + k]) <= radius]
+            once(a, a + k)
+        for s, n in zip(starts[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
+            x, y, whole = spanning(u[s:s + n], radius)
             if whole:
-                once = first_meeting(near.fps, rep, via, x, y, masks, reach)
-                x, y = x[once], y[once]
-            src.append(x)
-            dst.append(y)
-        src, dst = (rep[np.concatenate(c)] if c else rep[:0] for c in (src, dst))
+                once(x + s, y + s)
+            else:
+                src.append(x + s)
+                dst.append(y + s)
+        src, dst = (fp[np.concatenate(c)] if c else fp[:0] for c in (src, dst))
         return pa.RecordBatch.from_arrays([pa.array(src[src != dst]), pa.array(dst[src != dst])], names=["src", "dst"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for b in batches:
-            new = [b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False),
-                   b.column("wide").to_pylist(), b.column("rep").to_numpy(zero_copy_only=False), b.column("via").to_numpy(zero_copy_only=False)]
-            rows = [h + x if isinstance(h, list) else np.concatenate([h, x]) for h, x in zip(held, new)]
+            rows = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "kind", "fp", "via"))]
             if not len(rows[0]):
                 continue
             cut = np.searchsorted(rows[0], rows[0][-1])  # the last key may go on in the next batch
@@ -313,41 +311,50 @@ def spanning_links(keyed: DataFrame, groups: list[list[int]], ts: list[int], rad
                 yield links(*(r[:cut] for r in rows))
         yield links(*held)
 
-    return keyed.select("key", "fp", "wide", "rep", "via").repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
+    return keyed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
-def components(rows: DataFrame, radius: int, wide_radius: int, bucket: int) -> DataFrame:
-    """rows(doc_id, fp, wide) -> doc_id, fp, component_id; ``rows`` is a written table."""
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fps = written(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-distinct")
+def search(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """src, dst: links that connect the distinct fingerprints ``fps``(fp), a written table, as all pairs within the radius do."""
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, ones, cov = bit_statistics(fps)
-    links, work = [], [(fps.select(F.lit(0).cast("long").alias("key0"), "fp", "wide", "rep"), list(range(64)), 0, n)]
-    while work:
-        todo, free, level, size = work.pop()
-        groups, thresholds = plan(size, ones, cov, free, radius)
-        keyed = filed(todo, groups, thresholds, level)
-        if level < 2 and len(free) > 32:
-            big = written(keyed.groupBy("key").count().where(F.col("count") > bucket), "simhash-big")
-            if not big.isEmpty():
-                c = F.col("count").cast("double")
-                mean = math.ceil(big.agg(F.sum(c * c) / F.sum(c)).first()[0])  # rows that a row of these keys is compared with
-                over = keyed.join(big.select("key"), "key").select(F.col("key").alias("key0"), "fp", "wide", "rep", "via")
-                for i, g in enumerate(groups):
-                    if thresholds[i] >= 0:
-                        work.append((over.where(F.floor(F.col("via") / VIA) == i).drop("via"), [x for x in free if x not in g], level + 1, mean))
-                keyed = keyed.join(big, "key", "left_anti")
-        links.append(spanning_links(keyed, groups, thresholds, radius, wide_radius, width))
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.union(x)
-    found = connected_components(edges)
-    reached = fps.join(found, fps.rep == found.node, "left").select("fp", "wide", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(reached, ["fp", "wide"], "left").select("doc_id", "fp", "component_id")
+    plans, todo, level, edges = [Plan(n, ones, cov, list(range(64)), radius)], fps.select(
+        F.lit(0).cast("long").alias("key0"), F.lit(0).alias("kind"), "fp"), 0, None
+    while True:
+        keyed = written(filed(todo, plans, level), "simhash-filed")
+        again, more = [], None
+        if any(len(p.free) > LAST_BITS for p in plans):
+            big = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where(F.col("n") > bucket), "simhash-big")
+            c = F.col("n").cast("double")
+            mean = big.agg(F.sum(c * c) / F.sum(c)).first()[0]  # rows that a row of these keys is compared with
+            if mean is not None:
+                # a kind for each part of each plan that can be cut further: their bits are used up
+                kinds = [(k, i) for k, p in enumerate(plans) for i, t in enumerate(p.ts) if t >= 0 and len(p.free) > LAST_BITS]
+                kind = F.create_map(*[F.lit(x) for j, (k, i) in enumerate(kinds) for x in (k * VIA + i, j)])[
+                    F.col("kind") * VIA + F.floor(F.col("via") / VIA).cast("int")]
+                over = written(keyed.join(big.drop("n"), "key").withColumn("next", kind).where("next is not null"), "simhash-over")
+                _, ones, cov = bit_statistics(over.select(F.col("fp").bitwiseXOR(F.col("first")).alias("fp")))
+                again = [Plan(math.ceil(mean), ones, cov, [b for b in plans[k].free if b not in plans[k].parts[i]], radius) for k, i in kinds]
+                more = over.select(F.col("key").alias("key0"), F.col("next").alias("kind"), "fp")
+                keyed = keyed.join(over.select("key").distinct(), "key", "left_anti")
+        own = spanning_links(keyed, plans, radius, width)
+        edges = own if edges is None else edges.union(own)
+        if more is None:
+            return edges
+        plans, todo, level = again, more, level + 1
+
+
+def components(rows: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """rows(doc_id, fp), a written table -> doc_id, fp, component_id."""
+    own = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    found = connected_components(search(own.select("fp"), radius, bucket))
+    named = own.join(found, own.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
     rows = written(fingerprints(docs), "simhash-fp")
-    return components(rows, radius, 0, bucket).select(
+    return components(rows, radius, bucket).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,6 +13,10 @@ is the prefix sum of the sizes before it, so the parts form one flat array and
 ``base + offset`` is a document's place in it. Files are written under a name of
 the attempt and renamed, so a retried or speculative task leaves one whole file.
 
+Parts are ranges of doc_id (then of the text's hash, so that a common id or a
+missing one is no hot part), as many as shuffle partitions or as ``part_bytes`` of
+text ask for. Files are written and read as streams.
+
 Nulls and ties: a null text is empty (the end id alone), null doc_ids come
 first, rows with equal doc_id are ordered by their text's hash; an empty table
 gives no parts and an empty manifest. Extra columns of ``docs`` are ignored.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 
 MAGIC = b"CWTOKIDX"
 CACHE_PIECES = 600_000  # pieces remembered per Python worker
+PART_BYTES = 256 << 20  # of text
+READ_DOCS, READ_IDS = 20_000, 1 << 22  # read at a time
 PART_SCHEMA = "part int, n_docs long, n_ids long, bin string, idx string"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -55,13 +62,22 @@ class Encoder:
 
     The byte-level pre-tokeniser always starts a piece at a space that stands
     between two non-space characters, so a text cut there has the ids of its
-    cuts. A text with any other arrangement of spaces is encoded whole.
+    cuts. A text with any other arrangement of spaces is encoded whole, as is
+    every text where the file names another pre-tokeniser or a normaliser.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        import json
+
         self.tok = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text())
+        how = spec.get("pre_tokenizer") or {}
+        self.cuts = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space") and not spec.get("normalizer")
+        if not self.cuts:
+            self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+            return
         self.once = self.without_cache(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         space = self.tok.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how a space is written in the vocabulary
@@ -141,6 +157,8 @@ class Encoder:
             rest[c] = rest[a] + self.marks["\n"] + self.first[b]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.whole(texts)
         out = [None] * len(texts)
         split = [t.split(" ") for t in texts]
         for lo in range(0, len(split), 64):
@@ -172,13 +190,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, parts: int | None = None,
+                      part_bytes: int = PART_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order into ``out_dir``; return the manifest.
 
     ``tokenizer``: file for the tokenizers library, at the same path on every machine.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
     def encode(batches):
         enc, ctx = encoder(tokenizer), TaskContext.get()
@@ -186,14 +207,17 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         name = f"{base}/part-{part:06d}"
         tmp = f"{name}.{ctx.taskAttemptId()}"
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        keys, offsets, sink = [], [0], None
+        keys, offsets, sink = array("q"), array("q", [0]), None
+        null = bytearray()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if sink is None:
                 fs_.create_dir(base, recursive=True)
                 sink = fs_.open_output_stream(f"{tmp}.bin")
-            keys += batch.column("doc_id").to_pylist()
+            own = batch.column("doc_id")
+            keys.extend(own.fill_null(0).to_pylist())
+            null.extend(own.is_null().to_pylist())
             for lo in range(0, batch.num_rows, 512):
                 for ids in enc.batch([t or "" for t in batch.column("text").slice(lo, 512).to_pylist()]):
                     sink.write(ids)
@@ -204,8 +228,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         sink.close()
         with fs_.open_output_stream(f"{tmp}.idx") as f:
             f.write(MAGIC + np.array([1, enc.dtype.itemsize, len(keys)], dtype="<i8").tobytes())
-            f.write(np.array([k or 0 for k in keys], dtype="<i8").tobytes())
-            f.write(np.array([k is not None for k in keys], dtype="u1").tobytes())
+            f.write(np.array(keys, dtype="<i8").tobytes())
+            f.write((1 - np.frombuffer(null, dtype="u1")).tobytes())
             f.write(np.array(offsets, dtype="<i8").tobytes())
         for kind in ("bin", "idx"):
             fs_.move(f"{tmp}.{kind}", f"{name}.{kind}")
@@ -215,7 +239,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             "bin": [f"{root}/part-{part:06d}.bin"], "idx": [f"{root}/part-{part:06d}.idx"]})
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+            .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
             .mapInArrow(encode, PART_SCHEMA))
     root = out_dir.rstrip("/")
@@ -229,43 +253,52 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     return spark.read.parquet(f"{root}/manifest")
 
 
-def open_part(bin_path: str, idx_path: str):
-    """(doc_ids with None for null, offsets, ids): ids is a memory map where the file is local."""
-    fs_, path = filesystem(idx_path)
-    with fs_.open_input_file(path) as f:
-        raw = f.read()
-    if raw[:8] != MAGIC:
-        raise ValueError(f"{idx_path} is no token index")
-    _, width, n = np.frombuffer(raw, "<i8", 3, 8)
-    keys = np.frombuffer(raw, "<i8", n, 32)
-    valid = np.frombuffer(raw, "u1", n, 32 + 8 * n)
-    offsets = np.frombuffer(raw, "<i8", n + 1, 32 + 9 * n)
-    dtype = "<u2" if width == 2 else "<u4"
-    fs_, path = filesystem(bin_path)
-    if fs_.type_name == "local":
-        ids = np.memmap(path, dtype=dtype, mode="r")
-    else:
+class Part:
+    """One part of the files: keys (None for a null doc_id) and offsets in memory, ids by range: a memory map where the file is local, else ranged reads."""
+
+    def __init__(self, bin_path: str, idx_path: str):
+        fs_, path = filesystem(idx_path)
         with fs_.open_input_file(path) as f:
-            ids = np.frombuffer(f.read(), dtype)
-    return [int(k) if v else None for k, v in zip(keys, valid)], offsets, ids
+            raw = f.read()
+        if raw[:8] != MAGIC:
+            raise ValueError(f"{idx_path} is no token index")
+        _, self.width, n = (int(x) for x in np.frombuffer(raw, "<i8", 3, 8))
+        self.keys, self.valid = np.frombuffer(raw, "<i8", n, 32), np.frombuffer(raw, "u1", n, 32 + 8 * n).astype(bool)
+        self.offsets = np.frombuffer(raw, "<i8", n + 1, 32 + 9 * n)
+        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
+        fs_, path = filesystem(bin_path)
+        local = fs_.type_name == "local"
+        self.map = np.memmap(path, dtype=self.dtype, mode="r") if local else None
+        self.file = None if local else fs_.open_input_file(path)
+
+    def ids(self, a: int, b: int) -> np.ndarray:
+        if self.map is not None:
+            return self.map[a:b]
+        return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), self.dtype)
 
 
 def read_token_files(spark: SparkSession, out_dir: str) -> DataFrame:
     """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32 (of uint32 little-endian ids)."""
     manifest = spark.read.parquet(f"{out_dir.rstrip('/')}/manifest").select("part", "bin", "idx", "base_id")
 
+    def crc_of(part, a, b):
+        crc = 0
+        for lo in range(a, b, READ_IDS):
+            crc = zlib.crc32(part.ids(lo, min(b, lo + READ_IDS)).astype("<u4").tobytes(), crc)
+        return crc
+
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, offsets, ids = open_part(row["bin"], row["idx"])
-                for lo in range(0, len(keys), 20_000):
-                    hi = min(len(keys), lo + 20_000)
-                    crc = [zlib.crc32(ids[offsets[i]:offsets[i + 1]].astype("<u4").tobytes()) for i in range(lo, hi)]
+                part = Part(row["bin"], row["idx"])
+                for lo in range(0, len(part.keys), READ_DOCS):
+                    hi = min(len(part.keys), lo + READ_DOCS)
+                    offsets = part.offsets[lo:hi + 1]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(keys[lo:hi], pa.int64()),
-                        "start": pa.array(offsets[lo:hi] + row["base_id"], pa.int64()),
-                        "n_tokens": pa.array(np.diff(offsets[lo:hi + 1]), pa.int64()),
-                        "ids_crc32": pa.array(crc, pa.int64())})
+                        "doc_id": pa.array(part.keys[lo:hi], pa.int64(), mask=~part.valid[lo:hi]),
+                        "start": pa.array(offsets[:-1] + row["base_id"], pa.int64()),
+                        "n_tokens": pa.array(np.diff(offsets), pa.int64()),
+                        "ids_crc32": pa.array([crc_of(part, a, b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64())})
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return manifest.repartition(width, "part").mapInArrow(read, READ_SCHEMA)

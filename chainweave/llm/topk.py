@@ -1,34 +1,41 @@
 """Exact top-k search by inner product with ball trees.
 
 Vectors become integers, floor(scale * x) with x as double. Candidates are dealt
-over shards by a hash of their id, about ``shard_rows`` each; a task builds a
-ball tree for its shard and answers the queries in blocks of ``BLOCK``: nodes
-are taken in the order of their upper bound q.c + |q| r, each with the queries
-that it can still improve, and queries whose current k-th score beats the bound
-skip the node. The k-th scores are shared: a first pass asks one shard per
-query, and every other shard starts from the k-th score found there.
+over cells, that of the nearest of at most ``PIVOTS`` pivots (rows chosen by a
+hash), and cells over shards of about ``shard_rows`` rows by a hash of the id.
+One ball tree is built for each shard and written. Queries are answered in blocks
+of ``BLOCK``: nodes are taken in the order of their upper bound q.c + |q| r, each
+with the queries that it can still improve, and queries whose current k-th score
+beats the bound skip the node. The k-th scores are shared: a first pass asks the
+query's own shard, and the k-th score found there decides which cells' balls can
+hold more; only their shards are asked, starting from that score.
 
-Queries are a stated set of rows (here: ids divisible by ``every``); each goes
-to every shard once, as blocks of a fixed size. Memory of a task: one shard and
-one block. Ties go to smaller ids.
+Queries are a stated set of rows (here: ids divisible by ``every``). Memory of a
+task: one shard's tree and one block; the driver sees a row per cell. Ties go to
+smaller ids.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
-no part; null ids neither; shorter vectors count as padded with zeros; a row is
-not a candidate of queries with its own id; fewer than k candidates are all
-returned; an empty table gives no rows; extra columns are ignored.
+no part; null ids neither; shorter vectors count as padded with zeros; equal rows
+(id and vector) are one query, and of the rows equal to a query one is its own
+and no candidate, while further copies and other rows with its id are; fewer than
+k candidates are all returned; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, BLOCK, SHARD_ROWS = 128, 512, 16_384
-SCHEMA = "query_id long, vec_id long, score long"
+from chainweave.plans.lineage import written
+
+LEAF, BLOCK, SHARD_ROWS, PIVOTS = 128, 512, 16_384, 1024
+SCHEMA = "query_id long, query long, vec_id long, score long"
 NONE = np.iinfo(np.int64).min
 
 
@@ -47,6 +54,11 @@ class BallTree:
         self.ids, self.rows, self.leaf = ids, rows, leaf
         self.centre, self.radius, self.kids, self.own = [], [], [], []
         self.exact = np.float64 if rows.size == 0 or float(np.abs(rows).max()) ** 2 * rows.shape[1] < 2**52 else np.int64
+        # the first of equal rows stands for the query itself
+        order = np.lexsort((*rows.T[::-1], ids)) if rows.size else np.arange(len(ids))
+        twin = np.r_[False, (ids[order][1:] == ids[order][:-1]) & (rows[order][1:] == rows[order][:-1]).all(axis=1)]
+        self.first = np.ones(len(ids), dtype=bool)
+        self.first[order[twin[:len(order)]]] = False
         if len(ids):
             self.build(np.arange(len(ids)))
 
@@ -96,7 +108,9 @@ class BallTree:
                 continue
             at = self.own[node]
             s = (qx[who] @ self.rows[at].astype(self.exact).T).astype(np.int64)
-            s[qid[who][:, None] == self.ids[at][None, :]] = NONE
+            x, y = np.nonzero((qid[who][:, None] == self.ids[at][None, :]) & self.first[at][None, :])
+            same = (q[who[x]] == self.rows[at[y]]).all(axis=1)
+            s[x[same], y[same]] = NONE
             better = (s >= low[who][:, None]).any(axis=1)
             who, s = who[better], s[better]
             if not len(who):
@@ -110,59 +124,147 @@ class BallTree:
         return names, best
 
 
-def _answers(rows: DataFrame, k: int, dims: int, width: int) -> DataFrame:
-    """rows(shard, block, id, v, kth): block -1 holds a shard's candidates, the others its queries in blocks."""
+def stacked(vectors, dims: int) -> np.ndarray:
+    """Arrow lists as rows of a matrix, padded with zeros."""
+    x = np.zeros((len(vectors), dims), dtype=np.int64)
+    for i, v in enumerate(vectors):
+        own = v.values.to_numpy()
+        x[i, :len(own)] = own
+    return x
+
+
+class Cells:
+    """Pivots, the radius of the rows nearest to each, and the shards of each cell."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots.astype(np.float64)
+        self.square = (self.pivots**2).sum(axis=1)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot) of each row."""
+        cell = np.concatenate([(self.square[None] - 2 * x[lo:lo + 4096] @ self.pivots.T).argmin(axis=1) for lo in range(0, len(x), 4096)] or [np.zeros(0, int)])
+        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def deal(self, counts: dict, radii: dict, shard_rows: int):
+        self.shards = np.array([-(-counts.get(c, 0) // shard_rows) for c in range(len(self.pivots))])
+        self.base, self.radius = np.cumsum(self.shards) - self.shards, np.array([radii.get(c, 0.0) for c in range(len(self.pivots))])
+        return int(self.shards.sum())
+
+    def shard_of(self, cell: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        return self.base[cell] + hashed % np.maximum(self.shards[cell], 1)
+
+    def open_to(self, q: np.ndarray, kth: float) -> np.ndarray:
+        """Shards whose cell's ball may hold a score of kth or more."""
+        norm = float(np.sqrt((q**2).sum()))
+        ub = self.pivots @ q + norm * self.radius
+        ub = ub + 1e-9 * (np.abs(ub) + norm * np.sqrt(self.square)) + 1
+        return np.concatenate([np.arange(self.base[c], self.base[c] + self.shards[c]) for c in np.flatnonzero((ub >= kth) & (self.shards > 0))] or [np.zeros(0, int)])
+
+
+def _trees(dealt: DataFrame, dims: int, width: int) -> DataFrame:
+    """dealt(shard, id, v) -> shard and its tree."""
 
     def run(batches):
-        shard = block = tree = None
-        ids, vecs, kths = [], [], []
+        shard, ids, vecs = None, [], []
+
+        def tree():
+            own = BallTree(np.array(ids, dtype=np.int64), stacked(vecs, dims))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pickle.dumps(own, 5)], pa.binary())], names=["shard", "tree"])
+
+        for b in batches:
+            for s, i, v in zip(b.column("shard").to_pylist(), b.column("id").to_pylist(), b.column("v")):
+                if s != shard:
+                    if ids:
+                        yield tree()
+                    shard, ids, vecs = s, [], []
+                ids.append(i)
+                vecs.append(v)
+        if ids:
+            yield tree()
+
+    return dealt.repartition(width, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, "shard int, tree binary")
+
+
+def _answers(trees: DataFrame, asked: DataFrame, k: int, dims: int, width: int) -> DataFrame:
+    """Answers of the shards' trees to asked(shard, id, query, v, kth), in blocks."""
+
+    def run(batches):
+        shard = tree = None
+        held = []
 
         def flush():
-            nonlocal tree
-            x = np.zeros((len(ids), dims), dtype=np.int64)
-            for i, v in enumerate(vecs):
-                x[i, :len(v)] = v
-            if block == -1:
-                tree = BallTree(np.array(ids, dtype=np.int64), x)
-            elif tree is not None and ids:
+            if tree is not None and held:
+                ids, names, vecs, kths = zip(*held)
                 q = np.array(ids, dtype=np.int64)
-                names, best = tree.search(q, x, k, np.array([NONE if t is None else t for t in kths]))
+                found, best = tree.search(q, stacked(vecs, dims), k, np.array([NONE if t is None else t for t in kths]))
                 at = best != NONE
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, at.sum(axis=1)), "vec_id": names[at], "score": best[at]})
-            ids.clear(), vecs.clear(), kths.clear()
+                n = at.sum(axis=1)
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, n), "query": np.repeat(np.array(names, dtype=np.int64), n), "vec_id": found[at], "score": best[at]})
+            held.clear()
 
         for b in batches:
-            for s, bl, i, v, t in zip(*(b.column(c).to_pylist() if c != "v" else b.column(c) for c in ("shard", "block", "id", "v", "kth"))):
-                if (s, bl) != (shard, block) or len(ids) >= BLOCK and bl != -1:
+            for s, t, *row in zip(*(b.column(c) if c == "v" else b.column(c).to_pylist() for c in ("shard", "tree", "id", "query", "v", "kth"))):
+                if s != shard or len(held) >= BLOCK:
                     yield from flush()
-                    if s != shard:
-                        tree = None
-                    shard, block = s, bl
-                ids.append(i)
-                vecs.append(v.values.to_numpy())
-                kths.append(t)
+                if s != shard:
+                    shard, tree = s, None
+                if t is not None:
+                    tree = pickle.loads(t)
+                else:
+                    held.append(row)
         yield from flush()
 
-    return rows.repartition(width, "shard").sortWithinPartitions("shard", "block", "id").mapInArrow(run, SCHEMA)
+    none = {"id": "long", "query": "long", "v": "array<long>", "kth": "long"}
+    rows = trees.select("shard", "tree", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).union(
+        asked.select("shard", F.lit(None).cast("binary"), *none))
+    return rows.repartition(width, "shard").sortWithinPartitions("shard", F.col("tree").isNull(), "id").mapInArrow(run, SCHEMA)
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query (vec_id, v) with other rows of vectors (vec_id, v)."""
     spark = vectors.sparkSession
     n, dims = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards = max(1, -(-n // shard_rows))
-    width = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    null = F.lit(None).cast("long")
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    held = vectors.select(own.alias("shard"), F.lit(-1).alias("block"), F.col("vec_id").alias("id"), "v", null.alias("kth"))
-    asked = queries.select(F.col("vec_id").alias("id"), "v").distinct()
-    home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    first = asked.select(home.alias("shard"), F.lit(0).alias("block"), "id", "v", null.alias("kth"))
-    found = _answers(held.union(first), k, dims, width)
+    n_pivots = min(pivots, max(1, n // shard_rows))
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), F.xxhash64("v")).limit(n_pivots).select("v").collect()  # at most ``pivots`` rows
+    cells = Cells(np.array([list(r.v) + [0] * (dims - len(r.v)) for r in chosen] or [[0] * dims], dtype=np.int64).reshape(max(1, len(chosen)), dims))
+    held = spark.sparkContext.broadcast(cells)  # at most ``pivots`` vectors
+
+    def placed(df: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                cell, far = held.value.nearest(stacked(b.column("v"), dims).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=[*b.schema.names, "cell", "far"])
+
+        rows = df.select(F.col("vec_id").alias("id"), F.xxhash64("v").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)).alias("hashed"), "v")
+        return rows.mapInArrow(run, "id long, query long, hashed long, v array<long>, cell int, far double")
+
+    dealt = written(placed(vectors), "topk-cells")
+    table = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # a row per pivot
+    shards = cells.deal({r.cell: r.n for r in table}, {r.cell: r.far for r in table}, shard_rows)
+    width = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    at = F.create_map(*[F.lit(int(x)) for c in range(len(cells.base)) for x in (c, cells.base[c])])[F.col("cell")]
+    size = F.create_map(*[F.lit(int(x)) for c in range(len(cells.base)) for x in (c, max(1, cells.shards[c]))])[F.col("cell")]
+    home = (at + F.pmod(F.col("hashed"), size.cast("long"))).cast("int").alias("shard")
+    trees = written(_trees(dealt.select(home, "id", "v"), dims, width), "topk-trees")
+    asked = written(placed(queries.select("vec_id", "v").distinct()).select("id", "query", "v", home), "topk-queries")
+    found = _answers(trees, asked.withColumn("kth", F.lit(None).cast("long")), k, dims, width)
+    place = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     if shards > 1:
-        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = found.withColumn("rank", F.row_number().over(place)).where(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-        other = asked.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        found = _answers(held.union(other.select(F.col("shard").cast("int"), F.lit(0).alias("block"), "id", "v", "kth")), k, dims, width)
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = written(found, "topk-first")
+        kth = found.withColumn("rank", F.row_number().over(place)).where(f"rank = {k}").select(F.col("query_id").alias("id"), "query", F.col("score").alias("kth"))
+        table_ = spark.sparkContext.broadcast(cells)
+
+        def route(batches):
+            for b in batches:
+                x = stacked(b.column("v"), dims).astype(np.float64)
+                own = [table_.value.open_to(q, -np.inf if t is None else t) for q, t in zip(x, b.column("kth").to_pylist())]
+                own = [o[o != s] for o, s in zip(own, b.column("shard").to_pylist())]
+                take = np.repeat(np.arange(len(own)), [len(o) for o in own])
+                for lo in range(0, len(take), BLOCK):
+                    part = b.take(pa.array(take[lo:lo + BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)[lo:lo + BLOCK].astype(np.int32)), *(part.column(c) for c in ("id", "query", "v", "kth"))],
+                                                     names=["shard", "id", "query", "v", "kth"])
+
+        other = asked.join(kth, ["id", "query"], "left").mapInArrow(route, "shard int, id long, query long, v array<long>, kth long")
+        found = found.union(_answers(trees, other, k, dims, width))
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

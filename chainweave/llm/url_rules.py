@@ -1,13 +1,15 @@
 """URL filters by mined association rules, with DataFrame operations only.
 
-Each URL becomes a set of tokens (scheme, host labels with their place, whole
+Each URL becomes a set of tokens (scheme, host labels and their pieces, whole
 host, path segments with numbers folded, file ending, query keys, fragment).
-FP-growth over the labelled URLs (a document's label is ``bad`` where it is
-toxic or of low quality) finds frequent token sets; rules "tokens => bad" are
-kept by support and confidence, and a rule implied by a shorter one of at least
-its confidence is dropped. Rules are filed under their tokens (an inverted
-index): a URL matches a rule when it holds as many of its tokens as the rule
-has. Hand-written rules (host and path, longest wins) come before mined ones.
+FP-growth over the labelled URLs (a page is ``bad`` where its label is toxic or
+of low quality) finds frequent token sets; a rule "tokens => bad" is kept where
+its bad URLs reach the support and the lower end of its confidence's interval
+(``Z`` standard errors, after Wilson, so that few URLs don't make a rule) reaches
+the least confidence; a rule implied by a shorter one of at least its confidence
+is dropped. Rules are filed under their rarest token (an inverted index): a URL
+that has it is compared with the whole rule. Hand-written rules (host and path,
+longest wins) come before mined ones.
 
 Cases: null URLs and URLs without ``://`` have empty host and path and no
 tokens, no rule fits and they are allowed; equal pages are judged each; a page
@@ -17,6 +19,8 @@ rules; empty tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 8, 0.6, 3
-MAX_RULES = 50_000  # most rules that are broadcast; beyond, the join is left to the planner
+MIN_SUPPORT, MIN_CONFIDENCE, Z = 0.002, 0.6, 1.645
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#)?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,42 +58,48 @@ def tokens_of(url: Column) -> Column:
     scheme = F.substring_index(url, "://", 1)
     mark = F.when(F.regexp_extract(url, _PARTS, 4) != "", F.array(F.lit("mark:#"))).otherwise(F.array().cast("array<string>"))
     found = F.array_distinct(F.concat(
-        named("scheme", F.array(scheme)), named("host", F.array(host)), named("label", labels), named("segment", segments),
+        named("scheme", F.array(scheme)), named("host", F.array(host)), named("label", labels),
+        named("piece", F.flatten(F.transform(F.filter(labels, lambda p: F.contains(p, F.lit("-"))), lambda p: F.split(p, "-")))), named("segment", segments),
         named("ending", F.array(ending)), named("key", keys), mark))
     return F.when(F.contains(url, F.lit("://")), found).otherwise(F.array().cast("array<string>"))
 
 
+def least_confidence(good: Column, n: Column) -> Column:
+    """Lower end of the interval of a share of ``good`` among ``n``."""
+    p, z2 = good / n, Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled(url, bad boolean) -> rule (sorted tokens), confidence, support: rules for ``bad``."""
+    """labelled(url, bad boolean) -> rule (sorted tokens), token (its rarest), confidence, support: rules for ``bad``."""
     from pyspark.ml.fpm import FPGrowth
 
     rows = labelled.select(F.array_union(tokens_of(F.col("url")), F.array(F.when(F.col("bad"), "=bad").otherwise("=good"))).alias("items"))
     rows = written(rows, "url-items")
     n = rows.count()
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule array<string>, confidence double, support double")
     if n == 0:
-        return empty
-    # a token set of a rule needs the support of its bad URLs; the count keeps tiny inputs from giving rules by chance
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / n)), minConfidence=min_confidence)
-    rules = model.fit(rows).associationRules.where(
-        (F.col("consequent")[0] == "=bad") & ~F.array_contains("antecedent", "=good") & (F.size("antecedent") <= MAX_TOKENS))
+        return spark.createDataFrame([], "rule array<string>, token string, confidence double, support double")
+    fewest = math.ceil(min_confidence * Z * Z / max(1 - min_confidence, 1e-9))  # fewer bad URLs can't reach the confidence
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, fewest / n)), minConfidence=min_confidence).fit(rows)
+    rules = model.associationRules.where((F.col("consequent")[0] == "=bad") & ~F.array_contains("antecedent", "=good"))
+    good = F.col("support") * n
+    rules = rules.where(least_confidence(good, good / F.col("confidence")) >= min_confidence)
     rules = written(rules.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "url-rules")
     wide = rules.select(F.col("rule").alias("r"), F.col("confidence").alias("c"), F.explode("rule").alias("t"))
     short = rules.select(F.col("rule").alias("s"), F.col("confidence").alias("sc"), F.explode("rule").alias("t"))
     implied = wide.join(short, "t").where("size(s) < size(r) and sc >= c").groupBy("r", "s").agg(F.count("*").alias("n")).where(
         "n = size(s)").select("r").distinct()
-    return rules.join(implied, rules.rule == implied.r, "left_anti")
+    rules = rules.join(implied, rules.rule == implied.r, "left_anti")
+    counts = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    filed = rules.select("rule", "confidence", "support", F.explode("rule").alias("token")).join(counts, "token")
+    return filed.groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.max("confidence").alias("confidence"), F.max("support").alias("support"))
 
 
-def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page rows (key, url) that some rule matches: key, n_rules."""
-    index = rules.select(F.monotonically_increasing_id().alias("rule_id"), F.size("rule").alias("width"), F.explode("rule").alias("token"))
-    index = written(index, "url-index")
-    if index.count() <= MAX_RULES * MAX_TOKENS:
-        index = F.broadcast(index)
-    tokens = pages.select("key", F.explode(tokens_of(F.col("url"))).alias("token"))
-    hits = tokens.join(index, "token").groupBy("key", "rule_id", "width").agg(F.count("*").alias("n")).where("n = width")
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct urls(url) that some rule matches: key, n_rules."""
+    tokens = urls.select(F.col("url").alias("key"), tokens_of(F.col("url")).alias("has")).withColumn("token", F.explode("has"))
+    hits = tokens.join(written(rules.select("token", "rule"), "url-index"), "token").where(F.size(F.array_except("rule", "has")) == 0)
     return hits.groupBy("key").agg(F.count("*").alias("n_rules"))
 
 
@@ -109,11 +118,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
     mined = mined_rules(pages.select("page_id", "url").join(bad, "page_id").where("url is not null"))
     # equal URLs are judged once: their tokens and matches are the same
-    urls = pages.select("url").where(F.contains("url", F.lit("://"))).distinct().select(F.col("url").alias("key"), "url")
-    hits = matched(urls, mined)
+    hits = matched(pages.select("url").where(F.contains("url", F.lit("://"))).distinct(), mined)
     rule, verdict = hand_rule(F.col("host"), F.col("path"), rules)
-    out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    out = out.join(hits, out.url == hits.key, "left").withColumns({"rule": rule, "by_hand": verdict})
+    # pages without a URL match nothing; each gets a key of its own, so that they don't meet in one task
+    key = F.coalesce("url", F.concat(F.lit("page "), F.xxhash64("page_id").cast("string")))
+    out = pages.select("page_id", key.alias("own"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    out = out.join(hits, out.own == hits.key, "left").withColumns({"rule": rule, "by_hand": verdict})
     return out.select("page_id", "host", "path", "rule",
                       F.coalesce("by_hand", F.when(F.col("n_rules") > 0, "block").otherwise("allow")).alias("verdict"),
                       F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

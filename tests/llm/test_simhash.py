@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 import xxhash
 
 from chainweave.llm import simhash
@@ -42,10 +44,17 @@ def test_query_is_brute_force(spark):
     assert got == want
 
 
-def test_hot_buckets_lose_no_link(spark):
-    """Many fingerprints near one another: keys above the bucket size are filed again."""
-    import random
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
 
+
+def fps_table(spark, fps):
+    return spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "doc_id long, fp long")
+
+
+@pytest.mark.parametrize("bucket", [10, 40, 4096])
+def test_hot_keys_lose_no_link(spark, bucket):
+    """Many fingerprints near one another: keys above the bucket size are filed again, on several levels."""
     r, fps = random.Random(3), []
     for centre in (0x0123456789ABCDEF, 0x0123456789AB0000):
         for _ in range(150):
@@ -53,20 +62,16 @@ def test_hot_buckets_lose_no_link(spark):
             for b in r.sample(range(64), r.randrange(5)):
                 f ^= 1 << b
             fps.append(f)
-    rows = [(i, f - (1 << 64) if f >> 63 else f, b"") for i, f in enumerate(fps)]
-    df = spark.createDataFrame(rows, "doc_id long, fp long, wide binary")
     want = components(fps, list(range(len(fps))), 2)
-    for bucket in (20, 4096):
-        got = {r.doc_id: r.component_id for r in simhash.components(df, 2, 0, bucket).collect()}
-        assert [got[i] for i in range(len(fps))] == want
+    got = {x.doc_id: x.component_id for x in simhash.components(fps_table(spark, fps), 2, bucket).collect()}
+    assert [got[i] for i in range(len(fps))] == want
 
 
-def test_near_duplicates(spark):
-    base = prose(21, 400).split()
-    edits = [" ".join(w if i % 80 != k else "changed" for i, w in enumerate(base)) for k in range(1, 4)]
-    rows = [(i, t, "en", "a", 0, 0, "") for i, t in enumerate([" ".join(base), *edits, prose(22, 400), prose(23, 400), None, ""])]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
-    assert [got[i] for i in range(6)] == [0, 0, 0, 0, 4, 5] and got[6] == got[7] == 6
+def test_rows_without_id_connect_others(spark):
+    fps = [0, 0b11, 0b1111, 1 << 40, 7 << 50]
+    rows = spark.createDataFrame(list(zip([5, None, 3, None, 9], fps)), "doc_id long, fp long")
+    got = {(x.doc_id, x.fp): x.component_id for x in simhash.components(rows).collect()}
+    assert got == {(5, 0): 3, (None, 3): 3, (3, 15): 3, (None, 1 << 40): 3, (9, 7 << 50): 9}
 
 
 def test_empty(spark):
@@ -79,8 +84,6 @@ def test_allotment():
 
 def test_half_way_meetings_lose_no_link(spark):
     """Wide radius, where parts with two differing bits meet under a flipped key; links of small keys come once."""
-    import random
-
     r = random.Random(5)
     fps = [r.getrandbits(64) for _ in range(150)]
     for f in fps[:100]:
@@ -89,14 +92,14 @@ def test_half_way_meetings_lose_no_link(spark):
             for b in r.sample(range(64), n):
                 g ^= 1 << b
             fps.append(g)
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f, b"") for i, f in enumerate(fps)], "doc_id long, fp long, wide binary")
+    df = fps_table(spark, fps)
     for radius in (3, 5, 8):
         want = components(fps, list(range(len(fps))), radius)
-        got = {x.doc_id: x.component_id for x in simhash.components(df, radius, 0, 4096).collect()}
+        got = {x.doc_id: x.component_id for x in simhash.components(df, radius).collect()}
         assert [got[i] for i in range(len(fps))] == want
-    rows = df.selectExpr("0L as key0", "fp", "wide", "doc_id as rep")
     n, ones, cov = simhash.bit_statistics(df)
-    parts, ts = simhash.plan(n, ones, cov, list(range(64)), 8)
-    links = [(min(x), max(x)) for x in simhash.spanning_links(simhash.filed(rows, parts, ts, 0), parts, ts, 8, 0, 4).collect()]
-    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 8}
+    plans = [simhash.Plan(n, ones, cov, list(range(64)), 8)]
+    keyed = simhash.filed(df.selectExpr("0L as key0", "0 as kind", "fp"), plans, 0)
+    links = [(min(x), max(x)) for x in simhash.spanning_links(keyed, plans, 8, 4).collect()]
+    want = {tuple(sorted((signed(fps[i]), signed(fps[j])))) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 8}
     assert set(links) == want and len(links) == len(want)

@@ -13,12 +13,14 @@ from tests.llm.fixtures import documents, prose, table
 
 
 @pytest.mark.parametrize("shard_rows", [40, 10_000])
-def test_topk(spark, shard_rows):
+@pytest.mark.parametrize("clustered", [True, False])
+def test_topk(spark, shard_rows, clustered):
     rng = np.random.RandomState(2)
-    rows = [(i, v.tolist(), i) for i, v in enumerate(rng.normal(0, 1, (400, 8)))]
-    rows += [(400 + i, rows[0][1], 0) for i in range(12)]  # ties
-    bad = [(900, None, 0), (901, [1.0, None], 0), (902, [float("nan")] * 8, 0), (903, [float("inf")] * 8, 0), (904, [], 0), (None, [1.0] * 8, 0)]
-    df = topk.usable(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank int"))
+    v = rng.normal(0, 1, (400, 8)) + (rng.normal(0, 9, (8, 8))[rng.randint(0, 8, 400)] if clustered else 0)
+    rows = [(i, x.tolist(), i, 0.0, i) for i, x in enumerate(v)]
+    rows += [(400 + i, rows[0][1], 0, 0.0, 0) for i in range(12)]  # ties
+    bad = [(900, None, 0, 0.0, 0), (901, [1.0, None], 0, 0.0, 0), (902, [float("nan")] * 8, 0, 0.0, 0), (903, [float("inf")] * 8, 0, 0.0, 0), (904, [], 0, 0.0, 0), (None, [1.0] * 8, 0, 0.0, 0)]
+    df = topk.usable(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank int, score double, query_id long"))
     got = defaultdict(list)
     for r in topk.topk(df, df.where("vec_id % 100 = 0"), 10, shard_rows).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -32,6 +34,14 @@ def test_topk(spark, shard_rows):
     assert topk.topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_repeated_rows(spark):
+    """A further copy of a query's row and another row with its id are candidates; two rows with one id are two queries."""
+    rows = [(0, [3, 0]), (0, [3, 0]), (1, [1, 0]), (5, [2, 0]), (5, [0, 4])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.topk(df, df.where("vec_id in (0, 5)"), 3).collect())
+    assert got == [(0, 1, 0, 9), (0, 2, 5, 6), (0, 3, 1, 3), (5, 1, 0, 0), (5, 1, 0, 6), (5, 2, 0, 0), (5, 2, 0, 6), (5, 3, 1, 0), (5, 3, 1, 2)]
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/1?x=1", "https://m.example.com/en/7", "http://x.net/de/1", "http://example.net/de/81#y", "http://example.org/es/", "http://notcom/en/", None, "no scheme/en/",
             "http://com/en/", "http://example.com", "http://host?q=/en/", "a://b://c/en/", "http://x.net/de/1"]
@@ -45,6 +55,17 @@ def test_url_rules(spark):
             7: ("", "", None, "allow"), 8: ("com", "/en/", "com/en/", "block"), 9: ("example.com", "", None, "allow"), 10: ("host", "", None, "allow"), 11: ("b:", "//c/en/", None, "allow")}
     assert {i: (got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in want} == want
     assert len(got) == len(rows) and all(got[100 + i].verdict == ("block" if i % 2 else "allow") for i in range(80))
+    # labels that are wrong for every tenth page: rules are learned from 300 pages and judged on 900 others
+    bad = lambda i: i % 5 == 0 or i % 7 == 0 and i % 2 == 0
+    rows = [(i, f"https://www.{'cheap-win' if i % 5 == 0 else 'plain-news'}{i % 3}.org/{'promo' if i % 7 == 0 else 'text'}/{i}?{'ref' if i % 2 == 0 else 'page'}=1", "h", "r") for i in range(1200)]
+    noisy = spark.createDataFrame([(i, int(bad(i) == (i % 10 == 3)), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    verdict = {r.page_id: r.verdict == "block" for r in url_rules.judge(spark.createDataFrame(rows, pages.schema), noisy).collect()}
+    told = [(verdict[i], bad(i)) for i in range(300, 1200)]
+    right = sum(a and b for a, b in told)
+    assert right >= 0.9 * sum(a for a, _ in told) and right >= 0.9 * sum(b for _, b in told)
+    # labels that don't depend on the URL make no rules
+    chance = spark.createDataFrame([(i, (i * 2654435761 >> 7) % 4 and 1, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    assert url_rules.judge(spark.createDataFrame(rows, pages.schema), chance).where("n_rules > 0").count() == 0
     assert url_rules.judge(pages.limit(0), labels).count() == 0 and url_rules.judge(pages, labels.limit(0)).where("rule is null and verdict = 'block'").count() == 0
 
 

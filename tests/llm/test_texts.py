@@ -1,7 +1,9 @@
 """Language, decontamination, chat windows, token files."""
 
 import hashlib
+import random
 import zlib
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -58,24 +60,53 @@ def test_decontaminate(spark):
     assert decontaminate.overlaps(table(spark, rows), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", range(1, 14))
-def test_short_items_every_placement(n):
-    """Every set of substitutions that the verification accepts is found, and none beyond."""
-    words = [f"w{k}" for k in range(n)]
-    index = decontaminate.Index([(1, decontaminate.word_hashes(" ".join(words)))])
-    allowed = n - decontaminate.agreeing(n)
-    for off in (c for m in range(allowed + 2) if m <= n for c in combinations(range(n), m)):
-        text = " ".join(["a b", *("other" if k in off else w for k, w in enumerate(words)), "c"])
-        assert len(index.overlaps([text])) == (len(off) <= allowed), off
-
-
-def test_benchmark_blocks(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, prose(40 + i, 30)) for i in range(6)], "item_id long, text string")
-    rows = [(i, prose(40 + i, 30), None, None, 0, 0, "") for i in range(6)]
-    one = decontaminate.overlaps
-    blocks = decontaminate.indexes
-    monkeypatch.setattr(decontaminate, "indexes", lambda b: blocks(b, 200))
-    assert sorted((r.doc_id, r.item_id) for r in one(table(spark, rows), bench).collect()) == [(i, i) for i in range(6)]
+@pytest.mark.parametrize("lengths", [range(1, 9), range(9, 12), range(12, 14)])
+def test_every_placement(spark, lengths):
+    """Every set of substitutions that the verification accepts is found, and none beyond, for items of 1 to 13 words."""
+    rows, want, items = [], set(), []
+    for n in lengths:
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = n - decontaminate.agreeing(n)
+        for off in (c for m in range(allowed + 2) if m <= n for c in combinations(range(n), m)):
+            if len(off) <= allowed:
+                want.add((len(rows), n))
+            rows.append((len(rows), " ".join(["a b", *("other" if k in off else w for k, w in enumerate(words)), "c"]), None, None, 0, 0, ""))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, rows), bench).collect()} == want
+
+
+def plain_overlaps(docs, items):
+    """All placements of all items over all documents."""
+    out = set()
+    for d, text in docs:
+        words = decontaminate.word_hashes(text)
+        for i, item in items:
+            own = decontaminate.word_hashes(item)
+            best = max((g for f in range(-len(own), len(words)) if (g := decontaminate.agreement(words, own, f))), default=None, key=lambda g: (g[0], -g[1], g[2]))
+            if best:
+                out.add((d, i, best[1], best[2], best[0]))
+    return out
+
+
+def test_overlaps_are_brute_force(spark):
+    """Long and repeated texts, items that repeat each other, columns that clash with the operator's own; a small filter lets more pass and changes nothing."""
+    r, items, docs = random.Random(41), [(i, prose(40 + i, 14 + 4 * i)) for i in range(8)], []
+    items += [(20, items[3][1]), (21, "the of the of the of the of the of the of the of"), (22, None)]
+    for k in range(60):
+        words = items[k % 8][1].split()
+        for _ in range(k % 7):
+            words[r.randrange(len(words))] = f"new{k}"
+        docs.append((k, " ".join([prose(100 + k, 30), *words, prose(200 + k, 5)])))
+    docs += [(70, prose(71, 30_000) + " " + items[5][1] + " " + prose(72, 30_000)), (71, "the of " * 60), (72, items[2][1] * 1 + " " + items[2][1])]
+    rows = spark.createDataFrame([(d, t, 7, "w", 1) for d, t in docs], "doc_id long, text string, item long, words string, first int").repartition(3)
+    bench = spark.createDataFrame([(i, t, 9, "x") for i, t in items], "item_id long, text string, doc_id long, hash string")
+    small = [d for d in docs if d[0] != 70]
+    got = {tuple(x) for x in decontaminate.overlaps(rows, bench).collect()}
+    assert {x for x in got if x[0] != 70} == plain_overlaps(small, items)
+    assert {x[:2] for x in got if x[0] == 70} == {(70, 5)}
+    left = decontaminate.decontaminated(rows, bench)
+    assert left.columns == rows.columns and {x.doc_id for x in left.collect()} == {d for d, _ in docs} - {x[0] for x in got}
 
 
 CHAT = [(1, 0, "system", "be brief"), (1, 1, "user", "hello"), (1, 2, "assistant", "a " * 30), (1, 3, "user", "b " * 30), (1, 4, "assistant", None), (1, 5, "assistant", "c " * 90),
@@ -83,20 +114,67 @@ CHAT = [(1, 0, "system", "be brief"), (1, 1, "user", "hello"), (1, 2, "assistant
         *[(4, i, "user" if i % 2 else "assistant", f"t{i} " * 10) for i in range(9)]]
 
 
-def test_chat(spark):
-    df = spark.createDataFrame([(*r, 1) for r in CHAT], "conv_id long, turn long, role string, text string, window int")
-    windows = chat.format_windows(df, budget=60, history=40)
+def plain_windows(tokens, system, budget, history):
+    """(number repeated, number new) of the windows, turn by turn."""
+    out, first = [], 0
+    while first < len(tokens):
+        fixed = tokens[0] if system and first else 0
+        room, head = min(history, budget - fixed - tokens[first]), first
+        while first and head > (1 if system else 0) and tokens[head - 1] <= room:
+            head -= 1
+            room -= tokens[head]
+        used, end = fixed + sum(tokens[head:first + 1]), first + 1
+        while end < len(tokens) and used + tokens[end] <= budget:
+            used += tokens[end]
+            end += 1
+        out.append((first - head + (1 if fixed else 0), end - first))
+        first = end
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history", "segment"), [(120, 60, 64), (120, 60, 1), (90, 400, 1), (2048, 256, 64)])
+def test_chat(spark, monkeypatch, budget, history, segment):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(chat, "SEGMENT", segment)
+    monkeypatch.setattr(chat, "RUN", 4)
+    df = spark.createDataFrame([(*r, 1, "x") for r in CHAT], "conv_id long, turn long, role string, text string, window int, start string").repartition(3)
+    windows = chat.format_windows(df, tokenizer_file(), budget, history)
     got = {r.conv_id: r for r in chat.read_windows(windows).collect()}
-    for conv in (1, 2, None, 3, 4):
-        turns = sorted([(t, r or "", x or "") for c, t, r, x in CHAT if c == conv])
+    rows, tok = defaultdict(list), Tokenizer.from_file(tokenizer_file())
+    for w in windows.orderBy("conv_id", "window").collect():
+        rows[w.conv_id].append(w)
+    for conv in {c for c, *_ in CHAT}:
+        turns = sorted([(-1 if t is None else t, r or "", x or "") for c, t, r, x in CHAT if c == conv])
         whole, loss = "".join(f"{r}\n{x}\n" for _, r, x in turns), "".join(x for _, r, x in turns if r == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    own = windows.where("conv_id = 1").orderBy("window").collect()
-    assert len(own) > 2 and all(w.formatted.startswith("<|im_start|>system\nbe brief") for w in own)
-    assert all(w.n_tokens <= 60 or w.n_new == 1 for w in own)
-    assert [w.n_repeated for w in windows.where("conv_id = 4").orderBy("window").collect()] == [0, 3, 3, 3, 3, 3]
-    assert chat.read_windows(chat.format_windows(df.limit(0))).count() == 0
+        tokens = [len(tok.encode("".join(chat.formatted_turn(a, b)), add_special_tokens=False).ids) for _, a, b in turns]
+        own = rows[conv]
+        if segment == 64:
+            assert [(w.n_repeated, w.n_new) for w in own] == plain_windows(tokens, turns[0][1] == "system", budget, history)
+        assert all(w.n_tokens <= budget or w.n_new == 1 for w in own)
+        if turns[0][1] == "system":
+            assert all(w.formatted.startswith("".join(chat.formatted_turn(*turns[0][1:]))) for w in own)
+        assert r.formatted_chars == sum(len(w.formatted) for w in own)
+    assert chat.read_windows(chat.format_windows(df.limit(0), tokenizer_file())).count() == 0
+
+
+def test_long_conversation_is_split(spark, monkeypatch):
+    """History reaches over the ends of segments; the system turn leads every window; a very long turn stands alone."""
+    monkeypatch.setattr(chat, "SEGMENT", 2)
+    monkeypatch.setattr(chat, "RUN", 16)
+    said = [(7, 0, "system", "be brief")] + [(7, i, "user" if i % 2 else "assistant", f"turn {i} of many") for i in range(1, 400)]
+    said[200] = (7, 200, "assistant", "long " * 5000)
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    placed = chat.segmented(chat.placed(chat.counted(df, tokenizer_file())), 200, 60)
+    assert placed.select("segment").distinct().count() > 20
+    own = chat.format_windows(df, tokenizer_file(), 200, 60).orderBy("window").collect()
+    assert all(w.formatted.startswith("<|im_start|>system\nbe brief") for w in own)
+    alone = [w.window for w in own if w.n_tokens > 200]
+    assert alone == [200] and all(w.n_repeated > 2 for w in own if w.window not in (0, 200, 201))
+    whole = "".join(f"{r}\n{x}\n" for _, _, r, x in said)
+    assert chat.read_windows(chat.format_windows(df, tokenizer_file(), 200, 60)).first().turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
 
 
 def test_escape():
