@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chainweave.functions import sequences as seq
 from chainweave.functions import values
 from chainweave.operators import clonotypes as ct
-from chainweave.operators import counting, distances, diversity, groups, indexing, mutation, qc
+from chainweave.operators import counting, distances, diversity, figures, groups, indexing, mutation, qc
 from chainweave.plans import receptors
 from chainweave.plans.lineage import scratch_path
 from chainweave.sources import legacy, tables
@@ -225,6 +225,13 @@ def summarize_expansion_clone(spark, sf):
     return counting.summarize_clonal_expansion(wide(spark, sf), "sample", "clone", "clone_id", normalize=False)
 
 
+@query(on_wide(""", c as (select sample, receptor_type, count(*) as n from wide where sample in ('MACHINERY', 'BUILDING') group by all),
+t as (select receptor_type, row_number() over (order by sum(n) desc, receptor_type) as target_rank from c group by receptor_type)
+select sample, receptor_type, n * 1.0 as value, case sample when 'MACHINERY' then 1 else 2 end as group_rank, target_rank from c join t using (receptor_type)"""))
+def group_abundance_listed(spark, sf):
+    return counting.group_abundance(base(spark, sf), "sample", "receptor_type", sort=["MACHINERY", "BUILDING"])
+
+
 def _abundance(value: str) -> str:
     return on_wide(f""", c as (select sample, receptor_type, count(*) as n from wide group by all), g as (select sample, row_number() over (order by sum(n) desc, sample) as group_rank from c group by sample),
 t as (select receptor_type, row_number() over (order by sum(n) desc, receptor_type) as target_rank from c group by receptor_type)
@@ -490,6 +497,39 @@ def clonotype_network(spark, sf):
     return ct.layout(nodes, links).join(nodes, "ct")
 
 
+@query()
+def network_tables(spark, sf):
+    members, links = _network(spark, sf)
+    cells = wide(spark, sf)
+    nodes = ct.network_nodes(members, links, min_cells=3, min_nodes=2, mask=cells.where("status = 'F'"))
+    return figures.network_tables(ct.layout(nodes, links), members, cells.withColumn("label", F.col("sample")), links)[0]
+
+
+_NODES = """, own as (select *, min(cell_ord) over (partition by VJ_1_junction_aa, VDJ_1_junction_aa, receptor_type) as ct from wide where has_ir and coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null)"""
+
+
+def _members(spark, sf):
+    cells = wide(spark, sf)
+    return cells, ct.configurations(cells, ct.Setup(receptor_arms="all", dual_ir="primary_only"))[1]
+
+
+@query(on_wide(_NODES + " select ct, round(avg(VJ_1_umi_count), 6) as value from own group by ct"))
+def node_means(spark, sf):
+    cells, members = _members(spark, sf)
+    return _rounded(figures.node_means(members, cells, "VJ_1_umi_count"), "value")
+
+
+@query(on_wide(_NODES + " select ct, coalesce(VJ_1_v_call, 'nan') as category, round(count(*) / sum(count(*)) over (partition by ct), 6) as share from own group by 1, 2"))
+def node_shares(spark, sf):
+    cells, members = _members(spark, sf)
+    return _rounded(figures.node_shares(members, cells, "VJ_1_v_call"), "share")
+
+
+@query(on_chains("select distinct v_call, regexp_replace(v_call, 'TRA|TRB|TRD|TRG|IGH|IGK|IGL', '', 'g') as label from chains"))
+def gene_labels(spark, sf):
+    return receptors.chains(spark, sf).select("v_call", figures.gene_label(F.col("v_call")).alias("label")).distinct()
+
+
 # ---- reference queries -----------------------------------------------------------------------------------------------
 
 
@@ -515,6 +555,14 @@ def query_pairs(spark, sf):
     return ct.ir_query(wide(spark, sf), reference(spark, sf), **_OPTIONS)[0]
 
 
+@query(on_wide(""", q as (select min(cell_ord) as i, VJ_1_junction_aa as a, VJ_2_junction_aa as b, receptor_type as t from wide where has_ir and coalesce(VJ_1_junction_aa, VJ_2_junction_aa) is not null group by 2, 3, 4),
+r as (select min(cell_ord) as j, VJ_1_junction_aa as a, VJ_2_junction_aa as b, receptor_type as t from wide where status = 'P' and has_ir and coalesce(VJ_1_junction_aa, VJ_2_junction_aa) is not null group by 2, 3, 4),
+x as (select i, t, unnest([a, b]) as s from q), y as (select j, t, unnest([a, b]) as s from r)
+select i, j, cast(min(hamming(x.s, y.s)) as int) as dist from x join y on x.t = y.t and length(x.s) = length(y.s) where hamming(x.s, y.s) <= 1 group by 1, 2"""))
+def query_pairs_any_hamming(spark, sf):
+    return ct.ir_query(wide(spark, sf), reference(spark, sf), receptor_arms="VJ", dual_ir="any", metric="hamming", cutoff=1)[0]
+
+
 def _annotated(name: str, strategy: str, sql: str):
     def f(spark, sf):
         cells, ref = wide(spark, sf), reference(spark, sf)
@@ -543,17 +591,54 @@ def overlap_jaccard(spark, sf):
     return _rounded(groups.jaccard(wide(spark, sf), "patient", "clone"), "distance")
 
 
-_SIDES = ", x as (select *, case when status = 'F' then 'case' when status = 'O' then 'control' end as side from wide where patient is not null and status is not null)"
+@query()
+def overlap_linkage(spark, sf):
+    return groups.repertoire_overlap(wide(spark, sf), "patient", "clone")[2]
+
 
+_SIDES = """, sides as (select case when status = 'F' then 'case' else 'control' end as side, patient, count(*) as n from wide
+  where patient is not null and status in ('F', 'O') group by 1, 2),
+pres as (select patient, clone, count(*) * 1.0::double as v from wide where patient is not null and clone is not null group by 1, 2),
+tot as (select sum(n) filter (side = 'case') as case_total, sum(n) filter (side = 'control') as control_total,
+  count(*) filter (side = 'case') as case_rows, count(*) filter (side = 'control') as control_rows from sides),
+per as (select clone, sum(case when side = 'case' then v else 0 end) as case_n, sum(case when side = 'control' then v else 0 end) as control_n,
+  sum(case when side = 'case' then v / n else 0 end) as case_sum, sum(case when side = 'control' then v / n else 0 end) as control_sum from sides join pres using (patient) group by clone),
+imb as (select clone, case_n, case_sum / case_rows as case_mean, cast(case_total as bigint) as case_total, control_n, control_sum / control_rows as control_mean,
+  cast(control_total as bigint) as control_total from per, tot where case_n > 0 or control_n > 0)"""
 
-@query(on_wide(_SIDES + ", t as (select count(distinct case when side='case' then patient end) as case_total, count(distinct case when side='control' then patient end) as control_total from x) select clone, count(distinct case when side='case' then patient end) as case_n, count(distinct case when side='control' then patient end) as control_n, case_total, control_total from x, t where clone is not null and side is not null group by clone, case_total, control_total"))
+
+@query(on_wide(_SIDES + " select 'All' as hue, clone, case_n, round(case_mean, 6) as case_mean, case_total, control_n, round(control_mean, 6) as control_mean, control_total from imb"))
 def imbalance_counts(spark, sf):
-    return groups.imbalance_counts(wide(spark, sf), "patient", "status", "clone", "F", "O")
+    return _rounded(groups.imbalance_counts(wide(spark, sf), "patient", "status", "clone", "F", "O"), "case_mean", "control_mean")
 
 
-@query()
+_LN = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+_TABLE = _LN.format(n="n1", k="x") + " + " + _LN.format(n="n2", k="(k - x)") + " - " + _LN.format(n="(n1 + n2)", k="k")
+_FISHER = _SIDES + f""", tab as (select *, case_n + greatest(case_total - case_n, 0) as n1, control_n + greatest(control_total - control_n, 0) as n2, case_n + control_n as k, case_n as own from imb),
+prob as (select *, list_transform(range(cast(greatest(0, k - n2) as bigint), cast(least(k, n1) as bigint) + 1), lambda x: {_TABLE}) as lnp, {_TABLE.replace("x", "own")} as ln_own from tab),
+pv as (select *, least(1.0::double, list_sum(list_transform(list_filter(lnp, lambda y: y <= ln_own + 1e-7), lambda y: exp(y)))) as p from prob),
+eps as (select case when count(*) = count(distinct patient) * count(distinct clone) then 0.01 * min(v) / count(distinct patient) else 0 end as e from pres)"""
+
+
+@query(on_wide(_FISHER + """ select 'All' as hue, clone, round(p, 6) as p_value, round(-log10(p), 4) as log_p, round(case when case_mean + e > 0 and control_mean + e > 0 then log2((case_mean + e) / (control_mean + e))
+  when case_mean + e > 0 then 'infinity'::double else '-infinity'::double end, 6) as log2_fc from pv, eps"""))
 def clonotype_imbalance(spark, sf):
-    return groups.clonotype_imbalance(wide(spark, sf), "patient", "status", "clone", "F", "O")
+    found = groups.clonotype_imbalance(wide(spark, sf), "patient", "status", "clone", "F", "O")
+    return _rounded(found.withColumn("log_p", F.round("log_p", 4)), "p_value", "log2_fc")
+
+
+@query(on_wide(_SIDES + """, t as (select distinct clone from imb) select t.clone, 'All' as hue, side, sides.patient as replicate, round(coalesce(v, 0) / n, 6) as abundance
+from t cross join sides left join pres on pres.patient = sides.patient and pres.clone = t.clone"""))
+def imbalance_abundance(spark, sf):
+    return _rounded(groups.imbalance_abundance(wide(spark, sf), "patient", "status", "clone", "F", "O"), "abundance")
+
+
+@query(on_wide(_FISHER + """, b as (select clone from pv order by round(p, 6), clone limit 8) select 'All' as hue, side, sides.patient as replicate, b.clone, round(coalesce(v, 0) / n, 6) as abundance
+from b cross join sides left join pres on pres.patient = sides.patient and pres.clone = b.clone"""))
+def imbalance_top(spark, sf):
+    cells = wide(spark, sf)
+    stats = groups.clonotype_imbalance(cells, "patient", "status", "clone", "F", "O").withColumn("p_value", F.round("p_value", 6))
+    return _rounded(figures.top_imbalance(stats, groups.imbalance_abundance(cells, "patient", "status", "clone", "F", "O"), "clone", 8), "abundance")
 
 
 def neighbours(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -570,7 +655,12 @@ def modularity_observed_edges(spark, sf):
 
 @query()
 def modularity_score(spark, sf):
-    return groups.clonotype_modularity(*neighbours(spark, sf), n_permutations=50)
+    return groups.clonotype_modularity(*neighbours(spark, sf))
+
+
+@query()
+def modularity_table(spark, sf):
+    return figures.modularity_table(groups.clonotype_modularity(*neighbours(spark, sf)))
 
 
 # ---- mutations -------------------------------------------------------------------------------------------------------
@@ -601,12 +691,25 @@ for _r in _PLACES:
 # ---- tables ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {_CHAINS}, {_CELLS}, o as (select distinct cell_id, locus, productive, umi_count, consensus_count, junction_aa, junction, v_call, d_call, j_call from chains) select cells.cell_id, count(o.cell_id) as n from cells left join o using (cell_id) group by 1")
-def merge_airr_counts(spark, sf):
+_ONE = "concat_ws('|', locus, coalesce(junction_aa, '-'), coalesce(junction, '-'), v_call, coalesce(d_call, '-'), j_call, cast(umi_count as {S}), cast(consensus_count as {S}), cast(productive as {S}))"
+
+
+@query(f"""with {_CHAINS}, {_CELLS}, o as (select distinct cell_id, {_ONE.replace('{S}', 'varchar')} as x from chains),
+h as (select cell_id, count(*) as n, sha256(string_agg(x, ',' order by x)) as chains_sha256 from o group by cell_id)
+select cells.cell_id, coalesce(n, 0) as n, coalesce(chains_sha256, sha256('')) as chains_sha256 from cells left join h using (cell_id)""")
+def merge_airr(spark, sf):
     rows = receptors.chains(spark, sf).drop("sequence_alignment", "germline_alignment_d_mask")
     cells = receptors.cells(spark, sf)
     a = receptors.nested(cells, rows.where("umi_count > 20"))
-    return indexing.merge_airr(a, receptors.nested(cells.select("cell_id", "sample"), rows)).select("cell_id", F.size("airr").cast("long").alias("n"))
+    merged = indexing.merge_airr(a, receptors.nested(cells.select("cell_id", "sample"), rows))
+    own = receptors.flat(merged).select("cell_id", F.expr(_ONE.replace("{S}", "string")).alias("x")).groupBy("cell_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    text = F.coalesce(F.array_join("x", ","), F.lit(""))
+    return merged.select("cell_id", F.size("airr").cast("long").alias("n")).join(own, "cell_id", "left").select("cell_id", "n", F.sha2(text, 256).alias("chains_sha256"))
+
+
+@query(on_chains("select cell_id, chain_idx, locus, junction_aa, umi_count from chains"))
+def nested_and_flat(spark, sf):
+    return receptors.flat(receptors.receptor_cells(spark, sf)).select("cell_id", "chain_idx", "locus", "junction_aa", "umi_count")
 
 
 @query(on_wide("select cell_id, arm, cast(slot as int) as slot, locus, junction_aa from (" + " union all ".join(

@@ -62,7 +62,7 @@ def configurations(cells: DataFrame, s: Setup) -> tuple[DataFrame, DataFrame]:
     """(clonotypes: ct, the first cell_ord of a configuration, and its columns; members: ct, cell_id)."""
     kinds = {c: F.upper(c) if c.endswith(s.field) else F.col(c) for c in s.columns}
     rows = cells.where("has_ir").where(F.coalesce(*[F.col(c).cast("string") for c in s.columns]).isNotNull())
-    rows = rows.select("cell_id", "cell_ord", *[v.alias(c) for c, v in kinds.items()], *s.match)
+    rows = cut(rows.select("cell_id", "cell_ord", *[v.alias(c) for c, v in kinds.items()], *s.match))  # read once for the table and for its members
     keys = [*s.columns, *s.match]
     table = cut(rows.groupBy(*keys).agg(F.min("cell_ord").alias("ct")))
     same = F.lit(True)
@@ -241,13 +241,23 @@ def annotate(spine: DataFrame, hits: DataFrame, column: str, strategy: str = "un
     return spine.select("cell_id").join(out, "cell_id", "left")
 
 
-def network_nodes(members: DataFrame, links_: DataFrame, min_cells: int = 1, min_nodes: int = 1) -> DataFrame:
-    """ct, component, n_nodes, n_cells of components with enough nodes and cells; members(ct, cell_id), links(src, dst)."""
+def network_nodes(members: DataFrame, links_: DataFrame, min_cells: int = 1, min_nodes: int = 1, mask: DataFrame | None = None) -> DataFrame:
+    """ct, component, n_nodes, n_cells of components with enough nodes and cells; members(ct, cell_id), links(src, dst).
+
+    ``mask``(cell_id): only components with at least one of these cells. It is an error if nothing is left.
+    """
     sizes = members.groupBy("ct").agg(F.count(F.lit(1)).alias("size"))
     parts = connected_components(links_)
-    nodes = sizes.join(parts, sizes.ct == parts.node, "left").select("ct", "size", F.coalesce("component", "ct").alias("component"))
+    nodes = cut(sizes.join(parts, sizes.ct == parts.node, "left").select("ct", "size", F.coalesce("component", "ct").alias("component")))
     per = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("size").alias("n_cells"))
-    return nodes.join(per.where((F.col("n_nodes") >= min_nodes) & (F.col("n_cells") >= min_cells)), "component")
+    kept = nodes.join(per.where((F.col("n_nodes") >= min_nodes) & (F.col("n_cells") >= min_cells)), "component")
+    if mask is not None:
+        seen = nodes.join(members.join(mask.select("cell_id").distinct(), "cell_id", "left_semi"), "ct").select("component").distinct()
+        kept = kept.join(seen, "component", "left_semi")
+    kept = cut(kept)
+    if kept.isEmpty():
+        raise ValueError(f"no component has {min_nodes} nodes, {min_cells} cells and a cell of the mask")
+    return kept
 
 
 def layout(nodes: DataFrame, links_: DataFrame, iterations: int = 50, seed: int = 42) -> DataFrame:

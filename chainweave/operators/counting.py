@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.functions.values import nullify
+from chainweave.plans.lineage import cut
+from chainweave.plans.numbering import numbered
 
 OTHER = "other"
 
@@ -55,16 +57,31 @@ def summarize_clonal_expansion(df: DataFrame, groupby: str, target: str, summari
     return long.withColumn("value", (F.col("n") / total) if normalize else F.col("n").cast("double")).drop("n")
 
 
-def group_abundance(df: DataFrame, groupby: str, target: str, fraction=False) -> DataFrame:
-    """groupby, target, value, group_rank, target_rank: weighted counts; ranks by total count, ties by name."""
+def group_abundance(df: DataFrame, groupby: str, target: str, fraction=False, sort="count") -> DataFrame:
+    """groupby, target, value, group_rank, target_rank: weighted counts; targets rank by total count, ties by name.
+
+    ``sort`` ranks the groups: by ``count``, ``alphabetical``, or in the order of a list, which also leaves out all others.
+    """
+    if not (isinstance(sort, (list, tuple)) or sort in ("count", "alphabetical")):
+        raise ValueError("sort is count, alphabetical or a list of groups")
+    if fraction is not False and fraction is not True and not isinstance(fraction, str):
+        raise ValueError("fraction is False, True or a column's name")
     rows = df.where(nullify(F.col(groupby).cast("string")).isNotNull() & nullify(F.col(target).cast("string")).isNotNull())
-    rows = weights(rows, fraction, groupby)
-    sums = rows.groupBy(groupby, target).agg(F.sum("weight").alias("value"), F.count(F.lit(1)).alias("n"))
-    for c in (groupby, target):
-        order = sums.groupBy(c).agg(F.sum("n").alias("t")).withColumn(
-            f"{'group' if c == groupby else 'target'}_rank", F.row_number().over(Window.orderBy(F.desc("t"), c))).drop("t")
-        sums = sums.join(order, c)
-    return sums.drop("n")
+    by = groupby if fraction is True else fraction or None
+    keys = list(dict.fromkeys([groupby, target, *([by] if by else [])]))
+    counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))  # the only pass over the cells
+    value = F.col("n") / F.sum("n").over(Window.partitionBy(by)) if by else F.col("n").cast("double")
+    sums = counts.withColumn("value", value).groupBy(groupby, target).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    total = lambda c: sums.groupBy(c).agg(F.sum("n").alias("_t"))
+    if isinstance(sort, (list, tuple)):
+        groups = df.sparkSession.createDataFrame([(i + 1, str(g)) for i, g in enumerate(sort)], "group_rank int, _g string")
+        sums = sums.join(groups, F.col(groupby).cast("string") == F.col("_g")).drop("_g")
+    else:
+        order = [F.desc("_t"), F.col(groupby)] if sort == "count" else [F.col(groupby)]
+        groups = numbered(total(groupby), order, "group_rank").select(groupby, (F.col("group_rank") + 1).cast("int").alias("group_rank"))
+        sums = sums.join(groups, groupby)
+    targets = numbered(total(target), [F.desc("_t"), F.col(target)], "target_rank").select(target, (F.col("target_rank") + 1).cast("int").alias("target_rank"))
+    return sums.join(targets, target).select(groupby, target, "value", "group_rank", "target_rank")
 
 
 def spectratype(df: DataFrame, target: str, chains=("VJ_1_junction_aa",), combine=None, fraction=False) -> DataFrame:

@@ -85,18 +85,29 @@ def _most(cutoff: int, normalized: bool) -> Column:
     return F.greatest(F.ceil((cutoff + 0.5) * F.length("seq") / 100 - 1e-9).cast("int") - 1, F.lit(0))
 
 
-def _segments(df: DataFrame, cutoff: int, normalized: bool) -> DataFrame:
+def _strided(df: DataFrame, cutoff: int, normalized: bool) -> DataFrame:
+    """One row for each of k + 1 parts of a sequence: part i holds every (k + 1)-th letter from i on.
+
+    Receptors share their ends; parts that run through the whole sequence are all about equally rare.
+    """
     k = df.withColumn("k", _most(cutoff, normalized)).withColumn("n", F.length("seq"))
     k = k.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    a, b = F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)), F.floor((F.col("i") + 1) * F.col("n") / (F.col("k") + 1))
-    return k.select("arm", "seq", "n", "k", "i", F.substring("seq", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    letters = F.filter(F.split("seq", ""), lambda x, at: at % (F.col("k") + 1) == F.col("i"))
+    return k.select("arm", "seq", "n", "k", "i", F.array_join(letters, "").alias("part"))
+
+
+def _segments(df: DataFrame, cutoff: int) -> DataFrame:
+    """One row for each of cutoff + 1 consecutive parts of a sequence."""
+    k = df.withColumn("n", F.length("seq")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cutoff))))
+    a, b = F.floor(F.col("i") * F.col("n") / (cutoff + 1)), F.floor((F.col("i") + 1) * F.col("n") / (cutoff + 1))
+    return k.select("arm", "seq", "n", "i", F.substring("seq", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
 
 
 def hamming(left: DataFrame, right: DataFrame | None = None, cutoff: int = 2, normalized: bool = False) -> DataFrame:
     """Mismatches of sequences of one length, or their rounded percentage."""
     square = right is None
-    a = _segments(left, cutoff, normalized)
-    b = _segments(left if square else right, cutoff, normalized).withColumnRenamed("seq", "seq2")
+    a = _strided(left, cutoff, normalized)
+    b = _strided(left if square else right, cutoff, normalized).withColumnRenamed("seq", "seq2")
     pairs = a.join(b.drop("k"), ["arm", "n", "i", "part"])
     if square:
         pairs = pairs.where("seq < seq2")
@@ -119,7 +130,7 @@ def levenshtein(left: DataFrame, right: DataFrame | None = None, cutoff: int = 2
     square = right is None
     other = left if square else right
     n = F.length("seq")
-    held = _segments(other, cutoff, False).select("arm", F.col("seq").alias("seq2"), "n", "i", "part")
+    held = _segments(other, cutoff).select("arm", F.col("seq").alias("seq2"), "n", "i", "part")
     probe = left.withColumn("m", n).withColumn("n", F.explode(F.sequence(F.greatest(n - cutoff, F.lit(0)), n + cutoff)))
     probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cutoff))))
     a, b = F.floor(F.col("i") * F.col("n") / (cutoff + 1)), F.floor((F.col("i") + 1) * F.col("n") / (cutoff + 1))
@@ -147,8 +158,8 @@ def encode(seqs: list[str], letters: str = LETTERS) -> tuple[np.ndarray, np.ndar
 Kernel = Callable[[list[str], list[str]], np.ndarray]
 
 
-def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff: float, len_diff: int, block: int = BLOCK) -> DataFrame:
-    """Edges of all pairs within a cutoff: sequences of near length are dealt in blocks, each pair of blocks is one task's matrix."""
+def block_tasks(left: DataFrame, right: DataFrame | None, len_diff: int, block: int) -> DataFrame:
+    """arm, n, b, seqs, m, b2, seqs2: pairs of blocks of sequences of near length, each a task's matrix."""
     square = right is None
     sides = []
     for df in (left, left if square else right):
@@ -162,12 +173,18 @@ def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff:
     if square:
         tasks = tasks.where("n < m or (n = m and b <= b2)")
     width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(width, "arm", "n", "b", "m", "b2")
+
+
+def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff: float, len_diff: int, block: int = BLOCK) -> DataFrame:
+    """Edges of all pairs within a cutoff; only these leave a task. ``kernel`` may be a mapping of one for each arm."""
+    square = right is None
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 x, y = row["seqs"], row["seqs2"]
-                d = kernel(x, y)
+                d = (kernel[row["arm"]] if isinstance(kernel, dict) else kernel)(x, y)
                 i, j = np.nonzero(d <= cutoff)
                 if square and (row["n"], row["b"]) == (row["m"], row["b2"]):
                     i, j = i[i < j], j[i < j]
@@ -175,10 +192,31 @@ def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff:
                                                   "dist": pa.array(d[i, j].astype(np.int32), pa.int32())},
                                                  schema=pa.schema([("arm", pa.string()), ("seq1", pa.string()), ("seq2", pa.string()), ("dist", pa.int32())]))
 
-    half = tasks.repartition(width, "arm", "n", "b", "m", "b2").mapInArrow(run, "arm string, seq1 string, seq2 string, dist int")
+    half = block_tasks(left, right, len_diff, block).mapInArrow(run, "arm string, seq1 string, seq2 string, dist int")
     return _mirror(half, left if square else None)
 
 
+def least_in_blocks(left: DataFrame, kernel: Kernel, block: int = BLOCK) -> DataFrame:
+    """arm, seq, d: least distance to another sequence of its length; a task gives one row per sequence, never its pairs."""
+    far = np.iinfo(np.int64).max
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = row["seqs"], row["seqs2"]
+                d = kernel(x, y).astype(np.int64)
+                same = (row["n"], row["b"]) == (row["m"], row["b2"])
+                if same:
+                    np.fill_diagonal(d, far)
+                sides = [(x, d.min(axis=1, initial=far))] + ([] if same else [(y, d.min(axis=0, initial=far))])
+                for seqs, low in sides:
+                    at = np.flatnonzero(low < far)
+                    yield pa.RecordBatch.from_pydict({"arm": [row["arm"]] * len(at), "seq": [seqs[k] for k in at], "d": pa.array(low[at].astype(np.int32), pa.int32())},
+                                                     schema=pa.schema([("arm", pa.string()), ("seq", pa.string()), ("d", pa.int32())]))
+
+    return block_tasks(left, None, 0, block).mapInArrow(run, "arm string, seq string, d int").groupBy("arm", "seq").agg(F.min("d").alias("d"))
+
+
 def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_penalty: int = 4, ntrim: int = 3, ctrim: int = 2,
                    fixed_gappos: bool = True, offset: int = 4, cap: int | None = 4) -> Kernel:
     """Weighted substitutions between the trimmed ends; one gap, at a fixed place or the best one; unknown letters cost nothing."""
@@ -222,8 +260,25 @@ def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_p
     return kernel
 
 
-def tcrdist(left: DataFrame, right: DataFrame | None = None, cutoff: int = 20, gap_penalty: int = 4, **options) -> DataFrame:
-    return blockwise(left, right, tcrdist_kernel(gap_penalty=gap_penalty, **options), cutoff, cutoff // gap_penalty)
+def read_matrix(path: str) -> np.ndarray:
+    """A substitution matrix from a text file: a line of letters, then for each letter a line with it and its values, in any order of LETTERS."""
+    with open(path) as f:
+        rows = [line.split() for line in f if line.strip() and not line.startswith("#")]
+    head, m = rows[0], np.zeros((len(LETTERS),) * 2, dtype=np.int64)
+    for letter, *values in rows[1:]:
+        for other, v in zip(head, values):
+            if letter in LETTERS and other in LETTERS:
+                m[LETTERS.index(letter), LETTERS.index(other)] = int(v)
+    return m
+
+
+def tcrdist(left: DataFrame, right: DataFrame | None = None, cutoff: int = 20, gap_penalty: int = 4, matrices: dict | None = None, **options) -> DataFrame:
+    """``matrices``: a substitution matrix for each arm; they share the offset 1 + the largest value off their diagonals, so that no mismatch is free."""
+    if matrices is None:
+        return blockwise(left, right, tcrdist_kernel(gap_penalty=gap_penalty, **options), cutoff, cutoff // gap_penalty)
+    offset = 1 + max(int(m[~np.eye(len(m), dtype=bool)].max()) for m in matrices.values())
+    kernels = {arm: tcrdist_kernel(m, gap_penalty=gap_penalty, **{"offset": offset, "cap": None, **options}) for arm, m in matrices.items()}
+    return blockwise(left, right, kernels, cutoff, cutoff // gap_penalty)
 
 
 def alignment_kernel(cutoff: int, matrix: np.ndarray | None = None, gap_open: int = 11, gap_extend: int = 11, penalty: int = 0) -> Kernel:
@@ -338,5 +393,4 @@ def nearest_neighbours(left: DataFrame, normalized: bool = False) -> DataFrame:
         d = sum((a[:, k][:, None] != b[:, k][None, :] for k in range(a.shape[1])), np.zeros((len(x), len(y)), dtype=np.int64))
         return np.floor(100 * d / max(1, a.shape[1]) + 0.5).astype(np.int64) if normalized else d
 
-    near = blockwise(left, None, kernel, 10**6, 0).where("seq1 <> seq2").groupBy("arm", F.col("seq1").alias("seq")).agg(F.min("dist").alias("d"))
-    return left.join(near, ["arm", "seq"], "left").select("arm", "seq", F.coalesce("d", F.lit(100) if normalized else F.length("seq")).alias("nearest"))
+    return left.join(least_in_blocks(left, kernel), ["arm", "seq"], "left").select("arm", "seq", F.coalesce("d", F.lit(100) if normalized else F.length("seq")).alias("nearest"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.operators.counting import weights
+from chainweave.plans.lineage import cut
 
 
 def presence(df: DataFrame, groupby: str, target: str, fraction=False) -> DataFrame:
@@ -42,10 +43,24 @@ def single_linkage(distances: list[tuple]) -> list[tuple]:
         x, y = find(a), find(b)
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((x, y, d))
+            out.append((min(x, y), max(x, y), d))
     return out
 
 
+def repertoire_overlap(df: DataFrame, groupby: str, target: str, threshold: float = 0.0, fraction=False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(presence, distances, linkage): weighted cells per group and target, Jaccard distances of groups, merges of single linkage (step, a, b, distance)."""
+    distances = cut(jaccard(df, groupby, target, threshold, fraction))
+    kind = distances.schema["a"].dataType.simpleString()
+
+    def merges(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = single_linkage(list(zip(pdf.a, pdf.b, pdf.distance)))
+        return pd.DataFrame({"step": range(len(found)), "a": [x[0] for x in found], "b": [x[1] for x in found], "distance": [x[2] for x in found]})
+
+    # groups are samples or patients: their distances fit one task
+    linkage = distances.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merges, f"step int, a {kind}, b {kind}, distance double")
+    return presence(df, groupby, target, fraction), distances, linkage
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of a 2 x 2 table: all tables with its margins that are no likelier."""
     n1, n2, k = a + b, c + d, a + c
@@ -56,36 +71,60 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in p if x <= own + 1e-7))
 
 
-def imbalance_counts(df: DataFrame, replicate: str, groupby: str, target: str, case: str, control: str | None = None) -> DataFrame:
-    """target, case_n, control_n (replicates with it), case_total, control_total."""
-    rows = df.where(F.col(replicate).isNotNull() & F.col(groupby).isNotNull())
+def _sides(df: DataFrame, replicate: str, groupby: str, case: str, control: str | None, hue: str | None) -> DataFrame:
+    """hue, side, replicate, n: cells of each replicate on each side."""
     side = F.when(F.col(groupby) == case, "case").when(F.lit(True) if control is None else F.col(groupby) == control, "control")
-    reps = rows.select(side.alias("side"), replicate).where("side is not null").distinct()
-    total = reps.groupBy().agg(F.count_if(F.col("side") == "case").alias("case_total"), F.count_if(F.col("side") == "control").alias("control_total"))
-    has = rows.where(F.col(target).isNotNull()).select(side.alias("side"), replicate, target).where("side is not null").distinct()
-    per = has.groupBy(target).agg(F.count_if(F.col("side") == "case").alias("case_n"), F.count_if(F.col("side") == "control").alias("control_n"))
-    return per.crossJoin(total)  # total is one row
-
-
-def clonotype_imbalance(df: DataFrame, replicate: str, groupby: str, target: str, case: str, control: str | None = None) -> DataFrame:
-    """target, p_value, log_p, log2_fc: Fisher's exact test of presence and fold change of mean abundance, case against control."""
-    counts = imbalance_counts(df, replicate, groupby, target, case, control)
+    rows = df.where(F.col(replicate).isNotNull() & F.col(groupby).isNotNull())
+    named = F.col(hue).cast("string") if hue else F.lit("All")
+    return rows.select(named.alias("hue"), groupby, side.alias("side"), F.col(replicate).alias("replicate")).where("side is not null and hue is not null").groupBy(
+        "hue", groupby, "side", "replicate").agg(F.count(F.lit(1)).alias("n")).drop(groupby)
+
+
+def imbalance_counts(df: DataFrame, replicate: str, groupby: str, target: str, case: str, control: str | None = None, hue: str | None = None, fraction=False) -> DataFrame:
+    """hue, target and per side: _n (weighted cells with the target in the side's replicates), _mean (mean share of a replicate), _total (cells)."""
+    sides = cut(_sides(df, replicate, groupby, case, control, hue))
+    sizes = presence(df, replicate, target, fraction).withColumnRenamed(replicate, "replicate")
+    on = lambda s, v: F.sum(F.when(F.col("side") == s, v).otherwise(0.0))
+    per = sides.join(sizes, "replicate").groupBy("hue", target).agg(
+        *[on(s, F.col("value")).alias(f"{s}_n") for s in ("case", "control")],
+        *[on(s, F.col("value") / F.col("n")).alias(f"{s}_sum") for s in ("case", "control")])
+    total = sides.groupBy("hue").agg(*[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"{s}_total") for s in ("case", "control")],
+                                     *[F.count_if(F.col("side") == s).alias(f"{s}_rows") for s in ("case", "control")])
+    rows = per.where("case_n > 0 or control_n > 0").join(total, "hue")
+    return rows.select("hue", target, *[c for s in ("case", "control") for c in (
+        F.col(f"{s}_n"), (F.col(f"{s}_sum") / F.greatest(F.col(f"{s}_rows"), F.lit(1))).alias(f"{s}_mean"), F.col(f"{s}_total"))])
+
+
+def clonotype_imbalance(df: DataFrame, replicate: str, groupby: str, target: str, case: str, control: str | None = None, hue: str | None = None, fraction=False) -> DataFrame:
+    """hue, target, p_value, log_p, log2_fc: Fisher's exact test of cells with and without the target, and fold change of mean shares, case against control.
+
+    To both means a hundredth of the least abundance per replicate is added; it is 0
+    where some replicate lacks some target, and the fold change may then be infinite.
+    """
+    counts = imbalance_counts(df, replicate, groupby, target, case, control, hue, fraction)
 
     @F.pandas_udf("double")
     def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d)], dtype="float64")
 
-    rows = df.where(F.col(replicate).isNotNull() & F.col(groupby).isNotNull() & F.col(target).isNotNull())
-    side = F.when(F.col(groupby) == case, "case").when(F.lit(True) if control is None else F.col(groupby) == control, "control")
-    share = weights(rows.withColumn("side", side).where("side is not null"), True, replicate).groupBy("side", replicate, target).agg(F.sum("weight").alias("w"))
-    mean = share.groupBy(target).agg(F.sum(F.when(F.col("side") == "case", F.col("w"))).alias("case_w"), F.sum(F.when(F.col("side") == "control", F.col("w"))).alias("control_w"))
-    out = counts.join(mean, target, "left").withColumns({
-        "case_w": F.coalesce("case_w", F.lit(0.0)) / F.greatest("case_total", F.lit(1)), "control_w": F.coalesce("control_w", F.lit(0.0)) / F.greatest("control_total", F.lit(1))})
-    absent = lambda s: F.greatest(F.col(f"{s}_total") - F.col(f"{s}_n"), F.lit(0))
-    out = out.withColumn("p_value", fisher("case_n", absent("case"), "control_n", absent("control")))
-    fold = F.when(F.col("control_w") > 0, F.when(F.col("case_w") > 0, F.log2(F.col("case_w") / F.col("control_w"))).otherwise(float("-inf"))).otherwise(
-        F.when(F.col("case_w") > 0, float("inf")))
-    return out.select(target, "p_value", (-F.log10("p_value")).alias("log_p"), fold.alias("log2_fc"))
+    sizes = presence(df, replicate, target, fraction)
+    least = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least")).crossJoin(  # one row each
+        sizes.agg(F.count_distinct(replicate).alias("rows"), F.count_distinct(target).alias("columns"))).select(
+        F.coalesce(F.when(F.col("n") == F.col("rows") * F.col("columns"), 0.01 * F.col("least") / F.col("rows")), F.lit(0.0)).alias("more"))
+    absent = lambda s: F.greatest(F.col(f"{s}_total") - F.col(f"{s}_n"), F.lit(0)).cast("long")
+    out = counts.crossJoin(least).withColumn("p_value", fisher(F.col("case_n").cast("long"), absent("case"), F.col("control_n").cast("long"), absent("control")))
+    a, b = F.col("case_mean") + F.col("more"), F.col("control_mean") + F.col("more")
+    fold = F.when((a > 0) & (b > 0), F.log2(a / F.when(b > 0, b))).when(a > 0, float("inf")).when(b > 0, float("-inf")).otherwise(float("nan"))
+    return out.select("hue", target, "p_value", (-F.log10("p_value")).alias("log_p"), fold.alias("log2_fc"))
+
+
+def imbalance_abundance(df: DataFrame, replicate: str, groupby: str, target: str, case: str, control: str | None = None, hue: str | None = None, fraction=False) -> DataFrame:
+    """target, hue, side, replicate, abundance (share of the replicate's cells) for every tested target and replicate, 0 where absent."""
+    sides = cut(_sides(df, replicate, groupby, case, control, hue))
+    sizes = cut(presence(df, replicate, target, fraction).withColumnRenamed(replicate, "replicate"))
+    tested = sides.join(sizes, "replicate").where("value > 0").select("hue", target).distinct()
+    rows = tested.join(sides, "hue").join(sizes, ["replicate", target], "left")  # the table is targets x replicates
+    return rows.select(target, "hue", "side", "replicate", (F.coalesce("value", F.lit(0.0)) / F.col("n")).alias("abundance"))
 
 
 def observed_edges(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,24 +169,27 @@ def clonotype_modularity(labels: DataFrame, edges: DataFrame, n_permutations: in
     """label, size, n_edges, score, p_value, fdr: edges inside a label against random sets of its size.
 
     Permutations shuffle all nodes (by a hash of node and permutation); the first
-    s nodes are the random set of size s. Each permutation is one task's work on
-    edges that are ordered by their later end, so all sizes come from one pass.
+    s nodes are the random set of size s, so all sizes come from one pass.
     """
     seen = observed_edges(labels, edges)
     sizes = sorted(r[0] for r in seen.select("size").distinct().collect())  # distinct sizes: few
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    # a random order of nodes per permutation; an edge counts for set sizes from its later node on
     perms = labels.sparkSession.range(n_permutations).select((F.col("id") + seed).alias("perm"))
     nodes = labels.select("node").distinct()
-    order = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("perm", "node"), "node"))
-    ranks = nodes.join(perms, F.lit(True)).withColumn("rank", order)  # permutations x nodes is the work itself
+    # the random set of size s holds the s nodes of least hash; nodes that can't be among the largest set's are left out at once
+    n, most = nodes.count(), sizes[-1] if sizes else 0
+    share = min(1.0, (most + 10 * math.sqrt(most) + 50) / max(1, n))
+    drawn = nodes.crossJoin(perms).withColumn("h", F.xxhash64("perm", "node")).where(F.shiftrightunsigned("h", 11) <= int(share * ((1 << 53) - 1)))
+    order = F.row_number().over(Window.partitionBy("perm").orderBy(F.shiftrightunsigned("h", 11), "h", "node"))
+    ranks = cut(drawn.withColumn("rank", order).where(F.col("rank") <= most).select("perm", "node", "rank"))
+    # an edge counts for set sizes from its later node on: counted at the least such size, then summed up
     late = e.join(ranks.select(F.col("node").alias("src"), "perm", F.col("rank").alias("r1")), "src").join(
-        ranks.select(F.col("node").alias("dst"), F.col("perm").alias("p2"), F.col("rank").alias("r2")), "dst").where("perm = p2").select(
-        "perm", F.greatest("r1", "r2").alias("rank"))
-    at = F.array(*map(F.lit, sizes))
-    counts = perms.crossJoin(labels.sparkSession.createDataFrame([(s,) for s in sizes], "size long")).join(
-        late.withColumn("size", F.explode(F.filter(at, lambda s: s >= F.col("rank")))).groupBy("perm", "size").agg(F.count(F.lit(1)).alias("n")), ["perm", "size"], "left")
-    counts = counts.select("size", F.coalesce("n", F.lit(0)).alias("n")).groupBy("size").agg(F.collect_list("n").alias("random"))
+        ranks.select(F.col("node").alias("dst"), "perm", F.col("rank").alias("r2")), ["perm", "dst"])
+    at = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<bigint>")
+    late = late.withColumn("size", F.array_min(F.filter(at, lambda s: s >= F.greatest("r1", "r2")))).groupBy("perm", "size").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy("perm").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = perms.crossJoin(labels.sparkSession.createDataFrame([(s,) for s in sizes], "size long")).join(late, ["perm", "size"], "left")
+    counts = counts.withColumn("n", F.sum(F.coalesce("k", F.lit(0))).over(upto)).groupBy("size").agg(F.collect_list("n").alias("random"))
 
     @F.pandas_udf("double")
     def p_value(size: pd.Series, n: pd.Series, random: pd.Series) -> pd.Series:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chainweave.plans.lineage import cut
 
 
-def numbered(df: DataFrame, order: Column | str, name: str) -> DataFrame:
-    """Add ``name``: 0, 1, ... by ``order``: a distributed sort, then one offset per partition."""
-    rows = cut(df.orderBy(order).withColumn("_id", F.monotonically_increasing_id()))
+def numbered(df: DataFrame, order: Column | str | list, name: str) -> DataFrame:
+    """Add ``name``: 0, 1, ... by ``order`` (one key or a list): a distributed sort, then one offset per partition."""
+    rows = cut(df.orderBy(*(order if isinstance(order, list) else [order])).withColumn("_id", F.monotonically_increasing_id()))
     rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

@@ -67,3 +67,9 @@ def nested(cells: DataFrame, chains: DataFrame) -> DataFrame:
 
 def receptor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested(cells(spark, sf_dir), chains(spark, sf_dir))
+
+
+def flat(cells: DataFrame, airr: str = "airr") -> DataFrame:
+    """The inverse of ``nested``: cell_id, chain_idx and the chains' fields, one row per chain; cells without chains give none."""
+    rows = cells.select("cell_id", F.posexplode(airr).alias("chain_idx", "c"))
+    return rows.select("cell_id", "chain_idx", "c.*")

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from chainweave.operators import distances as d
 
@@ -73,4 +72,23 @@ def test_own_metric(spark):
 def test_nearest(spark):
     got = {r.seq: r.nearest for r in d.nearest_neighbours(table(spark, ["AAA", "AAC", "CCC", "DDDD"])).collect()}
     assert got == {"AAA": 1, "AAC": 1, "CCC": 2, "DDDD": 4}
-    assert F is not None
+
+
+def test_nearest_over_blocks(spark, monkeypatch):
+    r = np.random.RandomState(4)
+    seqs = sorted({"".join(r.choice(list("ACDE"), 6)) for _ in range(120)})
+    monkeypatch.setattr(d.least_in_blocks, "__defaults__", (16,))
+    got = {x.seq: x.nearest for x in d.nearest_neighbours(table(spark, seqs)).collect()}
+    assert got == {s: min(sum(a != b for a, b in zip(s, t)) for t in seqs if t != s) for s in seqs}
+
+
+def test_matrix_of_each_arm(spark, tmp_path):
+    """A matrix read from a file; arms share one offset, so equal values cost the same in both."""
+    f = tmp_path / "m.txt"
+    f.write_text("# letters\n  " + " ".join(d.LETTERS) + "\n" + "\n".join(f"{x} " + " ".join("5" if x == y else "2" if {x, y} == {"L", "P"} else "0" for y in d.LETTERS) for x in d.LETTERS) + "\n")
+    m = d.read_matrix(str(f))
+    assert m[d.LETTERS.index("L"), d.LETTERS.index("P")] == 2 and m[0, 0] == 5
+    flat = np.where(np.eye(20, dtype=bool), 5, 1)
+    rows = spark.createDataFrame([(a, s) for a in ("VJ", "VDJ") for s in ("CASSLGQAYEQYF", "CASSPGQAYEQYF", "CASSWGQAYEQYF")], "arm string, seq string")
+    got = {(r.arm, r.seq1[4], r.seq2[4]): r.dist for r in d.tcrdist(rows, matrices={"VJ": m, "VDJ": flat}).collect()}
+    assert got["VJ", "L", "P"] == 3 and got["VJ", "L", "W"] == 9 and got["VDJ", "L", "P"] == 6

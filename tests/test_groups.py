@@ -2,9 +2,9 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from chainweave.operators import counting, diversity, groups, mutation
+from chainweave.operators import clonotypes as ct
+from chainweave.operators import counting, diversity, figures, groups, mutation
 from chainweave.plans.components import connected_components
 
 
@@ -60,5 +60,67 @@ def test_overlap(spark):
     rows = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x"), ("C", "z")], "g string, t string")
     got = {(r.a, r.b): r.distance for r in groups.jaccard(rows, "g", "t").collect()}
     assert got == {("A", "B"): 0.5, ("A", "C"): 1.0, ("B", "C"): 1.0}
-    assert groups.single_linkage([(a, b, d) for (a, b), d in got.items()])[0] == ("A", "B", 0.5)
-    assert F is not None
+    presence, distances, linkage = groups.repertoire_overlap(rows, "g", "t")
+    assert presence.count() == 4 and distances.count() == 3
+    assert [tuple(r) for r in linkage.orderBy("step").collect()] == [(0, "A", "B", 0.5), (1, "A", "C", 1.0)]
+
+
+def test_imbalance(spark):
+    """Cells with and without a clonotype on both sides; a clonotype that all replicates have, and one that some lack."""
+    data = [(p, s, c) for p, s, cells in [("p1", "F", "xxxy"), ("p2", "F", "xxyy"), ("p3", "O", "xyyy"), ("p4", "O", "xyyyyy")] for c in cells]
+    rows = spark.createDataFrame(data + [("p4", "O", None), (None, "F", "x"), ("p5", "Q", "x")], "rep string, status string, clone string")
+    both = rows.where("rep is null or rep <> 'p5'")
+    got = {r.clone: r for r in groups.clonotype_imbalance(both, "rep", "status", "clone", "F", "O").collect()}
+    assert got["x"].p_value == pytest.approx(groups.fisher_exact(5, 3, 2, 9)) and got["x"].hue == "All"
+    eps = 0.01 * 1 / 4
+    assert got["x"].log2_fc == pytest.approx(math.log2(((3 / 4 + 2 / 4) / 2 + eps) / ((1 / 4 + 1 / 7) / 2 + eps)))
+    lone = rows.union(spark.createDataFrame([("p1", "F", "z")], rows.schema))
+    stats = {r.clone: r for r in groups.clonotype_imbalance(lone, "rep", "status", "clone", "F", "O").collect()}
+    assert stats["z"].log2_fc == float("inf") and stats["z"].log_p == pytest.approx(-math.log10(stats["z"].p_value))
+    long = groups.imbalance_abundance(lone, "rep", "status", "clone", "F", None)
+    assert long.where("clone = 'z'").count() == 5 and long.where("clone = 'z' and abundance > 0").count() == 1
+    top = figures.top_imbalance(groups.clonotype_imbalance(lone, "rep", "status", "clone", "F"), long, "clone", 2)
+    assert top.count() == 10
+
+
+def test_abundance(spark):
+    rows = spark.createDataFrame([(g, t) for g, ts in [("A", "xxy"), ("B", "y"), ("C", "zzzzzz")] for t in ts] + [("A", None), ("nan", "x")], "g string, t string")
+    got = {(r.g, r.t): (r.value, r.group_rank, r.target_rank) for r in counting.group_abundance(rows, "g", "t", True).collect()}
+    assert got == {("A", "x"): (2 / 3, 2, 2), ("A", "y"): (1 / 3, 2, 3), ("B", "y"): (1.0, 3, 3), ("C", "z"): (1.0, 1, 1)}
+    some = {(r.g, r.t): r.group_rank for r in counting.group_abundance(rows, "g", "t", sort=["C", "A"]).collect()}
+    assert some == {("C", "z"): 1, ("A", "x"): 2, ("A", "y"): 2}
+    assert {r.group_rank for r in counting.group_abundance(rows, "g", "t", sort="alphabetical").where("g = 'C'").collect()} == {3}
+    assert {(r.t): r.value for r in counting.group_abundance(rows, "g", "t", "t").where("g = 'A'").collect()} == {"x": 1.0, "y": 0.5}
+
+
+def test_modularity(spark):
+    """A clique among many nodes without edges inside their labels scores high; exact and fitted p agree in kind."""
+    labels = spark.createDataFrame([(i, "clique" if i < 6 else f"l{i % 20}") for i in range(200)], "node long, label string")
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(a)] + [(i, i + 1) for i in range(6, 199)], "src long, dst long")
+    for exact in (True, False):
+        got = {r.label: r for r in groups.clonotype_modularity(labels, edges, 200, exact).collect()}
+        assert got["clique"].n_edges == 15 and got["clique"].score > 3 and got["clique"].p_value <= 0.01 and got["l7"].score <= 0
+    shown = {r.label: r.shown for r in figures.modularity_table(groups.clonotype_modularity(labels, edges, 100)).collect()}
+    assert shown["clique"] and not shown["l7"]
+
+
+def test_network(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (9, "e")], "ct long, cell_id string")
+    links = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    cells = spark.createDataFrame([(c, n, k) for c, n, k in zip("abcde", (1.0, 3.0, 5.0, None, 2.0), ("x", None, "y", "y", "x"))], "cell_id string, v double, label string")
+    assert {r.ct for r in ct.network_nodes(members, links, 3, 2).collect()} == {1, 2, 3}
+    assert {r.ct for r in ct.network_nodes(members, links, 1, 1, cells.where("cell_id = 'e'")).collect()} == {9}
+    with pytest.raises(ValueError, match="no component"):
+        ct.network_nodes(members, links, 3, 2, cells.where("cell_id = 'e'"))
+    assert {r.ct: r.value for r in figures.node_means(members, cells, "v").collect()} == {1: 2.0, 2: 5.0, 3: None, 9: 2.0}
+    assert {(r.ct, r.category): r.share for r in figures.node_shares(members, cells, "label").collect()} == {(1, "x"): 0.5, (1, "nan"): 0.5, (2, "y"): 1.0, (3, "y"): 1.0, (9, "x"): 1.0}
+    at = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 4.0)], "ct long, x double, y double")
+    nodes, edges = figures.network_tables(at, members, cells, links)
+    assert {(r.ct, r.label): (r.y, r["size"]) for r in nodes.collect()} == {(1, "x"): (4.0, 1), (2, "y"): (0.0, 1)} and [tuple(r) for r in edges.collect()] == [(1, 2)]
+
+
+def test_curve(spark):
+    values = spark.createDataFrame([(3, 2.0), (5, 1.0)], "v int, w double")
+    got = {round(r.grid, 6): r.density for r in counting.kde(values, "v", "w").collect()}
+    want = lambda x: sum(w / 3 * math.exp(-((x - v) / 0.6) ** 2 / 2) / (0.6 * math.sqrt(2 * math.pi)) for v, w in ((3, 2.0), (5, 1.0)))
+    assert len(got) == 81 and all(d == pytest.approx(want(x)) for x, d in got.items())
