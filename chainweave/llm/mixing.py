@@ -137,7 +137,9 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
 
 def block_uses(sources: DataFrame) -> DataFrame:
     """source_no, block, uses: how many slots of the mix take each block."""
-    slots = drawn_slots(sources).select("source_no", "blocks", F.explode(F.expr("sequence(first, last - 1)")).alias("slot"))
+    width = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a few rows stand for SHARD slots each: dealt out before they are unfolded
+    slots = drawn_slots(sources).repartition(width, "source_no", "first").select("source_no", "blocks", F.explode(F.expr("sequence(first, last - 1)")).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), turn)
     return slots.groupBy("source_no", block.alias("block")).agg(F.count("*").alias("uses"))
