@@ -355,6 +355,7 @@ def _distance(name: str, metric: str, sql: str, **options):
 
 _distance("dist_identity", "identity", " select arm, seq as seq1, seq as seq2, 0 as dist from s")
 _distance("dist_hamming", "hamming", " select a.arm, a.seq as seq1, b.seq as seq2, cast(hamming(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where hamming(a.seq, b.seq) <= 2")
+_distance("dist_gpu_hamming", "gpu_hamming", " select a.arm, a.seq as seq1, b.seq as seq2, cast(hamming(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where hamming(a.seq, b.seq) <= 1", cutoff=1)
 _distance("dist_norm_hamming", "normalized_hamming", " select a.arm, a.seq as seq1, b.seq as seq2, cast(floor(100.0 * hamming(a.seq, b.seq) / length(a.seq) + 0.5) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where floor(100.0 * hamming(a.seq, b.seq) / length(a.seq) + 0.5) <= 14", cutoff=14)
 _distance("dist_levenshtein", "levenshtein", " select a.arm, a.seq as seq1, b.seq as seq2, cast(levenshtein(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and abs(length(a.seq) - length(b.seq)) <= 2 where levenshtein(a.seq, b.seq) <= 2")
 _M = distances.substitution_matrix()
@@ -726,6 +727,41 @@ def write_read_airr(spark, sf):
     return tables.read_airr(spark, path, infer=False).select("cell_id", "locus", "productive", F.col("umi_count").cast("long").alias("umi_count"), "junction_aa", "v_call")
 
 
+@query(on_chains("""select cell_id, cell_id||'_'||chain_idx as sequence_id, locus, v_call, d_call, j_call, junction_aa, productive, cast(umi_count as bigint) as umi_count, consensus_count
+  from chains where locus <> 'TRD' and umi_count > 5"""))
+def read_10x_csv(spark, sf):
+    said = lambda c: F.when(c, "True").otherwise("False")
+    rows = receptors.chains(spark, sf).select(
+        F.col("cell_id").alias("barcode"), said(F.col("locus") != "TRD").alias("is_cell"), F.concat("cell_id", F.lit("_"), F.col("chain_idx").cast("string")).alias("contig_id"),
+        said(F.col("umi_count") > 5).alias("high_confidence"), F.col("locus").alias("chain"), F.col("v_call").alias("v_gene"), F.coalesce("d_call", F.lit("None")).alias("d_gene"),
+        F.col("j_call").alias("j_gene"), F.lit("None").alias("c_gene"), said(F.col("productive")).alias("productive"), F.coalesce("junction_aa", F.lit("None")).alias("cdr3"),
+        F.coalesce("junction", F.lit("None")).alias("cdr3_nt"), F.col("consensus_count").alias("reads"), F.col("umi_count").alias("umis"))
+    path = scratch_path(spark, "tenx.csv")
+    rows.write.csv(path, header=True)
+    return tables.read_10x_csv(spark, path).select(
+        "cell_id", "sequence_id", "locus", "v_call", "d_call", "j_call", "junction_aa", "productive", "umi_count", "consensus_count")
+
+
+@query(on_chains("select cell_id, locus, v_call, d_call, j_call, junction_aa, productive, cast(umi_count as bigint) as umi_count from chains"))
+def read_bd_rhapsody(spark, sf):
+    kind = F.create_map(*[F.lit(x) for k, v in tables.BD_LOCI.items() for x in (v, k)])[F.col("locus")]
+    rows = receptors.chains(spark, sf).select(
+        F.col("cell_id").alias("Cell_Index"), kind.alias("Chain_Type"), F.col("v_call").alias("V_gene_Dominant"), F.col("d_call").alias("D_gene_Dominant"),
+        F.col("j_call").alias("J_gene_Dominant"), F.lit(None).cast("string").alias("C_gene_Dominant"), F.col("junction").alias("CDR3_Nucleotide_Dominant"),
+        F.col("junction_aa").alias("CDR3_Translation_Dominant"), F.when(F.col("productive"), "True").otherwise("False").alias("Productive"),
+        F.col("consensus_count").alias("Read_Count"), F.col("umi_count").alias("Molecule_Count"))
+    path = scratch_path(spark, "bd")
+    rows.write.csv(path, header=True)
+    return tables.read_bd_rhapsody(spark, path).select("cell_id", "locus", "v_call", "d_call", "j_call", "junction_aa", "productive", "umi_count")
+
+
+@query(on_chains("select cell_id, chain_idx, junction_aa, 'own' as db from chains where locus = 'TRA'"))
+def load_reference(spark, sf):
+    path = scratch_path(spark, "reference")
+    receptors.chains(spark, sf).withColumn("source", F.col("locus")).write.parquet(path)
+    return tables.load_reference(spark, path, "own", "TRA").select("cell_id", "chain_idx", "junction_aa", "db")
+
+
 def queries() -> dict:
     return dict(_Q)
 
