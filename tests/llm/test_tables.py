@@ -192,3 +192,89 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == known
     assert kept[0] - kept[1] == {1, 2} and kept[1] - kept[2] == {300} and kept[3] <= kept[2] and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """The stages one by one against plain Python: what each keeps, drops and writes."""
+    import random
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from chainweave.llm.queries import tokenizer_file
+    from tests.llm.test_near import brute, changed, text
+    from tests.llm.test_texts import plain_overlaps
+
+    r = random.Random(77)
+    texts = [" ".join(text(r, 60 + 5 * (i % 9))) for i in range(60)]
+    texts += [" ".join(changed(r, texts[i].split(), k, 0.1)) for i in range(0, 30, 3) for k in ("appended", "deleted", "substituted")] + texts[:6] + ["12 34", "", None]
+    items = [(i, " ".join(text(r, 20))) for i in range(3)]
+    texts += [f"{' '.join(text(r, 40))} {items[k % 3][1]} {' '.join(text(r, 5))}" for k in range(6)]
+    rows = [(i, t, "en", "abc"[i % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out-{name}"))
+        docs = spark.read.parquet(str(tmp_path / f"out-{name}"))
+        kept.append(docs.collect())
+    named = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+    assert sorted(x.doc_id for x in kept[0]) == named
+    roots = brute([texts[i] for i in named])
+    firsts = sorted({named[k] for k in roots})
+    assert sorted(x.doc_id for x in kept[1]) == firsts and len(firsts) < len(named)
+    clean = sorted(set(firsts) - {d for d, *_ in plain_overlaps([(i, texts[i]) for i in firsts], items)})
+    assert sorted(x.doc_id for x in kept[2]) == clean and len(clean) == len(firsts) - 6
+    size = {i: len(texts[i].split()) for i in clean}
+    by = {s: sum(n for i, n in size.items() if rows[i][3] == s) for s in "abc"}
+    want = dict(zip("abc", filled([by[s] for s in "abc"], [1, 2, 3])))
+    took = defaultdict(int)
+    for x in kept[3]:
+        took[x.source] += len(x.text.split())
+        assert x.doc_id in size and set(x.text.split()) <= set(texts[x.doc_id].split())
+    assert all(abs(took[s] - want[s]) <= 2 * mixing.BLOCK for s in "abc")
+    tok, at = Tokenizer.from_file(tokenizer_file()), 0
+    told = sorted((x.doc_id, len(tok.encode(x.text, add_special_tokens=False).ids) + 1) for x in kept[3])
+    assert sorted((x.doc_id, x.n_tokens) for x in kept[4]) == told
+    crcs = sorted((x.doc_id, zlib.crc32(np.array([*tok.encode(x.text, add_special_tokens=False).ids, 0], "<u4").tobytes())) for x in kept[3])
+    assert sorted((x.doc_id, x.ids_crc32) for x in kept[4]) == crcs
+    for x in sorted(kept[4], key=lambda x: x.start):
+        assert x.start == at
+        at += x.n_tokens
+
+
+def test_language_query_on_held_out_rows(spark, tmp_path):
+    """The registered query learns from rows that are not held out and is right on the others."""
+    import random
+    import zlib
+
+    from chainweave.llm.queries import op10_language
+    from tests.llm.test_texts import ENGLISH, GERMAN, RUSSIAN
+
+    r = random.Random(5)
+    said = {"en": ENGLISH.split(), "de": GERMAN.split(), "ru": RUSSIAN.split()}
+    rows = [(i, " ".join(r.choice(said[g]) for _ in range(12)), g, None) for i, g in enumerate(list(said) * 40)] + [(500, None, "en", "x"), (501, "12 !", "de", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in op10_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, *_ in rows)
+    out = [(got[i].lang_pred, g) for i, t, g, _ in rows[:120] if got[i].held_out]
+    assert sum(a == b for a, b in out) >= 0.95 * len(out) and len(out) > 20
+    assert got[500].lang_pred == got[501].lang_pred == "und"
+
+
+def test_added_spans_precision_and_recall(spark):
+    """Secrets of a learned form are found where no name stands; words and numbers of other forms are left alone."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"{prose(i, 10)} token = \"{key(i)}\" {prose(i + 900, 6)} order4{i:06d} part-{i % 97}b {10**15 + i * 7919}", None, None, 0, 0, "") for i in range(150)]
+    rows += [(1000 + i, f"{prose(i, 9)} {key(5000 + i)} {prose(i, 4)} order9{i:06d} {10**15 + i * 104729}", None, None, 0, 0, "") for i in range(60)]
+    docs = table(spark, rows)
+    selector = personal.fit(docs)
+    right = wrong = missed = 0
+    texts = {r[0]: r[1] for r in rows}
+    for r in personal.find(docs, selector).where("doc_id >= 1000").collect():
+        text, i = texts[r.doc_id], r.doc_id - 1000
+        want = (text.index(key(5000 + i)), text.index(key(5000 + i)) + 40)
+        spans = {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret:")}
+        right, wrong, missed = right + (want in spans), wrong + len(spans - {want}), missed + (want not in spans)
+    assert right >= 0.9 * (right + missed) and right >= 0.9 * (right + wrong)
