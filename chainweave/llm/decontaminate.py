@@ -40,7 +40,7 @@ from chainweave.plans.lineage import written
 #: 1: position is read, 0: ignored
 MASKS = ("1101011", "111001011", "1001101011", "11100000111")
 WINDOW, AGREE, SHORT = 13, 0.8, 10
-BITS_A_SEED, LEAST_BITS, MOST_BITS = 64, 16, 29
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 1024, 16, 29
 CACHE_WORDS = 300_000
 _PUNCT = str.maketrans(dict.fromkeys(string.punctuation, " "))
 _ODD = np.random.RandomState(20240229).randint(1, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
