@@ -475,7 +475,14 @@ _pair_clusters("clusters_all_all", "junction_aa", _TWO, _BOTH_ARMS, receptor_arm
 _pair_clusters("clusters_any_all", "junction_aa", _TWO, "coalesce(da, 0) = 1 or coalesce(db, 0) = 1", receptor_arms="any", dual_ir="all")
 
 
-@query()
+_NEAR = """, g as (select min(cell_ord) as ct, VJ_1_junction_aa as a, VDJ_1_junction_aa as b, receptor_type as t from wide where has_ir and coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null group by 2, 3, 4),
+p as (select x.ct as i, y.ct as j, x.a as xa, y.a as ya, x.b as xb, y.b as yb from g x join g y on x.t = y.t and coalesce(length(x.a), 0) = coalesce(length(y.a), 0) and coalesce(length(x.b), 0) = coalesce(length(y.b), 0) and x.ct < y.ct),
+e as materialized (select i, j from p where (xa is null or hamming(xa, ya) <= 1) and (xb is null or hamming(xb, yb) <= 1))"""
+_NEAR_HUBS = """select cell_ord as ord, g.ct||'' as hub from wide join g on VJ_1_junction_aa is not distinct from a and VDJ_1_junction_aa is not distinct from b and receptor_type = t
+  where has_ir and coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null union all select i, i||'-'||j from e union all select j, i||'-'||j from e"""
+
+
+@query(on_wide(_NEAR + _components(_NEAR_HUBS)))
 def clusters_hamming(spark, sf):
     return ct.define_clonotype_clusters(wide(spark, sf), metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only")
 
