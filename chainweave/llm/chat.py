@@ -1,6 +1,7 @@
 """Chat formatting in token-budgeted windows.
 
-1. Each turn is formatted and its tokens are counted with the tokenizer file.
+1. Each turn is formatted and its tokens are counted with the tokenizer file:
+   those of its text and of the template before and after it.
 2. Prefix sums: a turn's ``start`` is the number of tokens of its conversation
    before it (ordered by turn, then role and text). Sums run over runs of ``RUN``
    turn numbers, then over these runs' totals, so no conversation goes through one
@@ -74,14 +75,20 @@ def formatted_turn(role: str, text: str) -> tuple[str, str, str]:
 
 
 def counted(conversations: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, turn, role, text and n_tokens of the formatted turn."""
+    """conv_id, turn, role, text and n_tokens of the formatted turn, its three parts counted one by one."""
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc, marks = encoder(tokenizer), {}
+        size = lambda texts: [len(ids) // enc.dtype.itemsize for ids in enc.batch(texts)]
         for batch in batches:
             for b in slices(batch):
-                turns = ["".join(formatted_turn(r, t)) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
-                n = [len(ids) // enc.dtype.itemsize for ids in enc.batch(turns)]
+                turns = [formatted_turn(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
+                if len(marks) > 10_000:
+                    marks.clear()
+                for head, _, tail in turns:
+                    if head not in marks:
+                        marks[head] = sum(size([head, tail]))
+                n = [marks[t[0]] + k for t, k in zip(turns, size([t[1] for t in turns]))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "n_tokens"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

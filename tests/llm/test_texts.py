@@ -149,7 +149,7 @@ def test_chat(spark, monkeypatch, budget, history, segment):
         whole, loss = "".join(f"{r}\n{x}\n" for _, r, x in turns), "".join(x for _, r, x in turns if r == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        tokens = [len(tok.encode("".join(chat.formatted_turn(a, b)), add_special_tokens=False).ids) for _, a, b in turns]
+        tokens = [sum(len(tok.encode(part, add_special_tokens=False).ids) for part in chat.formatted_turn(a, b)) for _, a, b in turns]
         own = rows[conv]
         if segment == 64:
             assert [(w.n_repeated, w.n_new) for w in own] == plain_windows(tokens, turns[0][1] == "system", budget, history)
