@@ -3,8 +3,10 @@
 Each metric gives edges (arm, seq1, seq2, dist) over distinct upper-case
 sequences; both directions and the diagonal are present in a self join. Metrics
 on few mismatches find candidates by equi-joins on segments (pigeonhole), so no
-pair is looked at that shares no segment; scoring metrics compare blocks of
-sequences of near length in vectorised tasks and emit only pairs within the cutoff.
+pair is looked at that shares no segment; scoring metrics do the same with seeds
+in a reduced alphabet (``seeds.py``). Only what has no such bound (sequences with
+letters outside the alphabet, alignments with gaps, own calculators) is compared
+in blocks of sequences of near length.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.operators.seeds import Scoring, of_alphabet, seeded_join
+from chainweave.plans.lineage import written
+
 #: fixed values: the public BLOSUM62 matrix, lower triangle in the order of LETTERS
 LETTERS = "ARNDCQEGHILKMFPSTWYV"
 BLOSUM62 = """
@@ -177,7 +182,12 @@ def block_tasks(left: DataFrame, right: DataFrame | None, len_diff: int, block:
 
 
 def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff: float, len_diff: int, block: int = BLOCK) -> DataFrame:
-    """Edges of all pairs within a cutoff; only these leave a task. ``kernel`` may be a mapping of one for each arm."""
+    """Edges of all pairs within a cutoff. ``kernel`` may be a mapping of one for each arm."""
+    return _mirror(in_blocks(left, right, kernel, cutoff, len_diff, block), left if right is None else None)
+
+
+def in_blocks(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff: float, len_diff: int, block: int = BLOCK) -> DataFrame:
+    """The same, of one table in one direction; only pairs within the cutoff leave a task."""
     square = right is None
 
     def run(batches):
@@ -192,8 +202,7 @@ def blockwise(left: DataFrame, right: DataFrame | None, kernel: Kernel, cutoff:
                                                   "dist": pa.array(d[i, j].astype(np.int32), pa.int32())},
                                                  schema=pa.schema([("arm", pa.string()), ("seq1", pa.string()), ("seq2", pa.string()), ("dist", pa.int32())]))
 
-    half = block_tasks(left, right, len_diff, block).mapInArrow(run, "arm string, seq1 string, seq2 string, dist int")
-    return _mirror(half, left if square else None)
+    return block_tasks(left, right, len_diff, block).mapInArrow(run, "arm string, seq1 string, seq2 string, dist int")
 
 
 def least_in_blocks(left: DataFrame, kernel: Kernel, block: int = BLOCK) -> DataFrame:
@@ -217,17 +226,31 @@ def least_in_blocks(left: DataFrame, kernel: Kernel, block: int = BLOCK) -> Data
     return block_tasks(left, None, 0, block).mapInArrow(run, "arm string, seq string, d int").groupBy("arm", "seq").agg(F.min("d").alias("d"))
 
 
-def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_penalty: int = 4, ntrim: int = 3, ctrim: int = 2,
-                   fixed_gappos: bool = True, offset: int = 4, cap: int | None = 4) -> Kernel:
-    """Weighted substitutions between the trimmed ends; one gap, at a fixed place or the best one; unknown letters cost nothing."""
-    s = substitution_matrix() if matrix is None else matrix
-    w = offset - s
+def tcrdist_table(matrix: np.ndarray | None = None, dist_weight: int = 3, offset: int = 4, cap: int | None = 4) -> np.ndarray:
+    """Cost of each substitution; a letter costs nothing against itself."""
+    w = offset - (substitution_matrix() if matrix is None else matrix)
     if cap is not None:
         w = np.minimum(w, cap)
     w = w * dist_weight
     np.fill_diagonal(w, 0)
+    return w
+
+
+def gap_places(short: int, fixed: bool) -> list[int]:
+    """Where a gap may stand, by the length of the shorter sequence."""
+    if fixed:
+        return [min(6, 3 + (short - 5) // 2)]
+    lo, hi = 5, short - 5
+    while lo > hi:
+        lo, hi = lo - 1, hi + 1
+    return list(range(lo, hi + 1))
+
+
+def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_penalty: int = 4, ntrim: int = 3, ctrim: int = 2,
+                   fixed_gappos: bool = True, offset: int = 4, cap: int | None = 4) -> Kernel:
+    """Weighted substitutions between the trimmed ends; one gap, at a fixed place or the best one; unknown letters cost nothing."""
     table = np.zeros((len(LETTERS) + 1,) * 2, dtype=np.int64)
-    table[:-1, :-1] = w
+    table[:-1, :-1] = tcrdist_table(matrix, dist_weight, offset, cap)
 
     def kernel(x: list[str], y: list[str]) -> np.ndarray:
         (a, la), (b, lb) = encode(x), encode(y)
@@ -241,15 +264,8 @@ def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_p
                     d = sum((cost(k, k) for k in range(ntrim, na - ctrim)), np.zeros((len(i), len(j)), dtype=np.int64))
                 else:
                     short = min(na, nb)
-                    if fixed_gappos:
-                        places = [min(6, 3 + (short - 5) // 2)]
-                    else:
-                        lo, hi = 5, short - 5
-                        while lo > hi:
-                            lo, hi = lo - 1, hi + 1
-                        places = range(lo, hi + 1)
                     d = None
-                    for g in places:
+                    for g in gap_places(short, fixed_gappos):
                         own = sum((cost(k, k) for k in range(ntrim, g)), np.zeros((len(i), len(j)), dtype=np.int64))
                         own = own + sum((cost(na - 1 - k, nb - 1 - k) for k in range(ctrim, short - g)), np.zeros_like(own))
                         d = own if d is None else np.minimum(d, own)
@@ -260,6 +276,27 @@ def tcrdist_kernel(matrix: np.ndarray | None = None, dist_weight: int = 3, gap_p
     return kernel
 
 
+def tcrdist_scoring(cutoff: int, matrix: np.ndarray | None = None, dist_weight: int = 3, gap_penalty: int = 4, ntrim: int = 3, ctrim: int = 2,
+                    fixed_gappos: bool = True, offset: int = 4, cap: int | None = 4) -> Scoring:
+    """The same distance for seeds: the letters before and behind the gap, without the trimmed ends."""
+    def positions(short: int, d: int) -> list[list[tuple[int, int]]]:
+        if not d:
+            return [[(k, k) for k in range(ntrim, short - ctrim)]]
+        return [[(k, k) for k in range(ntrim, g)] + [(short - 1 - k, short + d - 1 - k) for k in reversed(range(ctrim, short - g))] for g in gap_places(short, fixed_gappos)]
+
+    def places(short: Column, d: Column) -> Column:
+        if fixed_gappos:
+            return F.array(F.least(F.lit(6), 3 + F.floor((short - 5) / 2)).cast("int"))
+        near = F.sequence(F.least(F.lit(5), F.floor(short / 2).cast("int")), F.greatest(short - 5, F.ceil(short / 2).cast("int")))
+        return F.when(d == 0, F.array(F.lit(0))).otherwise(near)
+
+    def core(seq: Column, n: Column, short: Column, d: Column, g: Column) -> Column:
+        piece = lambda a, b: F.substring(seq, (F.greatest(a, F.lit(0)) + 1).cast("int"), F.greatest(b - F.greatest(a, F.lit(0)), F.lit(0)).cast("int"))
+        return F.when(d == 0, piece(F.lit(ntrim), n - ctrim)).otherwise(F.concat(piece(F.lit(ntrim), g), piece(n - short + g, n - ctrim)))
+
+    return Scoring(LETTERS, [tcrdist_table(matrix, dist_weight, offset, cap).astype(np.int32)], cutoff, gap_penalty, cutoff, places, core, positions)
+
+
 def read_matrix(path: str) -> np.ndarray:
     """A substitution matrix from a text file: a line of letters, then for each letter a line with it and its values, in any order of LETTERS."""
     with open(path) as f:
@@ -272,13 +309,32 @@ def read_matrix(path: str) -> np.ndarray:
     return m
 
 
+def by_seeds(left: DataFrame, right: DataFrame | None, scorings: dict[str, Scoring] | Scoring, kernel: Kernel, cutoff: int, len_diff: int) -> DataFrame:
+    """Edges by seeds; sequences with letters outside the alphabet are compared in blocks with all of near length."""
+    sides = [written(x.select("arm", "seq"), "sequences") for x in ((left,) if right is None else (left, right))]
+    plain, odd = zip(*((x.where(of_alphabet(LETTERS)), x.where(~of_alphabet(LETTERS))) for x in sides))
+    found = seeded_join(plain[0], None if right is None else plain[1], scorings)
+    some = [not x.isEmpty() for x in odd]
+    if right is None:
+        if some[0]:
+            found = found.union(blockwise(odd[0], plain[0], kernel, cutoff, len_diff)).union(in_blocks(odd[0], None, kernel, cutoff, len_diff))
+        return _mirror(found, sides[0])
+    if some[0]:
+        found = found.union(blockwise(odd[0], sides[1], kernel, cutoff, len_diff))
+    if some[1]:
+        found = found.union(blockwise(plain[0], odd[1], kernel, cutoff, len_diff))
+    return found
+
+
 def tcrdist(left: DataFrame, right: DataFrame | None = None, cutoff: int = 20, gap_penalty: int = 4, matrices: dict | None = None, **options) -> DataFrame:
     """``matrices``: a substitution matrix for each arm; they share the offset 1 + the largest value off their diagonals, so that no mismatch is free."""
     if matrices is None:
-        return blockwise(left, right, tcrdist_kernel(gap_penalty=gap_penalty, **options), cutoff, cutoff // gap_penalty)
+        kernel, scoring = tcrdist_kernel(gap_penalty=gap_penalty, **options), tcrdist_scoring(cutoff, gap_penalty=gap_penalty, **options)
+        return by_seeds(left, right, scoring, kernel, cutoff, cutoff // gap_penalty)
     offset = 1 + max(int(m[~np.eye(len(m), dtype=bool)].max()) for m in matrices.values())
-    kernels = {arm: tcrdist_kernel(m, gap_penalty=gap_penalty, **{"offset": offset, "cap": None, **options}) for arm, m in matrices.items()}
-    return blockwise(left, right, kernels, cutoff, cutoff // gap_penalty)
+    options = {"offset": offset, "cap": None, "gap_penalty": gap_penalty, **options}
+    kernels = {arm: tcrdist_kernel(m, **options) for arm, m in matrices.items()}
+    return by_seeds(left, right, {arm: tcrdist_scoring(cutoff, m, **options) for arm, m in matrices.items()}, kernels, cutoff, cutoff // gap_penalty)
 
 
 def alignment_kernel(cutoff: int, matrix: np.ndarray | None = None, gap_open: int = 11, gap_extend: int = 11, penalty: int = 0) -> Kernel:
@@ -337,10 +393,26 @@ def alignment_kernel(cutoff: int, matrix: np.ndarray | None = None, gap_open: in
     return kernel
 
 
+def alignment_scoring(cutoff: int, matrix: np.ndarray | None = None, penalty: int = 0) -> Scoring:
+    """Alignments without gaps, for seeds: what each letter loses against itself, summed from either side; the lesser sum is the distance."""
+    s = substitution_matrix() if matrix is None else matrix
+    loss = (s.diagonal()[:, None] - s).astype(np.int32)
+
+    def keep(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        more = sum(np.maximum((a == v).sum(axis=0) - (b == v).sum(axis=0), 0) for v in range(len(LETTERS)))
+        return more * penalty <= cutoff
+
+    return Scoring(LETTERS, [loss, loss.T.copy()], cutoff, 0, 0, lambda short, d: F.array(F.lit(0)), lambda seq, n, short, d, g: seq, lambda short, d: [[(k, k) for k in range(short)]], keep if penalty else None)
+
+
 def alignment(left: DataFrame, right: DataFrame | None = None, cutoff: int = 10, gap_open: int = 11, gap_extend: int = 11,
               penalty: int = 0, matrix: np.ndarray | None = None) -> DataFrame:
+    """By seeds where no gap fits into the cutoff and no letter gains by a substitution; else in blocks."""
     most = max(0, math.floor((cutoff - gap_open) / gap_extend + 1))
-    return blockwise(left, right, alignment_kernel(cutoff, matrix, gap_open, gap_extend, penalty), cutoff, most)
+    kernel, s = alignment_kernel(cutoff, matrix, gap_open, gap_extend, penalty), substitution_matrix() if matrix is None else matrix
+    if most or cutoff >= gap_open + gap_extend or (s > s.diagonal()[:, None]).any():
+        return blockwise(left, right, kernel, cutoff, most)
+    return by_seeds(left, right, alignment_scoring(cutoff, matrix, penalty), kernel, cutoff, 0)
 
 
 def fastalignment(left: DataFrame, right: DataFrame | None = None, cutoff: int = 10, penalty: int = 4, **options) -> DataFrame:
