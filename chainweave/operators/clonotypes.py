@@ -65,11 +65,8 @@ def configurations(cells: DataFrame, s: Setup) -> tuple[DataFrame, DataFrame]:
     rows = cut(rows.select("cell_id", "cell_ord", *[v.alias(c) for c, v in kinds.items()], *s.match))  # read once for the table and for its members
     keys = [*s.columns, *s.match]
     table = cut(rows.groupBy(*keys).agg(F.min("cell_ord").alias("ct")))
-    same = F.lit(True)
-    right = table.select("ct", *[F.col(k).alias(f"_{k}") for k in keys])
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return table, rows.join(right, same).select("ct", "cell_id")
+    key = lambda: [F.xxhash64(*keys).alias("hash"), F.struct(*keys).alias("key")]  # noqa: E731  one hash to deal by, nulls equal inside the key
+    return table, rows.select("cell_id", *key()).join(table.select("ct", *key()), ["hash", "key"]).select("ct", "cell_id")
 
 
 def chain_rows(table: DataFrame, s: Setup) -> DataFrame:
@@ -130,20 +127,52 @@ def pair_distances(left: DataFrame, right: DataFrame, edges: DataFrame, s: Setup
     return d.select("i", "j", dist.alias("dist")).where("dist is not null")
 
 
+def hubs(s: Setup) -> Column:
+    """What two configurations must share, once at least, to be linked by identity: an array of composite keys.
+
+    Any of two chains: one key per chain; both: the sorted pair. Where both arms
+    must agree, a key of one arm with one of the other (four at most), besides
+    those of configurations that have one arm only. Chains without a gene call
+    that must be the same have no key.
+    """
+    has = lambda a, n: F.col(f"{a}_{n}_{s.field}").isNotNull()
+
+    def chain(a: str, n: int) -> Column:
+        gene = lambda g, on: F.col(f"{a}_{n}_{g}") if on else F.lit(None).cast("string")
+        v, j = gene("v_call", s.same_v_gene), gene("j_call", s.same_j_gene)
+        called = (v.isNotNull() if s.same_v_gene else F.lit(True)) & (j.isNotNull() if s.same_j_gene else F.lit(True))
+        return F.when(has(a, n) & called, F.struct(F.lit(a).alias("arm"), F.col(f"{a}_{n}_{s.field}").alias("seq"), v.alias("v"), j.alias("j")))
+
+    def keys(a: str) -> Column:
+        if s.dual_ir == "all":
+            one, two = chain(a, 1), chain(a, 2)
+            pair = F.when(one.isNotNull() & two.isNotNull(), F.array_sort(F.array(one, two)))
+            found = F.array(F.when(has(a, 1) & has(a, 2), pair).when(has(a, 1), F.when(one.isNotNull(), F.array(one))))
+        else:
+            found = F.array(*(F.when(chain(a, n).isNotNull(), F.array(chain(a, n))) for n in s.chains))
+        return F.filter(found, lambda k: k.isNotNull())
+
+    either = F.concat(*(keys(a) for a in s.arms))
+    named = lambda arms, found: F.transform(found, lambda k: F.struct(F.lit(arms).alias("arms"), k.alias("chains"), *s.match))
+    if s.receptor_arms != "all":
+        return named(0, either)
+    arms = sum((has(a, 1).cast("int") for a in s.arms), F.lit(0))
+    both = F.flatten(F.transform(keys(s.arms[0]), lambda x: F.transform(keys(s.arms[1]), lambda y: F.concat(x, y))))
+    return F.when(arms == 2, named(2, both)).when(arms == 1, named(1, either)).otherwise(named(0, either))
+
+
+def hub_rows(table: DataFrame, s: Setup) -> DataFrame:
+    """ct, hash, hub: the distinct composite keys of each configuration."""
+    return table.select("ct", F.explode(F.array_distinct(hubs(s))).alias("hub")).select("ct", F.xxhash64("hub").alias("hash"), "hub")
+
+
 def links(table: DataFrame, s: Setup) -> DataFrame:
-    """src, dst of configurations in one cluster; for identity under "or" rules one star per shared chain, never all its pairs."""
-    rows = chain_rows(table, s)
-    if s.identical and s.dual_ir != "all" and s.receptor_arms != "all":
-        if s.same_v_gene:
-            rows = rows.where("v is not null")
-        if s.same_j_gene:
-            rows = rows.where("j is not null")
-        hub = F.xxhash64("arm", "seq", *(["v"] if s.same_v_gene else []), *(["j"] if s.same_j_gene else []))
-        keys = ["arm", "seq", "v", "j", *s.match]
-        rows = rows.select("ct", hub.alias("hub"), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key")).distinct()
-        low = rows.groupBy("hub", "key").agg(F.min("ct").alias("dst"))
-        return rows.join(low, ["hub", "key"]).where("ct <> dst").select(F.col("ct").alias("src"), "dst").distinct()
-    columns = {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
+    """src, dst of configurations in one cluster; by identity one star per shared key, never all its pairs."""
+    if s.identical:
+        rows = hub_rows(table, s)
+        low = rows.groupBy("hash", "hub").agg(F.min("ct").alias("dst"))
+        return rows.join(low, ["hash", "hub"]).where("ct <> dst").select(F.col("ct").alias("src"), "dst").distinct()
+    rows, columns = chain_rows(table, s), {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
     edges = ir_dist(sequences(table, columns), None, s.metric, s.cutoff)
     return pair_distances(rows, rows, edges, s, True).select(F.col("i").alias("src"), F.col("j").alias("dst"))
 
@@ -180,7 +209,9 @@ def define_clonotype_clusters(cells: DataFrame, partitions: str = "connected", r
     """cell_id, cluster_id (string, by first cell), cluster_size for each cell that has a configuration."""
     s = Setup(**options)
     table, members = configurations(cells, s)
-    if partitions == "connected":
+    if partitions == "connected" and s.identical and s.dual_ir == "primary_only" and s.receptor_arms != "any":
+        label = table.select("ct", F.col("ct").alias("low"))  # a configuration is linked to none but itself
+    elif partitions == "connected":
         label = connected_components(links(table, s)).select(F.col("node").alias("ct"), F.col("component").alias("low"))
     elif partitions in ("leiden", "fastgreedy"):
         columns = {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
@@ -213,6 +244,9 @@ def ir_query(cells: DataFrame, reference: DataFrame, **options) -> tuple[DataFra
     if s.same_j_gene:
         raise ValueError("queries match V genes only")
     (q, qm), (r, rm) = configurations(cells, s), configurations(reference, s)
+    if s.identical:
+        shared = hub_rows(q, s).withColumnRenamed("ct", "i").join(hub_rows(r, s).withColumnRenamed("ct", "j"), ["hash", "hub"])
+        return shared.select("i", "j", F.lit(0).alias("dist")).distinct(), qm, rm
     columns = {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
     edges = ir_dist(sequences(q, columns), sequences(r, columns), s.metric, s.cutoff)
     return pair_distances(chain_rows(q, s), chain_rows(r, s), edges, s, False), qm, rm
