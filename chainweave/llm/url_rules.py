@@ -7,7 +7,9 @@ of low quality) finds frequent token sets; a rule "tokens => bad" is kept where
 its bad URLs reach the support and the lower end of its confidence's interval
 (``Z`` standard errors, after Wilson, so that few URLs don't make a rule) reaches
 the least confidence; a rule implied by a shorter one of at least its confidence
-is dropped. Rules are filed under their rarest token (an inverted index): a URL
+is dropped. Tokens of exactly the same labelled URLs (the segments of a shared deep
+path, say) are one item in mining, or k of them would make 2^k sets; any of them
+stands for it when URLs are matched. Rules are filed under their rarest token (an inverted index): a URL
 that has it is compared with the whole rule. Hand-written rules (host and path,
 longest wins) come before mined ones.
 
@@ -70,36 +72,66 @@ def least_confidence(good: Column, n: Column) -> Column:
     return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled(url, bad boolean) -> rule (sorted tokens), token (its rarest), confidence, support: rules for ``bad``."""
+def folded(rows: DataFrame, fewest: int) -> DataFrame:
+    """rows(id, items) -> token, item: for each token of ``fewest`` rows or more the first of those that stand in the same rows."""
+    tokens = rows.select("id", F.explode("items").alias("token"))
+    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]  # the same rows: equal number and equal sums of hashes
+    extent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= fewest)
+    first = extent.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"))
+    return extent.join(first, ["n", "s1", "s2"]).select("token", "item")
+
+
+def unimplied(sets: DataFrame) -> DataFrame:
+    """sets(rule, confidence, ...), all subsets of a set among them: those that no proper subset equals or beats in confidence.
+
+    Level by level: the best below a set is the best of its subsets of one token less and of what is below these.
+    """
+    top = sets.agg(F.max(F.size("rule"))).first()[0] or 0
+    level = sets.where("size(rule) = 1").withColumn("below", F.lit(None).cast("double"))
+    kept = level
+    for k in range(2, top + 1):
+        own = sets.where(F.size("rule") == k)
+        less = own.select("rule", F.explode("rule").alias("out")).select(F.col("rule").alias("over"), F.array_remove("rule", F.col("out")).alias("rule"))
+        best = less.join(level.select("rule", F.greatest("confidence", "below").alias("best")), "rule").groupBy(F.col("over").alias("rule")).agg(F.max("best").alias("below"))
+        level = written(own.join(best, "rule", "left"), "url-sets")
+        kept = kept.union(level)
+    return kept.where("below is null or below < confidence").drop("below")
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """labelled(url, bad boolean) -> (rule (sorted items), token (its rarest), confidence, support: rules for ``bad``; token, item: what stands for an item)."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.select(F.array_union(tokens_of(F.col("url")), F.array(F.when(F.col("bad"), "=bad").otherwise("=good"))).alias("items"))
-    rows = written(rows, "url-items")
+    rows = written(labelled.select(tokens_of(F.col("url")).alias("items"), F.when(F.col("bad"), "=bad").otherwise("=good").alias("label")), "url-tokens")
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "url-items")
     n = rows.count()
     spark = labelled.sparkSession
     if n == 0:
-        return spark.createDataFrame([], "rule array<string>, token string, confidence double, support double")
-    fewest = math.ceil(min_confidence * Z * Z / max(1 - min_confidence, 1e-9))  # fewer bad URLs can't reach the confidence
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, fewest / n)), minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.where((F.col("consequent")[0] == "=bad") & ~F.array_contains("antecedent", "=good"))
-    good = F.col("support") * n
-    rules = rules.where(least_confidence(good, good / F.col("confidence")) >= min_confidence)
-    rules = written(rules.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "url-rules")
-    wide = rules.select(F.col("rule").alias("r"), F.col("confidence").alias("c"), F.explode("rule").alias("t"))
-    short = rules.select(F.col("rule").alias("s"), F.col("confidence").alias("sc"), F.explode("rule").alias("t"))
-    implied = wide.join(short, "t").where("size(s) < size(r) and sc >= c").groupBy("r", "s").agg(F.count("*").alias("n")).where(
-        "n = size(s)").select("r").distinct()
-    rules = rules.join(implied, rules.rule == implied.r, "left_anti")
-    counts = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        return (spark.createDataFrame([], "rule array<string>, token string, confidence double, support double"), spark.createDataFrame([], "token string, item string"))
+    least_bad = math.ceil(min_confidence * Z * Z / max(1 - min_confidence, 1e-9))  # fewer bad URLs can't reach the confidence
+    support = min(1.0, max(min_support, least_bad / n))
+    names = written(folded(rows, max(1, math.ceil(support * n - 1e-9))), "url-names")
+    items = rows.select("id", F.explode("items").alias("token")).join(names, "token").groupBy("id").agg(F.collect_set("item").alias("own"))
+    items = written(rows.join(items, "id", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array("label")).alias("items")), "url-folded")
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(items).freqItemsets
+    found = written(found.where(~F.array_contains("items", "=good")).select(F.array_sort(F.array_remove("items", "=bad")).alias("rule"), F.array_contains("items", "=bad").alias("is_bad"), "freq"), "url-frequent")
+    bad = found.where("is_bad and size(rule) > 0").select("rule", F.col("freq").alias("bad"))
+    sets = written(bad.join(found.where("not is_bad").select("rule", F.col("freq").alias("n")), "rule").select(
+        "rule", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / n).alias("support"), (least_confidence(F.col("bad"), F.col("n")) >= min_confidence).alias("sure")), "url-sets")
+    rules = unimplied(sets).where(F.col("sure") & (F.col("confidence") >= min_confidence)).drop("sure")
+    counts = found.where("not is_bad and size(rule) = 1").select(F.col("rule")[0].alias("token"), F.col("freq").alias("n"))
     filed = rules.select("rule", "confidence", "support", F.explode("rule").alias("token")).join(counts, "token")
-    return filed.groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.max("confidence").alias("confidence"), F.max("support").alias("support"))
+    return filed.groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.max("confidence").alias("confidence"), F.max("support").alias("support")), names
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def matched(urls: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct urls(url) that some rule matches: key, n_rules."""
-    tokens = urls.select(F.col("url").alias("key"), tokens_of(F.col("url")).alias("has")).withColumn("token", F.explode("has"))
-    hits = tokens.join(written(rules.select("token", "rule"), "url-index"), "token").where(F.size(F.array_except("rule", "has")) == 0)
+    tokens = urls.select(F.col("url").alias("key"), F.explode(tokens_of(F.col("url"))).alias("token")).join(names, "token")
+    rules = written(rules.select("token", "rule"), "url-index")
+    # only items that stand in some rule matter
+    used = rules.select(F.explode("rule").alias("item")).distinct()
+    has = tokens.join(used, "item", "left_semi").groupBy("key").agg(F.collect_set("item").alias("has"))
+    hits = has.withColumn("token", F.explode("has")).join(rules, "token").where(F.size(F.array_except("rule", "has")) == 0)
     return hits.groupBy("key").agg(F.count("*").alias("n_rules"))
 
 
@@ -116,9 +148,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, n_rules for every row of pages(page_id, url); labels(doc_id, quality, toxic)."""
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(
         F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
-    mined = mined_rules(pages.select("page_id", "url").join(bad, "page_id").where("url is not null"))
+    rules_, names = mined_rules(pages.select("page_id", "url").join(bad, "page_id").where("url is not null"))
     # equal URLs are judged once: their tokens and matches are the same
-    hits = matched(pages.select("url").where(F.contains("url", F.lit("://"))).distinct(), mined)
+    hits = matched(pages.select("url").where(F.contains("url", F.lit("://"))).distinct(), rules_, names)
     rule, verdict = hand_rule(F.col("host"), F.col("path"), rules)
     # pages without a URL match nothing; each gets a key of its own, so that they don't meet in one task
     key = F.coalesce("url", F.concat(F.lit("page "), F.xxhash64("page_id").cast("string")))

@@ -57,7 +57,8 @@ def test_url_rules(spark):
     assert len(got) == len(rows) and all(got[100 + i].verdict == ("block" if i % 2 else "allow") for i in range(80))
     # labels that are wrong for every tenth page: rules are learned from 300 pages and judged on 900 others
     bad = lambda i: i % 5 == 0 or i % 7 == 0 and i % 2 == 0
-    rows = [(i, f"http://{'cheap-win' if i % 5 == 0 else 'plain-news'}.org/{'promo' if i % 7 == 0 else 'text'}?{'ref' if i % 2 == 0 else 'page'}={i}", "h", "r") for i in range(1200)]
+    deep = "/".join(f"part{k}" for k in range(15))  # segments that always come together make no more sets than one
+    rows = [(i, f"https://www.{'cheap-win' if i % 5 == 0 else 'plain-news'}{i % 3}.org/{deep + '/' if i % 3 else ''}{'promo' if i % 7 == 0 else 'text'}/{i}?{'ref' if i % 2 == 0 else 'page'}=1", "h", "r") for i in range(1200)]
     noisy = spark.createDataFrame([(i, int(bad(i) == (i % 10 == 3)), 0) for i in range(300)], "doc_id long, quality int, toxic int")
     verdict = {r.page_id: r.verdict == "block" for r in url_rules.judge(spark.createDataFrame(rows, pages.schema), noisy).collect()}
     told = [(verdict[i], bad(i)) for i in range(300, 1200)]
