@@ -15,11 +15,10 @@
    a boundary that appears in round t has a common prefix of t - 1 symbols. No
    suffix is compared again. An interval whose prefix spans a window and whose
    weights sum to 2 or more is a repeat.
-4. Anchors whose segments exceed ``group_bytes`` would not fit a task. Their
-   suffixes are refined over the cluster: an interval, named by a 128-bit key,
-   holds the suffixes that share their first symbols, each round splits it by
-   further symbols (1, 2, 4, ... in all), and a suffix that is left alone in its
-   interval goes no further. What remains after the window's last symbol repeats.
+4. An anchor whose segments exceed ``group_bytes`` would not fit a task. Its
+   segments are cut again, their windows filed under the least hash of their
+   substrings of twice the length, and so on up to the whole window; the parts
+   go the same way from step 2 on.
 5. Repeated windows go back to their documents as byte ranges, joined there.
 
 Cases: null text is empty; texts shorter than ``length`` keep all bytes;
@@ -287,24 +286,44 @@ def merged_repeats(texts: DataFrame, length: int, step: int, width: int, shard_b
     return texts.repartition(width, "m").sortWithinPartitions("m", "d").mapInArrow(run, FOUND)
 
 
-def refined_repeats(texts: DataFrame, length: int, step: int) -> DataFrame:
-    """The same for anchors that no task could hold: intervals of suffixes, refined in rounds over the cluster."""
-    shares = [min(1 << k, length // step) * step for k in range((length // step - 1).bit_length() + 1)]  # bytes that an interval's suffixes share
+def cut_again(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """texts(m, d, n, data) -> the parts of each segment by anchors of ``gram`` bytes: m, d, n, lo (its first window in the whole), m2, d2, data."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for m, d, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "d", "n", "data"))):
-                raw = np.frombuffer(data, dtype=np.uint8)
-                k = len(raw) - length + 1
-                names = [rolling(raw, w, which)[:k].view(np.int64) for w in shares for which in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(k, m), np.full(k, d), np.full(k, n), np.arange(k), *names)], names=columns)
-
-    columns = ["m", "d", "n", "at", *(f"{c}{w}" for w in shares for c in "ab")]
-    rows = texts.dropDuplicates(["m", "d"]).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
-    for w in shares:
-        key = [f"a{w}", f"b{w}"]
-        rows = written(rows.join(rows.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").drop("total"), key, "left_semi").drop(*key), "repeat-intervals")
-    return rows.select("m", "d", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("windows"))
+                values, lo, hi, _ = segments(data, length, gram)
+                parts = [data[a:b] for a, b in zip(lo.tolist(), (hi + length).tolist())]
+                own = np.array([xxhash.xxh3_64_intdigest(x) for x in parts], dtype=np.uint64).view(np.int64)
+                anchor = (values ^ (np.array([m]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                k = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, m)), pa.array(np.full(k, d)), pa.array(np.full(k, n)), pa.array(lo.astype(np.int64)),
+                                                  pa.array(anchor), pa.array(own), pa.array(parts, pa.binary())], names=["m", "d", "n", "lo", "m2", "d2", "data"])
+
+    return texts.mapInArrow(run, "m long, d long, n long, lo long, m2 long, d2 long, data binary")
+
+
+def distinct_repeats(texts: DataFrame, length: int, gram: int, step: int, width: int, shard_bytes: int, job_bytes: int, group_bytes: int) -> DataFrame:
+    """texts(m, d, n, data, bytes: of all the anchor's segments): the repeated windows of each segment, as m, d, windows."""
+    if gram >= length:  # all windows of an anchor are equal: its segments are runs of one window, at most one for each length
+        return merged_repeats(texts, length, step, width, shard_bytes, job_bytes)
+    found, large = merged_repeats(texts.where(F.col("bytes") <= group_bytes), length, step, width, shard_bytes, job_bytes), texts.where(F.col("bytes") > group_bytes)
+    if large.isEmpty():
+        return found
+    gram = min(length, 2 * gram)
+    parts = written(cut_again(large.dropDuplicates(["m", "d"]), length, gram), "repeat-parts")
+    kinds = written(parts.groupBy("m2", "d2").agg(F.sum("n").alias("n"), F.min("data").alias("data")), "repeat-part-kinds")
+    per = kinds.groupBy("m2").agg(F.sum(F.octet_length("data")).alias("bytes"), F.count(F.lit(1)).alias("kinds"))
+    kinds = kinds.select(F.col("m2").alias("m"), F.col("d2").alias("d"), "n", "data").join(per.withColumnRenamed("m2", "m"), "m")
+    windows = F.octet_length("data") - length
+    copies = kinds.where("n > 1").select("m", "d", F.array(F.struct(F.lit(0).cast("long").alias("a"), windows.cast("long").alias("b"))).alias("windows"))
+    mixed = kinds.where((F.col("kinds") > 1) | (windows > 0)).drop("kinds")
+    inner = copies.union(distinct_repeats(mixed, length, gram, step, width, shard_bytes, job_bytes, group_bytes))
+    inner = inner.select(F.col("m").alias("m2"), F.col("d").alias("d2"), "windows")
+    shifted = F.transform("windows", lambda w: F.struct((w["a"] + F.col("lo")).alias("a"), (w["b"] + F.col("lo")).alias("b")))
+    return found.union(parts.select("m", "d", "lo", "m2", "d2").join(inner, ["m2", "d2"]).select("m", "d", shifted.alias("windows")))
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL, shard_bytes: int = SHARD_BYTES,
@@ -345,10 +364,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sym
 
     texts = written(keyed.join(wanted, ["k1", "k2"]).select("text", "cuts").mapInArrow(
         cut, "m long, d long, n long, data binary, bytes long"), "repeat-texts")
-    found = copies.union(merged_repeats(texts.where(F.col("bytes") <= group_bytes), length, step, width, shard_bytes, job_bytes))
-    large = texts.where(F.col("bytes") > group_bytes)
-    if not large.isEmpty():
-        found = found.union(refined_repeats(large, length, step))
+    found = copies.union(distinct_repeats(texts, length, gram, step, width, shard_bytes, job_bytes, group_bytes))
     places = rows.join(found, ["m", "d"]).select("k1", "k2", "lo", F.explode("windows").alias("w")).select(
         "k1", "k2", (F.col("lo") + F.col("w.a")).alias("a"), (F.col("lo") + F.col("w.b") + length).alias("b"))
     places = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("cover"))

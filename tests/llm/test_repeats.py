@@ -27,14 +27,39 @@ def result(df):
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 700, "job_bytes": 3000}, {"group_bytes": 500}])
+@pytest.mark.parametrize("options", [{"shard_bytes": 700, "job_bytes": 3000}, {"group_bytes": 500}])
 def test_is_brute_force(spark, options):
+    """Also where every larger anchor is cut again, up to whole windows."""
     rows = documents()
     rows += [(100 + i, prose(50 + i, 30) + prose(2, 90)[40 * i:] + prose(70 + i, 30), "en", "a", 0, 0, "") for i in range(6)]
     want = sorted((str(r[0]), *p) for r, p in zip(rows, plain([r[1] for r in rows], 400)))
     assert result(repeats.removed_repeats(table(spark, rows), **options)) == want
 
 
+def test_parts_of_texts_and_segments(spark, monkeypatch):
+    """Texts longer than a chunk and segments longer than a run: what is cut there still meets."""
+    texts = ["".join("acgt"[x] for x in np.random.RandomState(seed).randint(0, 4, n)) for seed, n in ((1, 3000), (2, 2500))]
+    texts += [texts[0][700:1900] + "x" + texts[1][100:650], "ab" * 900, "a" * 1500 + texts[1][2000:], "a" * 700]
+    rows = [(i, t, "en", "a", 0, 0, "") for i, t in enumerate(texts)]
+    plain_rows = sorted((str(i), *p) for i, p in enumerate(plain(texts, 60)))
+    got = []
+    for chunk, run in ((1 << 20, 4096), (500, 37)):
+        segments = repeats.segments
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        monkeypatch.setattr(repeats, "RUN", run)
+        whole = [segments(t.encode(), 60, 8) for t in texts]
+        assert all(hi.max() == len(t) - 60 and (hi - lo).max() < run and (lo[1:] == hi[:-1] + 1).all() for (_, lo, hi, _), t in zip(whole, texts))
+        got.append(whole)
+    assert any(len(a[1]) != len(b[1]) for a, b in zip(*got))
+
+    def smaller(*args):  # tasks import the module anew: the sizes travel with the function
+        repeats.CHUNK, repeats.RUN = 500, 37
+        return segments(*args)
+
+    monkeypatch.setattr(repeats, "segments", smaller)
+    assert result(repeats.removed_repeats(table(spark, rows), length=60, gram=8, symbol=12, group_bytes=4000)) == plain_rows
+
+
 def test_short_length(spark):
     rows = [(i, t, "en", "a", 0, 0, "") for i, t in enumerate(["abcabcabcabcabcabcabcabcabc", "xxabcabcabcabcyy", "é" * 30, "", None, "unlike anything else here"])]
     want = sorted((str(r[0]), *p) for r, p in zip(rows, plain([r[1] for r in rows], 12)))
