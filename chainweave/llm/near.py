@@ -224,7 +224,10 @@ def grouped(docs: DataFrame, similarity: float = 0.8, tokens: int = TOKENS) -> D
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     held = held.join(blocks, "cluster").withColumn("own", own)
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own")))
-    shipped = docs.join(held, (docs.text_hash == held.h) & docs.doc_id.eqNullSafe(held.d)).select("cluster", "set_id", "text", "own", F.explode(others).alias("other")).select(
+    # equal rows ship one text: what makes a row is grouped, and the groups stay where they are for the join
+    row = lambda h, d: [F.col(h).alias("h"), F.coalesce(d, F.lit(0)).alias("d0"), F.col(d).isNull().alias("none")]
+    texts = docs.select(*row("text_hash", "doc_id"), "text").groupBy("h", "d0", "none").agg(F.first("text").alias("text"))
+    shipped = texts.join(held.select("cluster", "set_id", "blocks", "own", *row("h", "d")), ["h", "d0", "none"]).select("cluster", "set_id", "text", "own", F.explode(others).alias("other")).select(
         F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "set_id", "text")
     found = connected_components(_verified(shipped, similarity, width))
     return rows.select("doc_id", "text_hash", "set_id").join(found, F.col("set_id") == F.col("node"), "left").select(
