@@ -2,9 +2,10 @@
 
 Learning (Spark job): counts of letter n-grams (1 to 4, with word ends) per
 language, over at most about ``max_docs`` labelled documents chosen by a hash of
-doc_id; the table keeps the ``max_features`` most frequent n-grams, filed under
-hashes of their letters (both numbers bound the fitted model, not what is
-predicted). It also learns which scripts each language uses.
+doc_id (which bounds the fitted model, not what is predicted). All n-grams that
+come twice are kept, filed under 64-bit hashes of their letters that are compared
+in full, so an unknown one says nothing. It also learns which scripts each
+language uses.
 
 Prediction: scripts, given as code point ranges, narrow a word's candidates to
 the languages that use its script; each remaining language scores the word by
@@ -31,11 +32,10 @@ from pyspark.sql import functions as F
 
 from chainweave.plans.lineage import written
 
-MAX_DOCS, MAX_FEATURES = 10_000, 30_000
+MAX_DOCS = 10_000
 SWITCH = 12.0
 SLICE_CHARS = 3_000_000  # texts handled at a time in a task
 CACHE_WORDS = 400_000
-TABLE_BITS = 18
 LONGEST = 4  # of the n-grams
 #: starts of script ranges by code point (fixed values of the Unicode standard, blocks of one script merged)
 SCRIPTS = [
@@ -58,13 +58,13 @@ def features(run: str) -> list[str]:
     return [s[i:i + n] for n in range(1, LONGEST + 1) for i in range(len(s) - n + 1) if s[i:i + n] != "_"]
 
 
-def gram_slots(codes: np.ndarray, n: int) -> np.ndarray:
-    """Place in the table of each n-gram of code points."""
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each n-gram of code points."""
     h = np.full(max(0, len(codes) - n + 1), n, dtype=np.uint64)
     for k in range(n):
-        h = h * np.uint64(0x100000001B3) + codes[k:k + len(h)]
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) + 1
+        h = (h ^ codes[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 _alpha = None
@@ -83,28 +83,47 @@ class Model:
     def __init__(self, langs: list[str], grams: dict, scripts: dict):
         """grams: n-gram -> log-probabilities by language; scripts: script -> allowed languages as a mask."""
         self.langs = langs
-        table = np.zeros(((1 << TABLE_BITS) + 1, len(langs)), dtype=np.float32)
-        for g, v in grams.items():
-            table[gram_slots(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[0]] = v
+        hashes = np.array([gram_hashes(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[0] for g in grams], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.table = np.zeros((len(grams) + 1, len(langs)), dtype=np.float32)
+        if len(grams):
+            self.table[1:] = np.array(list(grams.values()), dtype=np.float32)[order]
         refused = np.zeros((len(SCRIPTS), len(langs)), dtype=np.float32)
         for i, (_, name) in enumerate(SCRIPTS):
             if name in scripts:
                 refused[i] = -50.0 * ~scripts[name]
-        self.table, self.refused = table, refused
+        self.refused = refused
         self.reset()
 
     def __getstate__(self):
-        return self.langs, self.table, self.refused
+        return self.langs, self.hashes, self.table, self.refused
 
     def __setstate__(self, state):
-        self.langs, self.table, self.refused = state
+        self.langs, self.hashes, self.table, self.refused = state
         self.reset()
 
     def reset(self):
+        # hashes are in order: those with the same first bits stand together from ``first`` on, ``most`` at most
+        self.bits = max(1, (4 * len(self.hashes)).bit_length())
+        own = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.first = np.searchsorted(own, np.arange((1 << self.bits) + 1))
+        self.most = int(np.diff(self.first).max(initial=0))
         self.index: dict = {}
         self.scores = np.zeros((0, len(self.langs)), dtype=np.float32)
         self.letters = np.zeros(0, dtype=np.int64)
 
+    def rows_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of the table of each hash, 0 where it is unknown."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = self.first[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+        row = np.zeros(len(hashes), dtype=np.int64)
+        for k in range(self.most):
+            there = np.minimum(at + k, len(self.hashes) - 1)
+            row = np.where(self.hashes[there] == hashes, there + 1, row)
+        return row
+
     def learn_words(self, words: list[str]) -> None:
         """Scores of new words, all at once: sums over their n-grams, less what their scripts refuse."""
         for lo in range(0, len(words), 20_000):
@@ -116,13 +135,13 @@ class Model:
             starts = np.cumsum(lens) - lens
             total = np.zeros((len(codes), len(self.langs)), dtype=np.float32)
             for n in range(1, LONGEST + 1):
-                slot = gram_slots(codes, n)
+                slot = gram_hashes(codes, n)
                 ok = letter[:len(slot)].copy() if n == 1 else np.ones(len(slot), dtype=bool)
                 for k in range(1, n - 1):  # ends of words stand at the ends of an n-gram only
                     ok &= letter[k:k + len(slot)]
                 if n == 2:
                     ok &= letter[:-1] | letter[1:]
-                total[:len(slot)] += self.table[np.where(ok, slot, 0)] / 3
+                total[:len(slot)] += self.table[np.where(ok, self.rows_of(slot), 0)] / 3
             script = np.searchsorted(_STARTS, codes, side="right") - 1
             total += self.refused[script] * letter[:, None]
             new = np.add.reduceat(total, starts, axis=0)
@@ -143,7 +162,7 @@ class Model:
         return [np.fromiter(map(get, s), dtype=np.int64, count=len(s)) for s in split]
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """docs(doc_id, text, lang): learn from rows with text and lang, at most about ``max_docs`` of them."""
     rows = docs.where("lang is not null and text is not null")
     n = rows.select("lang").count()
@@ -170,17 +189,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATU
 
     # one row per n-gram and language, whatever the number of tasks that counted
     counts = written(rows.select("lang", "text").mapInArrow(count, "lang string, f string, n long").groupBy("f", "lang").agg(F.sum("n").alias("n")), "language-counts")
-    totals = counts.groupBy("f").agg(F.sum("n").alias("total"))
-    # the least count that leaves at most max_features: from a histogram of counts, at most a few hundred rows
-    level = F.floor(F.log2("total") * 8).cast("int")
-    bound, held = 0, 0
-    for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
-        held += r.n
-        if held > max_features:
-            bound = r.level + 1
-            break
-    chosen = totals.where((level >= bound) | F.startswith(F.col("f"), F.lit("#"))).select("f")
-    top = counts.join(chosen, "f", "left_semi").select("f", "lang", "n").toArrow()  # at most max_features n-grams per language
+    chosen = counts.groupBy("f").agg(F.sum("n").alias("total")).where((F.col("total") > 1) | F.startswith(F.col("f"), F.lit("#"))).select("f")
+    top = counts.join(chosen, "f", "left_semi").select("f", "lang", "n").toArrow()  # the n-grams of max_docs documents at most
     table, scripts, langs, by_feature = {}, {}, sorted(set(top["lang"].to_pylist())), {}
     at = {x: i for i, x in enumerate(langs)}
     for f, lang, n in zip(*(top[c].to_pylist() for c in ("f", "lang", "n"))):
@@ -208,7 +218,7 @@ def label_spans(scores: np.ndarray, docs: list[np.ndarray], switch: float) -> li
     words = np.zeros((T, n), dtype=np.int64)
     for j, d in enumerate(docs):
         words[:len(d), j] = d
-    stay, best, v = np.ones((T, n, L), dtype=bool), np.zeros((T, n), dtype=np.uint8), np.zeros((n, L))
+    stay, best, v = np.ones((T, n, L), dtype=bool), np.zeros((T, n), dtype=np.uint16), np.zeros((n, L))
     for t in range(T):
         k = live[t]
         x = v[:k]
@@ -218,7 +228,7 @@ def label_spans(scores: np.ndarray, docs: list[np.ndarray], switch: float) -> li
             stay[t, :k], best[t, :k] = x >= m, b
             x = np.maximum(x, m)
         v[:k] = x + scores[words[t, :k]]
-    state, out = v.argmax(axis=1), np.zeros((T, n), dtype=np.uint8)
+    state, out = v.argmax(axis=1), np.zeros((T, n), dtype=np.uint16)
     for t in range(T - 1, -1, -1):
         k = live[t]
         out[t, :k] = state[:k]
@@ -262,7 +272,7 @@ def slices(batch: pa.RecordBatch, column: str = "text"):
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score, spans (word ranges) for every row of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES rows of one number per language
+    held = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of MAX_DOCS documents at most, one number per language
 
     def run(batches):
         for batch in batches:
