@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.operators.counting import weights
 from chainweave.plans.lineage import cut
+from chainweave.plans.numbering import numbered
 
 
 def presence(df: DataFrame, groupby: str, target: str, fraction=False) -> DataFrame:
@@ -165,31 +167,87 @@ def negative_binomial_cdf(k: int, r: float, p: float) -> float:
     return min(1.0, math.fsum(math.exp(ln(i)) for i in range(k + 1)))
 
 
+def keyed_ranks(numbers: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """Place of each number below n (rows) in the pseudorandom permutation of 0 .. n - 1 of each key (columns).
+
+    Six Feistel rounds permute the least square of a power of two that holds n;
+    a place beyond n is permuted again until it lies below (cycle walking).
+    """
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, one = np.uint64((1 << half) - 1), np.uint64(half)
+    x, key = (v.ravel() for v in np.broadcast_arrays(numbers.astype(np.uint64)[:, None], keys.astype(np.uint64)[None]))
+    out, todo = np.empty(len(x), dtype=np.int64), np.arange(len(x))
+    x = x.copy()
+    while len(todo):
+        left, right = x >> one, x & mask
+        for r in range(6):
+            h = (right + key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((h >> np.uint64(29)) & mask)
+        x = (left << one) | right
+        inside = x < np.uint64(n)
+        out[todo[inside]] = x[inside].astype(np.int64)
+        todo, x, key = todo[~inside], x[~inside], key[~inside]
+    return out.reshape(len(numbers), len(keys))
+
+
+def random_edges(edges: DataFrame, n: int, sizes: list[int], n_permutations: int, seed: int) -> DataFrame:
+    """perm, at, k: edges(a, b: node numbers) that the random sets hold from the at-th size on, for each permutation.
+
+    The random set of size s in a permutation holds the nodes at its first s
+    places, so an edge counts from the later place of its ends on. Nothing is
+    sorted and no node is paired with a permutation outside its edge's task.
+    """
+    steps, keys = np.array(sizes), np.arange(n_permutations) + seed
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            chunk = max(1, (1 << 21) // n_permutations)
+            for lo in range(0, len(a), chunk):
+                ends, which = np.unique(np.r_[a[lo:lo + chunk], b[lo:lo + chunk]], return_inverse=True)
+                ranks, m = keyed_ranks(ends, n, keys), len(which) // 2
+                late = np.maximum(ranks[which[:m]], ranks[which[m:]]) + 1
+                at = np.searchsorted(steps, late)
+                perm = np.broadcast_to(np.arange(n_permutations), at.shape)[at < len(steps)]
+                found, k = np.unique(perm * len(steps) + at[at < len(steps)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found // len(steps)), pa.array(found % len(steps)), pa.array(k)], names=["perm", "at", "k"])
+
+    return edges.select("a", "b").mapInArrow(run, "perm long, at long, k long").groupBy("perm", "at").agg(F.sum("k").alias("k"))
+
+
+def false_discovery(df: DataFrame, p: str, tie: str, block: int = 100_000) -> DataFrame:
+    """Add ``fdr`` (Benjamini-Hochberg): the least p x rows / rank from a row's rank on. Ranks by a distributed sort, minima by block of ranks."""
+    rows = numbered(df, [F.col(p), F.col(tie)], "_rank")
+    m = rows.count()
+    rows = rows.withColumns({"_q": F.col(p) * m / (F.col("_rank") + 1), "_block": F.floor(F.col("_rank") / block)})
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    tails = rows.groupBy("_block").agg(F.min("_q").alias("_least")).select("_block", F.min("_least").over(later).alias("_after"))
+    own = Window.partitionBy("_block").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(tails, "_block").withColumn("fdr", F.least(F.lit(1.0), F.min("_q").over(own), "_after")).drop("_rank", "_q", "_block", "_after")
+
+
 def clonotype_modularity(labels: DataFrame, edges: DataFrame, n_permutations: int = 1000, exact: bool = False, seed: int = 0) -> DataFrame:
     """label, size, n_edges, score, p_value, fdr: edges inside a label against random sets of its size.
 
-    Permutations shuffle all nodes (by a hash of node and permutation); the first
-    s nodes are the random set of size s, so all sizes come from one pass.
+    Random sets come from keyed permutations of the numbered nodes. Distinct
+    sizes are few: they add up to at most the number of nodes n, so there are
+    fewer than the square root of 2 n.
     """
-    seen = observed_edges(labels, edges)
-    sizes = sorted(r[0] for r in seen.select("size").distinct().collect())  # distinct sizes: few
+    spark = labels.sparkSession
+    seen = cut(observed_edges(labels, edges))
+    sizes = sorted(r[0] for r in seen.select("size").distinct().collect())
+    nodes = numbered(labels.select("node").distinct(), "node", "no")
+    n = nodes.count()
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    perms = labels.sparkSession.range(n_permutations).select((F.col("id") + seed).alias("perm"))
-    nodes = labels.select("node").distinct()
-    # the random set of size s holds the s nodes of least hash; nodes that can't be among the largest set's are left out at once
-    n, most = nodes.count(), sizes[-1] if sizes else 0
-    share = min(1.0, (most + 10 * math.sqrt(most) + 50) / max(1, n))
-    drawn = nodes.crossJoin(perms).withColumn("h", F.xxhash64("perm", "node")).where(F.shiftrightunsigned("h", 11) <= int(share * ((1 << 53) - 1)))
-    order = F.row_number().over(Window.partitionBy("perm").orderBy(F.shiftrightunsigned("h", 11), "h", "node"))
-    ranks = cut(drawn.withColumn("rank", order).where(F.col("rank") <= most).select("perm", "node", "rank"))
-    # an edge counts for set sizes from its later node on: counted at the least such size, then summed up
-    late = e.join(ranks.select(F.col("node").alias("src"), "perm", F.col("rank").alias("r1")), "src").join(
-        ranks.select(F.col("node").alias("dst"), "perm", F.col("rank").alias("r2")), ["perm", "dst"])
-    at = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<bigint>")
-    late = late.withColumn("size", F.array_min(F.filter(at, lambda s: s >= F.greatest("r1", "r2")))).groupBy("perm", "size").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy("perm").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = perms.crossJoin(labels.sparkSession.createDataFrame([(s,) for s in sizes], "size long")).join(late, ["perm", "size"], "left")
-    counts = counts.withColumn("n", F.sum(F.coalesce("k", F.lit(0))).over(upto)).groupBy("size").agg(F.collect_list("n").alias("random"))
+    e = e.join(nodes.select(F.col("node").alias("src"), F.col("no").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("no").alias("b")), "dst")
+    drawn = random_edges(e, n, sizes, n_permutations, seed).groupBy("perm").agg(F.map_from_entries(F.collect_list(F.struct("at", "k"))).alias("own"))
+    steps = spark.createDataFrame(list(enumerate(sizes)), "at int, size long")
+    each = spark.range(n_permutations).withColumnRenamed("id", "perm").join(drawn, "perm", "left")
+    each = each.select("perm", "own", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(sizes) - 1)))).alias("at"))
+    upto = Window.partitionBy("perm").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = each.withColumn("n", F.sum(F.coalesce(F.try_element_at("own", F.col("at").cast("long")), F.lit(0))).over(upto))
+    counts = counts.groupBy("at").agg(F.collect_list("n").alias("random")).join(F.broadcast(steps), "at").drop("at")
 
     @F.pandas_udf("double")
     def p_value(size: pd.Series, n: pd.Series, random: pd.Series) -> pd.Series:
@@ -207,9 +265,8 @@ def clonotype_modularity(labels: DataFrame, edges: DataFrame, n_permutations: in
                 out.append(max(1 - negative_binomial_cdf(int(k) - 1, *fits[s]), float(np.finfo(np.float32).tiny)))
         return pd.Series(out, dtype="float64")
 
+    # one fit for each size and number of edges, not for each label
+    kinds = seen.select("size", "n_edges").distinct().join(counts, "size")
     mean = F.aggregate("random", F.lit(0).cast("long"), lambda a, v: a + v) / F.size("random")
-    out = seen.join(counts, "size").select("label", "size", "n_edges", F.log2((F.col("n_edges") + 1) / (mean + 1)).alias("score"), p_value("size", "n_edges", "random").alias("p_value"))
-    up = Window.orderBy("p_value", "label")
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    adjusted = out.withColumn("q", F.col("p_value") * m / F.row_number().over(up))
-    return adjusted.withColumn("fdr", F.least(F.lit(1.0), F.min("q").over(Window.orderBy(F.desc("p_value"), F.desc("label")).rowsBetween(Window.unboundedPreceding, 0)))).drop("q")
+    kinds = kinds.select("size", "n_edges", F.log2((F.col("n_edges") + 1) / (mean + 1)).alias("score"), p_value("size", "n_edges", "random").alias("p_value"))
+    return false_discovery(seen.join(kinds, ["size", "n_edges"]).select("label", "size", "n_edges", "score", "p_value"), "p_value", "label")

@@ -104,6 +104,37 @@ def test_modularity(spark):
     assert shown["clique"] and not shown["l7"]
 
 
+def test_random_sets_are_permutations():
+    for n in (1, 2, 7, 100, 1000):
+        ranks = groups.keyed_ranks(np.arange(n), n, np.arange(30))
+        assert (np.sort(ranks, axis=0) == np.arange(n)[:, None]).all()
+    assert abs(groups.keyed_ranks(np.arange(50), 50, np.arange(4000)).mean(axis=1) - 24.5).max() < 1.2
+
+
+def test_modularity_is_brute_force(spark):
+    """Counts of every permutation from its own sets of nodes; adjusted p over several blocks."""
+    r = np.random.RandomState(3)
+    pairs = sorted({tuple(sorted(r.choice(40, 2, replace=False).tolist())) for _ in range(150)})
+    label = {i: "abcdefgh"[int(i ** 0.5)] for i in range(40)}
+    labels = spark.createDataFrame([(100 + i, x) for i, x in label.items()], "node long, label string")
+    edges = spark.createDataFrame([(100 + a, 100 + b) for a, b in pairs], "src long, dst long")
+    ranks, want = groups.keyed_ranks(np.arange(40), 40, np.arange(60) + 5), {}
+    for name in set(label.values()):
+        size = sum(x == name for x in label.values())
+        own = sum(label[a] == label[b] == name for a, b in pairs)
+        drawn = [sum(max(ranks[a, p], ranks[b, p]) < size for a, b in pairs) for p in range(60)]
+        want[name] = size, own, math.log2((own + 1) / (np.mean(drawn) + 1)), max(np.mean(np.array(drawn) >= own), 1 / 60)
+    got = {x.label: x for x in groups.clonotype_modularity(labels, edges, 60, True, 5).collect()}
+    assert {k: (x["size"], x.n_edges) for k, x in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k].score == pytest.approx(v[2]) and got[k].p_value == pytest.approx(v[3]) for k, v in want.items())
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.r_[r.uniform(0, 1, 40) ** 3, 0.01, 0.01])], "k long, p double")
+    p = np.array([x.p for x in rows.orderBy("k").collect()])
+    order = np.lexsort((np.arange(42), p))
+    q = np.minimum(1, np.minimum.accumulate((p[order] * 42 / np.arange(1, 43))[::-1])[::-1])
+    fdr = {x.k: x.fdr for x in groups.false_discovery(rows, "p", "k", 5).collect()}
+    assert [fdr[k] for k in order] == pytest.approx(q.tolist())
+
+
 def test_network(spark):
     members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (9, "e")], "ct long, cell_id string")
     links = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
