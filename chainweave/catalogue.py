@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -369,10 +370,33 @@ def _scored(name: str, metric: str, sql: str):
 
 
 _LETTERWISE = """, u as (select arm, length(seq) as n, seq, unnest(range(1, length(seq) + 1)) as i, unnest(string_split(seq, '')) as c from s)"""
-_scored("dist_alignment", "alignment", _SEQS + _MATRIX + _LETTERWISE + """, self as (select arm, seq, sum(v) as v from u join mat on pair = c||c group by arm, seq),
+_ALIGNED = _SEQS + _MATRIX + _LETTERWISE + """, self as (select arm, seq, sum(v) as v from u join mat on pair = c||c group by arm, seq),
 d as (select a.arm, a.seq as seq1, b.seq as seq2, sum(v) as v from u a join u b on a.arm = b.arm and a.n = b.n and a.i = b.i join mat on pair = a.c||b.c group by 1, 2, 3)
-select d.arm, seq1, seq2, cast(least(x.v, y.v) - d.v as int) as dist from d join self x on x.arm = d.arm and x.seq = seq1 join self y on y.arm = d.arm and y.seq = seq2 where least(x.v, y.v) - d.v <= 10""")
-_scored("dist_fastalignment", "fastalignment", None)
+select d.arm, seq1, seq2, cast(least(x.v, y.v) - d.v as int) as dist from d join self x on x.arm = d.arm and x.seq = seq1 join self y on y.arm = d.arm and y.seq = seq2 where least(x.v, y.v) - d.v <= 10"""
+_scored("dist_alignment", "alignment", _ALIGNED)
+# letters of one sequence that the other lacks cost 4 each
+_scored("dist_fastalignment", "fastalignment", _ALIGNED + f"""
+  and 4 * list_sum(list_transform(string_split('{distances.LETTERS}', ''), lambda l: greatest(length(replace(seq2, l, '')) - length(replace(seq1, l, '')), 0))) <= 10""")
+class _Halves(distances.DistanceCalculator):
+    """An own metric: mismatches of sequences of one length, at most one; a pair shares its first or its second half."""
+
+    def kernel(self, x, y):
+        (a, n), (b, m) = distances.encode(x), distances.encode(y)
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(v, ((0, 0), (0, width - v.shape[1])), constant_values=len(distances.LETTERS)) for v in (a, b))
+        return np.where(n[:, None] == m[None], (a[:, None] != b[None]).sum(axis=2), 255)
+
+    def keys(self):
+        half = F.floor(F.length("seq") / 2).cast("int")
+        first, second = F.substring("seq", F.lit(1), half), F.substring("seq", half + 1, F.length("seq"))
+        return F.transform(F.array(F.concat(F.lit("1 "), first), F.concat(F.lit("2 "), second)), lambda k: F.concat(k, F.lit(" "), F.length("seq")))
+
+
+@query(on_wide(_SEQS + " select a.arm, a.seq as seq1, b.seq as seq2, cast(hamming(a.seq, b.seq) as int) as dist from s a join s b on a.arm = b.arm and length(a.seq) = length(b.seq) where hamming(a.seq, b.seq) <= 1"))
+def dist_own_calculator(spark, sf):
+    return distances.ir_dist(seqs(spark, sf), None, _Halves(1, 0))
+
+
 _scored("dist_tcrdist", "tcrdist", _SEQS + """, mat as (select pair, case when substr(pair,1,1) = substr(pair,2,1) then 0 else 3 * least(4, 4 - v) end as w from (values """ + ",".join(
     f"('{a}{b}',{_M[i, j]})" for i, a in enumerate(distances.LETTERS) for j, b in enumerate(distances.LETTERS)) + """) m(pair, v)),
 p as (select a.arm, a.seq as seq1, b.seq as seq2, length(a.seq) as n, length(b.seq) as m, least(length(a.seq), length(b.seq)) as short,
@@ -492,6 +516,11 @@ def clusters_leiden(spark, sf):
     return ct.define_clonotype_clusters(wide(spark, sf), metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only", partitions="leiden")
 
 
+@query()
+def clusters_fastgreedy(spark, sf):
+    return ct.define_clonotype_clusters(wide(spark, sf), metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only", partitions="fastgreedy")
+
+
 def _network(spark, sf):
     s = ct.Setup(metric="identity", receptor_arms="all", dual_ir="any")
     table, members = ct.configurations(wide(spark, sf), s)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.operators.communities import fastgreedy, leiden
 from chainweave.operators.distances import ir_dist, sequences
 from chainweave.plans.components import connected_components
 from chainweave.plans.lineage import cut
@@ -177,36 +178,11 @@ def links(table: DataFrame, s: Setup) -> DataFrame:
     return pair_distances(rows, rows, edges, s, True).select(F.col("i").alias("src"), F.col("j").alias("dst"))
 
 
-def greedy_communities(nodes: list, edges: list[tuple], resolution: float = 1.0) -> dict:
-    """Communities of one component by moving nodes while modularity grows (edges: a, b, weight)."""
-    near: dict = {n: {} for n in nodes}
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0) + w
-        near[b][a] = near[b].get(a, 0) + w
-    strength = {n: sum(near[n].values()) for n in nodes}
-    total = sum(strength.values()) or 1.0
-    own, held = {n: n for n in nodes}, dict(strength)
-    moved = True
-    while moved:
-        moved = False
-        for n in sorted(nodes):
-            c = own[n]
-            held[c] -= strength[n]
-            gain: dict = {c: 0.0}
-            for m, w in near[n].items():
-                gain[own[m]] = gain.get(own[m], 0.0) + w
-            best = max(gain, key=lambda k: (gain[k] - resolution * strength[n] * held.get(k, 0) / total, -k))
-            if gain[best] - resolution * strength[n] * held.get(best, 0) / total > gain[c] - resolution * strength[n] * held[c] / total + 1e-12:
-                own[n], moved = best, True
-            held[own[n]] = held.get(own[n], 0) + strength[n]
-    first: dict = {}
-    for n in sorted(nodes):
-        first.setdefault(own[n], n)
-    return {n: first[own[n]] for n in nodes}
-
-
-def define_clonotype_clusters(cells: DataFrame, partitions: str = "connected", resolution: float = 1.0, **options) -> DataFrame:
-    """cell_id, cluster_id (string, by first cell), cluster_size for each cell that has a configuration."""
+def define_clonotype_clusters(cells: DataFrame, partitions: str = "connected", resolution: float = 1.0, n_iterations: int = 1, **options) -> DataFrame:
+    """cell_id, cluster_id (string, by first cell), cluster_size for each cell that has a configuration.
+
+    ``resolution`` and ``n_iterations`` are those of ``leiden``.
+    """
     s = Setup(**options)
     table, members = configurations(cells, s)
     if partitions == "connected" and s.identical and s.dual_ir == "primary_only" and s.receptor_arms != "any":
@@ -217,15 +193,10 @@ def define_clonotype_clusters(cells: DataFrame, partitions: str = "connected", r
         columns = {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
         rows = chain_rows(table, s)
         pairs = cut(pair_distances(rows, rows, ir_dist(sequences(table, columns), None, s.metric, s.cutoff), s, True))
-        parts = connected_components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")))
         most = pairs.agg(F.max("dist")).first()[0] or 0
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            edges = [(int(a), int(b), (most + 1 - d) / (most + 1)) for a, b, d in zip(pdf.i, pdf.j, pdf.dist)]
-            found = greedy_communities(sorted({x for e in edges for x in e[:2]}), edges, resolution)
-            return pd.DataFrame({"ct": list(found), "low": list(found.values())})
-
-        label = pairs.join(parts, pairs.i == parts.node).groupBy("component").applyInPandas(run, "ct long, low long")
+        edges = pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), (most + 1 - F.col("dist")).cast("long").alias("weight"))
+        found = leiden(edges, resolution, n_iterations) if partitions == "leiden" else fastgreedy(edges)
+        label = found.select(F.col("node").alias("ct"), F.col("community").alias("low"))
     else:
         raise ValueError("partitions: connected, leiden, fastgreedy")
     found = members.join(label, "ct", "left").select("cell_id", F.coalesce("low", "ct").alias("low"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.operators.seeds import Scoring, of_alphabet, seeded_join
+from chainweave.operators.seeds import Scoring, keyed_join, of_alphabet, seeded_join
 from chainweave.plans.lineage import written
 
 #: fixed values: the public BLOSUM62 matrix, lower triangle in the order of LETTERS
@@ -421,7 +421,12 @@ def fastalignment(left: DataFrame, right: DataFrame | None = None, cutoff: int =
 
 
 class DistanceCalculator:
-    """Base of own metrics: a kernel gives the matrix of two lists of sequences, ``len_diff`` bounds the lengths compared."""
+    """Base of own metrics: a kernel gives the matrix of two lists of sequences, ``len_diff`` bounds the lengths compared.
+
+    A metric that can name keys of a sequence (``keys``: an array of strings, of
+    ``seq``) of which a pair within the cutoff shares one is compared under these
+    keys only; others compare blocks of all sequences of near length.
+    """
 
     def __init__(self, cutoff: int | None = None, len_diff: int = 1 << 10):
         self.cutoff = 0 if cutoff is None else cutoff
@@ -432,8 +437,13 @@ class DistanceCalculator:
     def kernel(self, x: list[str], y: list[str]) -> np.ndarray:
         raise NotImplementedError
 
+    def keys(self) -> Column | None:
+        return None
+
     def edges(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-        return blockwise(left, right, self.kernel, self.cutoff, self.len_diff)
+        if self.keys() is None:
+            return blockwise(left, right, self.kernel, self.cutoff, self.len_diff)
+        return _mirror(keyed_join(left, right, self.keys(), self.kernel, self.cutoff, self.len_diff), left if right is None else None)
 
 
 def ir_dist(left: DataFrame, right: DataFrame | None = None, metric="identity", cutoff: int | None = None, **options) -> DataFrame:

@@ -224,3 +224,36 @@ def seeded_join(left: DataFrame, right: DataFrame | None, scorings: dict[str, Sc
 def of_alphabet(letters: str) -> Column:
     return ~F.col("seq").rlike(f"[^{letters}]")
 
+
+
+def keyed_join(left: DataFrame, right: DataFrame | None, keys: Column, kernel: Callable, cutoff: int, len_diff: int, block: int = BLOCK) -> DataFrame:
+    """arm, seq1, seq2, dist: the pairs within the cutoff among those that share one of ``keys``; of one table in one direction."""
+    square, rows = right is None, None
+    for df, second in ((left, False),) if square else ((left, False), (right, True)):
+        own = df.select("arm", F.lit(0).alias("short"), F.lit(0).alias("d"), F.lit(False).alias("flip"), F.lit(0).alias("place"), F.lit(0).alias("i"),
+                        F.explode(F.array_distinct(keys)).alias("part"), F.lit(second).alias("second"), "seq")
+        rows = own if rows is None else rows.union(own)
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.to_pylist():
+                alone = t["lo"] == t["hi"]
+                if square:
+                    meets = [(t["x_lo"], t["x_lo"])] if alone else [(t["x_lo"], t["x_hi"])]
+                else:
+                    meets = [(t["x_lo"], t["y_lo"])] if alone else [(t["x_lo"], t["y_hi"]), (t["x_hi"], t["y_lo"])]
+                for x, y in meets:
+                    if not x or not y:
+                        continue
+                    d = kernel(x, y)
+                    i, j = np.nonzero(d <= cutoff)
+                    if square and alone:
+                        i, j = i[i < j], j[i < j]
+                    near = np.array([abs(len(x[p]) - len(y[q])) <= len_diff for p, q in zip(i, j)], dtype=bool)
+                    one, two = ([s[k] for k in at[near]] for s, at in ((x, i), (y, j)))
+                    if square:
+                        one, two = [min(p) for p in zip(one, two)], [max(p) for p in zip(one, two)]
+                    yield pa.RecordBatch.from_arrays([pa.array([t["arm"]] * len(one), pa.string()), pa.array(one, pa.string()), pa.array(two, pa.string()),
+                                                      pa.array(d[i, j][near].astype(np.int32))], names=["arm", "seq1", "seq2", "dist"])
+
+    return _tasks(rows, square, block).mapInArrow(run, EDGES).distinct()  # a pair may share several keys

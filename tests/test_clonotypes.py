@@ -126,9 +126,3 @@ def test_query_and_annotation(spark):
     assert got["unique-only"]["q"] == "z" and got["unique-only"]["s"] is None and got["unique-only"]["u"] is None
     with pytest.raises(ValueError):
         ct.ir_query(cells, ref, same_j_gene=True)
-
-
-def test_communities():
-    two = [(a, b, 1.0) for g in ((1, 2, 3), (4, 5, 6)) for a in g for b in g if a < b] + [(3, 4, 0.1)]
-    got = ct.greedy_communities([1, 2, 3, 4, 5, 6], two)
-    assert got[1] == got[2] == got[3] != got[4] == got[5] == got[6]
