@@ -209,6 +209,19 @@ def define_clonotypes(cells: DataFrame, **options) -> DataFrame:
     return define_clonotype_clusters(cells, sequence="nt", metric="identity", **options)
 
 
+def clonotype_graph(cells: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, dist, weight: configurations within the cutoff, each pair once; ct, cell_id: their cells).
+
+    The weight falls from 1 at distance 0 by 1 / (largest distance + 1) a step.
+    """
+    s = Setup(**options)
+    table, members = configurations(cells, s)
+    rows, columns = chain_rows(table, s), {a: [f"{a}_{n}_{s.field}" for n in s.chains] for a in s.arms}
+    pairs = cut(pair_distances(rows, rows, ir_dist(sequences(table, columns), None, s.metric, s.cutoff), s, True))
+    most = F.lit((pairs.agg(F.max("dist")).first()[0] or 0) + 1)
+    return pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "dist", ((most - F.col("dist")) / most).alias("weight")), members
+
+
 def ir_query(cells: DataFrame, reference: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(i, j, dist of query and reference configurations; members of the query; members of the reference)."""
     s = Setup(**options)

@@ -126,3 +126,15 @@ def test_query_and_annotation(spark):
     assert got["unique-only"]["q"] == "z" and got["unique-only"]["s"] is None and got["unique-only"]["u"] is None
     with pytest.raises(ValueError):
         ct.ir_query(cells, ref, same_j_gene=True)
+
+
+def test_graph(spark):
+    cells = random_cells(11)
+    edges, members = ct.clonotype_graph(wide(spark, cells), metric="hamming", cutoff=1, receptor_arms="VJ", dual_ir="primary_only")
+    first = {}
+    for i, (c, s) in enumerate(cells.items()):
+        if s[0]:
+            first.setdefault(s[0], i)
+    want = {(a, b): gap(p, q, 1, False) for p, a in first.items() for q, b in first.items() if a < b and gap(p, q, 1, False) is not None}
+    got = {(r.src, r.dst): (r.dist, r.weight) for r in edges.collect()}
+    assert got == {k: (d, (2 - d) / 2) for k, d in want.items()} and members.count() == sum(bool(s[0]) for s in cells.values())
