@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chainweave.functions import sequences as seq
 from chainweave.functions import values
 from chainweave.operators import clonotypes as ct
-from chainweave.operators import counting, distances, diversity, figures, groups, indexing, mutation, qc
+from chainweave.operators import counting, distances, diversity, figures, groups, indexing, layouts, mutation, qc
 from chainweave.plans import receptors
 from chainweave.plans.lineage import scratch_path
 from chainweave.sources import legacy, tables
@@ -531,7 +531,7 @@ def _network(spark, sf):
 def clonotype_network(spark, sf):
     members, links = _network(spark, sf)
     nodes = ct.network_nodes(members, links, min_cells=3, min_nodes=2)
-    return ct.layout(nodes, links).join(nodes, "ct")
+    return layouts.layout(nodes, links).join(nodes, "ct")
 
 
 @query()
@@ -539,7 +539,7 @@ def network_tables(spark, sf):
     members, links = _network(spark, sf)
     cells = wide(spark, sf)
     nodes = ct.network_nodes(members, links, min_cells=3, min_nodes=2, mask=cells.where("status = 'F'"))
-    return figures.network_tables(ct.layout(nodes, links), members, cells.withColumn("label", F.col("sample")), links)[0]
+    return figures.network_tables(layouts.layout(nodes, links), members, cells.withColumn("label", F.col("sample")), links)[0]
 
 
 _NODES = """, own as (select *, min(cell_ord) over (partition by VJ_1_junction_aa, VDJ_1_junction_aa, receptor_type) as ct from wide where has_ir and coalesce(VJ_1_junction_aa, VDJ_1_junction_aa) is not null)"""

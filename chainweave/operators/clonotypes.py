@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,39 +274,3 @@ def network_nodes(members: DataFrame, links_: DataFrame, min_cells: int = 1, min
     if kept.isEmpty():
         raise ValueError(f"no component has {min_nodes} nodes, {min_cells} cells and a cell of the mask")
     return kept
-
-
-def layout(nodes: DataFrame, links_: DataFrame, iterations: int = 50, seed: int = 42) -> DataFrame:
-    """ct, x, y: Fruchterman-Reingold per component (one task each), components packed on a grid by their number."""
-    edges = links_.join(nodes.select(F.col("ct").alias("src"), "component"), "src").select("component", "src", "dst")
-    rows = nodes.select("component", F.col("ct").alias("a"), F.col("ct").alias("b"), F.col("size").cast("double").alias("size")).union(
-        edges.select("component", "src", "dst", F.lit(0.0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.a == pdf.b].sort_values("a")
-        at = {c: k for k, c in enumerate(own.a)}
-        e = np.array([(at[a], at[b]) for a, b in zip(pdf.a, pdf.b) if a != b and a in at and b in at], dtype=int).reshape(-1, 2)
-        n, rng = len(own), np.random.RandomState((seed + int(pdf.component.iloc[0])) % (1 << 31))
-        pos, k = rng.uniform(-1, 1, (n, 2)) * np.sqrt(n), 1.0
-        radius = np.sqrt(own["size"].to_numpy())
-        for it in range(iterations if n > 1 else 0):
-            diff = pos[:, None] - pos[None]
-            far = np.maximum(np.sqrt((diff**2).sum(-1)), 1e-6)
-            push = (diff / far[..., None] * (k * k * (1 + 0.1 * (radius[:, None] + radius[None])) / far)[..., None]).sum(1)
-            pull = np.zeros_like(pos)
-            if len(e):
-                d = pos[e[:, 0]] - pos[e[:, 1]]
-                f = d * (np.sqrt((d**2).sum(-1)) / k)[:, None]
-                np.add.at(pull, e[:, 0], -f)
-                np.add.at(pull, e[:, 1], f)
-            step = push + pull
-            size = np.maximum(np.sqrt((step**2).sum(-1)), 1e-9)
-            pos = pos + step / size[:, None] * np.minimum(size, np.sqrt(n) * 0.1 * (1 - it / iterations))[:, None]
-        pos = pos - pos.mean(0) if n else pos
-        return pd.DataFrame({"component": own.component.to_numpy(), "ct": own.a.to_numpy(), "x": pos[:, 0], "y": pos[:, 1]})
-
-    local = cut(rows.groupBy("component").applyInPandas(run, "component long, ct long, x double, y double"))
-    boxes = numbered(local.groupBy("component").agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("half"), F.count(F.lit(1)).alias("n")), "component", "k")
-    grid = boxes.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("side"), (2 * F.max("half") + 1).alias("pitch"))
-    return local.join(boxes.crossJoin(grid), "component").select(  # grid is one row
-        "ct", (F.col("x") + F.col("k") % F.col("side") * F.col("pitch")).alias("x"), (F.col("y") + F.floor(F.col("k") / F.col("side")) * F.col("pitch")).alias("y"))
