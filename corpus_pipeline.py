@@ -8,12 +8,14 @@ the shared folder of the session (spark.checkpoint.dir).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainweave.llm import decontaminate, language, mixing, near, token_files
 from chainweave.llm.queries import language_model, table, tokenizer_file
-from chainweave.plans.lineage import scratch_path
+from chainweave.plans.lineage import scratch, scratch_path, shared_dir
 
 #: no stage but the mix has an SQL form (models, fingerprints, token files)
 ORACLE_SQL = None
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and what is read back from them per document."""
-    out = scratch_path(spark, "tokens")
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"  # a result: it outlives the stage
     token_files.write_token_files(docs, out, tokenizer_file())
     return token_files.read_token_files(spark, out)
 
@@ -59,10 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's rows."""
+    """All stages over documents; the last one's rows. What a stage wrote on its way goes when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
