@@ -12,6 +12,7 @@ from chainweave.operators import clonotypes as ct
 from chainweave.operators import counting, distances, diversity, figures, groups, indexing, layouts, mutation, qc
 from chainweave.plans import receptors
 from chainweave.plans.lineage import scratch_path
+from chainweave.plans.numbering import numbered
 from chainweave.sources import legacy, tables
 
 WIDE_FIELDS = ("locus", "junction_aa", "junction", "v_call", "d_call", "j_call", "umi_count")
@@ -420,10 +421,8 @@ def nn_histogram(spark, sf):
 
 @query(on_wide(", v as (select distinct VJ_1_junction_aa as seq from wide where VJ_1_junction_aa is not null), p as (select row_number() over (order by seq) as pos, seq from v) select a.pos as pos1, b.pos as pos2, cast(levenshtein(a.seq, b.seq) as int) as dist from p a join p b on abs(length(a.seq) - length(b.seq)) <= 1 where levenshtein(a.seq, b.seq) <= 1"))
 def sequence_dist(spark, sf):
-    from pyspark.sql import Window
-
     v = wide(spark, sf).where("VJ_1_junction_aa is not null").select(F.col("VJ_1_junction_aa").alias("seq")).distinct()
-    return distances.sequence_dist(v.withColumn("pos", F.row_number().over(Window.orderBy("seq")).cast("long")), "levenshtein", 1)
+    return distances.sequence_dist(numbered(v, "seq", "n").select("seq", (F.col("n") + 1).alias("pos")), "levenshtein", 1)
 
 
 # ---- clonotypes ------------------------------------------------------------------------------------------------------
