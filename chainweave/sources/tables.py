@@ -100,8 +100,8 @@ def read_airr(spark: SparkSession, paths, infer: bool = True) -> DataFrame:
     return out
 
 
-def write_airr(chains: DataFrame, path: str) -> None:
-    """One line per chain, tab-separated; whole numbers without a decimal part, booleans as T and F."""
+def write_airr(chains: DataFrame, path: str, compression: str = "none") -> None:
+    """One line per chain, tab-separated; whole numbers without a decimal part, booleans as T and F. ``compression``: none, gzip, ..., also read by ``read_airr``."""
     def text(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.BooleanType):
@@ -110,7 +110,7 @@ def write_airr(chains: DataFrame, path: str) -> None:
             return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string")).alias(f.name)
         return c.cast("string").alias(f.name)
 
-    chains.select(*[text(f) for f in chains.schema]).write.csv(path, sep="\t", header=True, emptyValue="")
+    chains.select(*[text(f) for f in chains.schema]).write.csv(path, sep="\t", header=True, emptyValue="", compression=compression)
 
 
 def read_bracer(spark: SparkSession, path) -> DataFrame:
