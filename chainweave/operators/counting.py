@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.functions.values import nullify
-from chainweave.plans.lineage import cut
+from chainweave.plans.lineage import cut, written
 from chainweave.plans.numbering import numbered
 
 OTHER = "other"
@@ -34,9 +34,12 @@ def expansion_label(n: Column, breakpoints=(1, 2)) -> Column:
 def clonal_expansion(df: DataFrame, target: str, expanded_in: str | None = None, breakpoints=(1, 2)) -> DataFrame:
     """Add ``clonal_expansion``: how often a cell's target occurs (in its group): ``nan`` without target, null without group."""
     keys = [expanded_in, target] if expanded_in else [target]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col(target).isNotNull())
-    out = df.join(sizes, keys, "left") if not expanded_in else df.join(
-        sizes.where(F.col(expanded_in).isNotNull()), keys, "left")
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    sizes = df.where(named).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # rows without a key don't join: they would all come to one task
+    out = df.where(named).join(sizes, keys).unionByName(df.where(~named).withColumn("_n", F.lit(None).cast("long")))
     label = F.when(F.col(target).isNull(), "nan").when(F.col("_n").isNotNull(), expansion_label(F.col("_n"), breakpoints))
     return out.withColumn("clonal_expansion", label).drop("_n")
 
@@ -116,11 +119,11 @@ def vdj_ribbons(df: DataFrame, columns, max_ribbons: int = 20, normalize=False)
 
 def motif(df: DataFrame, sequence: str, kind: str = "counts") -> DataFrame:
     """pos, letter, value of sequences of one length: counts, probability, or information in bits."""
-    lengths = [r[0] for r in df.where(F.col(sequence).isNotNull()).select(F.length(sequence)).distinct().limit(2).collect()]
-    if len(lengths) > 1:
+    seen = written(df.where(F.col(sequence).isNotNull()).groupBy(F.col(sequence).alias("seq")).agg(F.count(F.lit(1)).alias("n")), "motif")  # the only pass over the cells
+    if len(seen.select(F.length("seq")).distinct().limit(2).collect()) > 1:
         raise ValueError("sequences have different lengths")
-    rows = df.where(F.col(sequence).isNotNull()).select(F.posexplode(F.split(sequence, "")).alias("pos", "letter")).where("letter <> ''")
-    counts = rows.groupBy("pos", "letter").agg(F.count(F.lit(1)).alias("n"))
+    rows = seen.select("n", F.posexplode(F.split("seq", "")).alias("pos", "letter")).where("letter <> ''")
+    counts = rows.groupBy("pos", "letter").agg(F.sum("n").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("pos"))
     if kind == "counts":
         return counts.select("pos", "letter", F.col("n").cast("double").alias("value"))
