@@ -69,10 +69,11 @@ def group_abundance(df: DataFrame, groupby: str, target: str, fraction=False, so
         raise ValueError("sort is count, alphabetical or a list of groups")
     if fraction is not False and fraction is not True and not isinstance(fraction, str):
         raise ValueError("fraction is False, True or a column's name")
-    rows = df.where(nullify(F.col(groupby).cast("string")).isNotNull() & nullify(F.col(target).cast("string")).isNotNull())
     by = groupby if fraction is True else fraction or None
     keys = list(dict.fromkeys([groupby, target, *([by] if by else [])]))
-    counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))  # the only pass over the cells
+    counts = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))  # the only pass over the cells
+    # of counts, not of cells: a filter of cells would be asked of the expressions that make their columns, many times over
+    counts = counts.where(nullify(F.col(groupby).cast("string")).isNotNull() & nullify(F.col(target).cast("string")).isNotNull())
     value = F.col("n") / F.sum("n").over(Window.partitionBy(by)) if by else F.col("n").cast("double")
     sums = counts.withColumn("value", value).groupBy(groupby, target).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     total = lambda c: sums.groupBy(c).agg(F.sum("n").alias("_t"))

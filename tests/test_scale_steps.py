@@ -97,3 +97,13 @@ def test_airr_may_be_compressed(spark, tmp_path):
     df = spark.createDataFrame([("c1", "TRA", True, 3.0)], "cell_id string, locus string, productive boolean, umi_count double")
     tables.write_airr(df, str(tmp_path / "x"), "gzip")
     assert list((tmp_path / "x").glob("*.csv.gz")) and tables.read_airr(spark, str(tmp_path / "x")).first().umi_count == 3
+
+
+def test_cells_are_counted_before_groups_are_filtered(spark, monkeypatch):
+    plans = []
+    own = counting.cut
+    monkeypatch.setattr(counting, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "x"), ("b", "nan"), ("NaN", "x"), ("b", None)], "g string, t string")
+    got = {(r.g, r.t): (r.value, r.group_rank, r.target_rank) for r in counting.group_abundance(df, "g", "t", fraction=True).collect()}
+    assert got == {("a", "x"): (2 / 3, 1, 1), ("a", "y"): (1 / 3, 1, 2), ("b", "y"): (1.0, 2, 2)}
+    assert "Filter" not in plans[0]
