@@ -6,7 +6,7 @@ import numpy as np
 
 from chainweave import catalogue
 from chainweave.operators import clonotypes as ct
-from chainweave.operators import counting, figures, groups, indexing
+from chainweave.operators import counting, figures, groups, indexing, layouts
 from chainweave.operators.distances import ir_dist, sequences
 from chainweave.plans import receptors
 from chainweave.sources import tables
@@ -107,3 +107,38 @@ def test_cells_are_counted_before_groups_are_filtered(spark, monkeypatch):
     got = {(r.g, r.t): (r.value, r.group_rank, r.target_rank) for r in counting.group_abundance(df, "g", "t", fraction=True).collect()}
     assert got == {("a", "x"): (2 / 3, 1, 1), ("a", "y"): (1 / 3, 1, 2), ("b", "y"): (1.0, 2, 2)}
     assert "Filter" not in plans[0]
+
+
+def test_layout_of_a_component_in_blocks(spark, monkeypatch):
+    """A component's nodes are many rows, and each is pushed by the component's cells as by a plain loop."""
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(rng.integers(1, 5)), 60, *map(float, rng.normal(size=2))) for i in range(60)] + [(100, 100 + i, 1.0, 2, float(i), 0.5) for i in range(2)]
+    edges = spark.createDataFrame([(i, j) for a in range(59) for i, j in ((a, a + 1), (a + 1, a))] + [(100, 101), (101, 100)], "src long, dst long")
+    nodes = spark.createDataFrame(rows, "component long, ct long, size double, n_nodes long, x double, y double")
+    monkeypatch.setattr(layouts, "NODES", 8)
+    monkeypatch.setattr(layouts, "PAIRS", 100)
+    blocks = layouts._blocks(nodes)
+    assert blocks.where("component = 0").count() == 8
+    got = {r.ct: (r.x, r.y) for r in layouts._round(blocks, edges, 0.25).selectExpr("inline(nodes)").collect()}
+    want = {}
+    for comp in (0, 100):
+        own = [r for r in rows if r[0] == comp]
+        ends = [(min(r[k] for r in own), max(max(r[k] for r in own) - min(r[k] for r in own), 1e-9)) for k in (4, 5)]
+        cell = {r[1]: tuple(min(int((r[k] - lo) / wide * layouts.SIDE), layouts.SIDE - 1) for k, (lo, wide) in zip((4, 5), ends)) for r in own}
+        for _, i, size, n, x, y in own:
+            f = [0.0, 0.0]
+            for c in set(cell.values()):
+                there = [r for r in own if cell[r[1]] == c]
+                others = [r for r in there if r[1] != i]
+                if others:
+                    d = [x - sum(r[4] for r in others) / len(others), y - sum(r[5] for r in others) / len(others)]
+                    w = len(others) * (1 + 0.1 * (size ** 0.5 + sum(r[2] ** 0.5 for r in there) / len(there))) / max(d[0] ** 2 + d[1] ** 2, 1e-9)
+                    f = [f[k] + d[k] * w for k in (0, 1)]
+            for r in own:
+                if abs(r[1] - i) == 1:
+                    d = (x - r[4], y - r[5])
+                    f = [f[k] - d[k] * (d[0] ** 2 + d[1] ** 2) ** 0.5 for k in (0, 1)]
+            far = max((f[0] ** 2 + f[1] ** 2) ** 0.5, 1e-9)
+            step = min(far, 0.25 * n ** 0.5) / far
+            want[i] = (x + f[0] * step, y + f[1] * step)
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
