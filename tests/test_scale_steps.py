@@ -142,3 +142,14 @@ def test_layout_of_a_component_in_blocks(spark, monkeypatch):
             step = min(far, 0.25 * n ** 0.5) / far
             want[i] = (x + f[0] * step, y + f[1] * step)
     assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_identity_clusters_are_components_of_keys(spark, monkeypatch):
+    """Many configurations that link the same keys are one edge, those of one key are none."""
+    given = []
+    own = ct.connected_components
+    monkeypatch.setattr(ct, "connected_components", lambda edges, *names: given.append(edges.count()) or own(edges, *names))
+    rows = [(i, "CAF", None, f"C{i}F", None, "TCR") for i in range(9)] + [(10 + i, "CAF", "CDF", None, None, "TCR") for i in range(2)] + [(20, "CDF", None, None, None, "TCR"), (21, "CDF", None, None, None, "BCR")]
+    table = spark.createDataFrame(rows, "ct long, VJ_1_junction_aa string, VJ_2_junction_aa string, VDJ_1_junction_aa string, VDJ_2_junction_aa string, receptor_type string")
+    got = {r.ct: r.low for r in ct.identity_labels(table, ct.Setup(receptor_arms="VJ")).collect()}
+    assert given == [1] and got == {**{i: 0 for i in (*range(9), 10, 11, 20)}, 21: 21}
