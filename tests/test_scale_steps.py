@@ -3,10 +3,11 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chainweave import catalogue
 from chainweave.operators import clonotypes as ct
-from chainweave.operators import counting, figures, groups, indexing, layouts
+from chainweave.operators import counting, figures, groups, indexing, layouts, qc
 from chainweave.operators.distances import ir_dist, sequences
 from chainweave.plans import receptors
 from chainweave.sources import tables
@@ -30,6 +31,39 @@ def test_usable_chains_give_the_same_indexed_cells(spark):
     assert receptors.chains(spark, SF, usable=True).count() == plain
 
 
+def test_wide_table_without_arrays(spark):
+    table = catalogue.wide(spark, SF)
+    base = catalogue.base(spark, SF)
+    old = indexing.with_airr(base, catalogue.WIDE_FIELDS).withColumn("has_ir", indexing.has_ir()).drop("airr", "chain_indices")
+    show = lambda df: sorted(map(str, df.select(*sorted(old.columns)).collect()))
+    assert show(table) == show(old)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("hashpartitioning(l_orderkey") == 1
+    few = table.select("VJ_1_junction_aa")._jdf.queryExecution().optimizedPlan().toString()
+    assert "v_call" not in few  # what nobody reads is not made
+    columns = {a: [f"{a}_{n}_junction_aa" for n in (1, 2)] for a in ("VJ", "VDJ")}
+    assert sorted(map(tuple, catalogue.seqs(spark, SF).collect())) == sorted(map(tuple, sequences(old, columns).collect()))
+
+
+def test_chains_are_ranked_as_they_are_indexed(spark):
+    rng = np.random.default_rng(5)
+    some = lambda *x: x[rng.integers(len(x))]
+    rows = [(i % 60, i // 60, some("TRA", "TRB", "IGH", "IGK", "XXX", None), some("CA", "CB", "CC"), some(None, "AC", "AG"), some(None, 1, 2), some(None, 1)) for i in range(420)]
+    flat = spark.createDataFrame(rows, "cell_ord long, chain_idx int, locus string, junction_aa string, junction string, umi_count int, consensus_count long")
+    flat = flat.withColumn("productive", F.lit(True))
+    cells = flat.select("cell_ord", F.col("cell_ord").cast("string").alias("cell_id")).distinct()
+    indexed = indexing.index_chains(receptors.nested(cells, flat, "cell_ord"))
+    names = ("locus", "junction_aa", "junction", "umi_count")
+    want = indexing.with_airr(indexed, names).withColumn("multichain", F.col("chain_indices.multichain"))
+    got = cells.join(indexing.picked(indexing.ranked(flat, "cell_ord"), "cell_ord", names), "cell_ord", "left").withColumn("multichain", F.coalesce("multichain", F.lit(False)))
+    columns = ["cell_ord", "multichain", *[f"{c}_{v}" for c in indexing.CHAINS for v in names]]
+    show = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert show(got) == show(want)
+    typed = qc.typed(got, lambda c, v: F.col(f"{c}_{v}"), F.coalesce("VJ_1_locus", "VDJ_1_locus").isNotNull(), F.col("multichain"))
+    kinds = ("cell_ord", "receptor_type", "receptor_subtype", "chain_pairing")
+    assert sorted(typed.select(*kinds).collect()) == sorted(qc.chain_qc(indexed).select(*kinds).collect())
+
+
 def _configurations(spark, n=150, seed=3):
     rng = np.random.default_rng(seed)
     seq = lambda: None if rng.random() < 0.25 else "C" + "".join(rng.choice(list("AD"), 4)) + "F"
