@@ -64,6 +64,19 @@ def test_chains_are_ranked_as_they_are_indexed(spark):
     assert sorted(typed.select(*kinds).collect()) == sorted(qc.chain_qc(indexed).select(*kinds).collect())
 
 
+def test_tests_are_dealt_and_made_once_for_each_table(spark, monkeypatch):
+    rows = [(f"p{i % 4}", "case" if i % 4 < 2 else "control", f"t{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "replicate string, g string, target string")
+    got = groups.clonotype_imbalance(df, "replicate", "g", "target", "case")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    counts = {r.target: tuple(map(int, (r.case_n, r.case_total - r.case_n, r.control_n, r.control_total - r.control_n)))
+              for r in groups.imbalance_counts(df, "replicate", "g", "target", "case").collect()}
+    assert {r.target: r.p_value for r in got.collect()} == {t: groups.fisher_exact(*v) for t, v in counts.items()}
+    made = []
+    monkeypatch.setattr(groups, "fisher_exact", lambda *t: made.append(t) or sum(t))
+    assert groups.fisher_tables([(1, 2, 3, 4), (1, 1, 1, 1), (1, 2, 3, 4)]) == [10, 4, 10] and len(made) == 2
+
+
 def _configurations(spark, n=150, seed=3):
     rng = np.random.default_rng(seed)
     seq = lambda: None if rng.random() < 0.25 else "C" + "".join(rng.choice(list("AD"), 4)) + "F"
