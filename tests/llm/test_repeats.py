@@ -86,3 +86,17 @@ def test_merge_is_a_suffix_order():
 
 def test_empty(spark):
     assert repeats.removed_repeats(table(spark, [])).count() == 0
+
+
+def test_transforms_move_small_numbers():
+    """Symbols, ranks and the interleave of a job are held in the fewest bytes its size needs; what is found stays the same."""
+    shard = repeats.Shard(np.array([30]), [np.random.RandomState(1).randint(1, 4, 30).astype(np.int32)], 1)
+    bwt = shard.transform(6)
+    z, common = repeats.merge([bwt, bwt], 6)
+    assert (bwt.dtype.itemsize, z.dtype.itemsize, common.dtype.itemsize) == (4, 1, 2)
+    many = repeats.merge([bwt] * 300, 6)
+    assert many[0].max() == 299 and sorted(np.bincount(many[0])) == [len(bwt)] * 300
+    text = bytes(np.random.RandomState(2).randint(97, 100, 900).astype(np.uint8))
+    flags = repeats.repeated_windows([text, text[100:500]], [1, 1], [1, 1], 40, 10, 300)
+    seen = Counter(t[i:i + 40] for t in (text, text[100:500]) for i in range(len(t) - 39))
+    assert [x.tolist() for x in flags] == [[seen[t[i:i + 40]] > 1 for i in range(len(t) - 39)] for t in (text, text[100:500])]
