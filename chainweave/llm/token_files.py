@@ -78,13 +78,14 @@ class Encoder:
         if not self.cuts:
             self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
             return
-        self.once = self.without_cache(path)
+        self.tok = self.without_cache(path)  # the only one kept: a vocabulary and its merges take 25 MB of a worker
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         space = self.tok.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how a space is written in the vocabulary
         self.starts = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.starts[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
         self.first: dict = {}  # cuts with no space before them
         self.rest: dict = {}
+        self.older: dict = {}  # ``rest`` before it was full
         self.marks = dict(zip(".,\n", self.whole([".", ",", "\n"])))
 
     @staticmethod
@@ -108,7 +109,7 @@ class Encoder:
         """Runs of letters are one piece each, whose first id alone starts with the space: encode them as one text."""
         if not words:
             return
-        ids = np.array(self.once.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         cuts = np.flatnonzero(self.starts[ids])
         if len(cuts) == len(words):
             raw, ends = ids.tobytes(), (np.r_[cuts[1:], len(ids)] * self.dtype.itemsize).tolist()
@@ -163,9 +164,14 @@ class Encoder:
         split = [t.split(" ") for t in texts]
         for lo in range(0, len(split), 64):
             new = set().union(*split[lo:lo + 64]).difference(self.rest)
-            if len(self.rest) + len(self.first) + len(new) > CACHE_PIECES:
-                self.rest.clear(), self.first.clear()
+            if len(self.rest) + len(self.first) + len(new) > CACHE_PIECES // 2:  # what was not met since the last time goes
+                self.older, self.rest = self.rest, {}
+                self.first.clear()
                 new = set().union(*split[lo:lo + 64])
+            if self.older:
+                again = [c for c in new if c in self.older]
+                self.rest.update(zip(again, map(self.older.get, again)))
+                new.difference_update(again)
             if new:
                 self.learn(new)
             get = self.rest.get

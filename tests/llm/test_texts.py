@@ -200,3 +200,25 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
     token_files.write_token_files(table(spark, []), str(tmp_path / "none"), tokenizer_file())
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_full_memory_keeps_the_words_just_met(monkeypatch):
+    """Words that come again are not encoded anew when the encoder's memory is full, and ids stay those of the library."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 2000)
+    enc, plain, learned = token_files.Encoder(tokenizer_file()), Tokenizer.from_file(tokenizer_file()), defaultdict(int)
+    learn = enc.learn
+
+    def counted(cuts):
+        for c in cuts:
+            learned[c] += 1
+        learn(cuts)
+
+    enc.learn = counted
+    for k in range(40):
+        texts = [f"the same words, again and\nagain; only {prose(k * 64 + i, 3)} differ" for i in range(64)]
+        texts.append(" ".join("x" * (1 + k) + str(i) for i in range(60)))
+        assert enc.batch(texts) == [np.array(e.ids, dtype=enc.dtype).tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert learned["same"] == 1 and len(learned) > 2000
+    assert len(enc.rest) + len(enc.older) <= 2000 + 200
