@@ -200,3 +200,15 @@ def test_identity_clusters_are_components_of_keys(spark, monkeypatch):
     table = spark.createDataFrame(rows, "ct long, VJ_1_junction_aa string, VJ_2_junction_aa string, VDJ_1_junction_aa string, VDJ_2_junction_aa string, receptor_type string")
     got = {r.ct: r.low for r in ct.identity_labels(table, ct.Setup(receptor_arms="VJ")).collect()}
     assert given == [1] and got == {**{i: 0 for i in (*range(9), 10, 11, 20)}, 21: 21}
+
+
+def test_each_cell_has_its_next_five_by_rank(spark):
+    """Numbers that are missing between cells cost no link, and the last cells go on with the first."""
+    nodes = [0, 1, 2, 9, 10, 30, 31, 32, 50, 100, 101, 102, 103]
+    cells = spark.createDataFrame([(n,) for n in reversed(nodes)], "node long")
+    want = {(n, nodes[(i + k) % len(nodes)]) for i, n in enumerate(nodes) for k in range(1, 6)}
+    got = [tuple(r) for r in catalogue.ring(cells).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert catalogue.ring(cells.limit(0)).isEmpty()
+    labels, edges = catalogue.neighbours(spark, SF)
+    assert edges.count() == 5 * labels.count()
