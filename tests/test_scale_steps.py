@@ -212,3 +212,36 @@ def test_each_cell_has_its_next_five_by_rank(spark):
     assert catalogue.ring(cells.limit(0)).isEmpty()
     labels, edges = catalogue.neighbours(spark, SF)
     assert edges.count() == 5 * labels.count()
+
+
+def test_each_linked_pair_pulls_once(spark, monkeypatch):
+    """The cliques of shared keys hold every pair that shares one, once; a round by cliques, in blocks, equals a round by all pairs."""
+    rng = np.random.default_rng(8)
+    seq = lambda p: None if rng.random() < p else "C%sF" % "ADE"[rng.integers(3)]
+    rows = {(seq(0.2), seq(0.4), seq(0.3), seq(0.5), "TCR") for _ in range(300)}
+    rows = [(i, a, b if a else None, c, d if c else None, t) for i, (a, b, c, d, t) in enumerate(sorted(rows, key=str)) if a or c]
+    table = spark.createDataFrame(rows, "ct long, VJ_1_junction_aa string, VJ_2_junction_aa string, VDJ_1_junction_aa string, VDJ_2_junction_aa string, receptor_type string")
+    s = ct.Setup(receptor_arms="all", dual_ir="any")
+
+    def keys(r):
+        a, b = {x for x in r[1:3] if x}, {x for x in r[3:5] if x}
+        return set(itertools.product(a, b)) if a and b else {("a", x) for x in a} | {("b", x) for x in b}
+
+    want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if keys(x) & keys(y) and bool(x[1]) == bool(y[1]) and bool(x[3]) == bool(y[3])}
+    assert {tuple(r) for r in ct.linked_pairs(table, s).collect()} == want and ct.links(table, s).count() < len(want)
+    found = ct.cliques(table, s)
+    held = {}
+    for r in found.collect():
+        held.setdefault((r.clique, r.sign), []).append(r.ct)
+    times = {}
+    for (_, sign), own in held.items():
+        for x in itertools.combinations(sorted(own), 2):
+            times[x] = times.get(x, 0) + sign
+    assert times == {x: 1 for x in want}
+    monkeypatch.setattr(layouts, "NODES", 9)
+    monkeypatch.setattr(layouts, "SMALL", 4)
+    nodes = table.select("ct", F.lit(0).cast("long").alias("component"), F.lit(1).alias("size"))
+    both = spark.createDataFrame(sorted(want), "src long, dst long")
+    show = lambda **k: {r.ct: (r.x, r.y) for r in layouts.layout(nodes, iterations=1, **k).collect()}
+    one, other = show(links_=None, cliques=found), show(links_=both)
+    assert len(one) == len(rows) and set(one) == set(other) and all(np.allclose(one[i], other[i]) for i in one)
