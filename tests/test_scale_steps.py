@@ -245,3 +245,22 @@ def test_each_linked_pair_pulls_once(spark, monkeypatch):
     show = lambda **k: {r.ct: (r.x, r.y) for r in layouts.layout(nodes, iterations=1, **k).collect()}
     one, other = show(links_=None, cliques=found), show(links_=both)
     assert len(one) == len(rows) and set(one) == set(other) and all(np.allclose(one[i], other[i]) for i in one)
+
+
+def test_one_mismatch_in_each_arm_is_a_shared_key(spark, monkeypatch):
+    """Components over shared keys, without pairs, equal those over all pairs; stop marks, empty and missing sequences included."""
+    table = _configurations(spark, 150, 3).union(spark.createDataFrame(
+        [(900, "CA*F", "V0", "", "V0", "TCR"), (901, "CAAF", "V0", "", "V0", "TCR"), (902, "C*AF", "V0", "", "V0", "TCR"), (903, "CAAF", "V0", "A", "V0", "TCR"), (904, "", "V1", None, None, "TCR")], CONFIG))
+    for genes in (False, True):
+        s = ct.Setup(metric="hamming", cutoff=1, dual_ir="primary_only", same_v_gene=genes)
+        pairs = {tuple(r)[:2] for r in ct.near_pairs(table, None, s).collect()}
+        rows = {}
+        for r in ct.near_hub_rows(table, s).collect():
+            rows.setdefault(r.hub, set()).add(r.ct)
+        assert pairs and {x for own in rows.values() for x in itertools.combinations(sorted(own), 2)} == pairs
+        low = {r.node: r.component for r in ct.connected_components(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+        got = {r.ct: r.low for r in ct.key_labels(ct.near_hub_rows(table, s)).collect()}
+        assert {k: v for k, v in got.items() if k != v or k in low} == low
+    cells = table.selectExpr("concat('c', ct) cell_id", "ct cell_ord", "true has_ir", "VJ_1_junction_aa", "VDJ_1_junction_aa", "receptor_type")
+    monkeypatch.setattr(ct, "near_pairs", None)  # no pair is made
+    assert ct.define_clonotype_clusters(cells, metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only").count() == table.select("ct").count()
