@@ -92,3 +92,34 @@ def test_resolution_and_odd_edges(spark):
     for find in (c.leiden, c.fastgreedy):
         assert labels(find(odd)) == {4: 4, 5: 4}
         assert labels(find(odd.where("src = 1"))) == {}
+
+
+def test_leiden_of_cliques(spark):
+    """Configurations within one mismatch, as cliques with signs: weights are those of the pairs; connected communities, near the best modularity."""
+    from chainweave.operators import clonotypes as ct
+
+    r = random.Random(4)
+    seq = lambda: None if r.random() < 0.1 else "C" + r.choice("ADE") + r.choice("ADEF") + "F"
+    rows = sorted({(seq(), seq(), r.choice(["TCR", "BCR"])) for _ in range(90)}, key=str)
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "ct long, VJ_1_junction_aa string, VDJ_1_junction_aa string, receptor_type string")
+    s = ct.Setup(metric="hamming", cutoff=1, dual_ir="primary_only")
+    pairs = {(x.i, x.j): 1 for x in ct.near_pairs(table, None, s).collect()}
+    cliques_, weight, held = ct.near_cliques(table, s).cache(), {}, {}
+    for x in cliques_.collect():
+        held.setdefault(x.clique, []).append((x.node, x.sign))
+    assert all(len({sign for _, sign in own}) == 1 for own in held.values())
+    for own in held.values():
+        for (a, sign), (b, _) in combinations(sorted(own), 2):
+            weight[a, b] = weight.get((a, b), 0) + sign
+    assert {k: v for k, v in weight.items() if v} == pairs and len(pairs) > 200
+    got = labels(c.leiden_of_cliques(cliques_))
+    assert got == labels(c.leiden_of_cliques(cliques_)) and set(got) == {x for e in pairs for x in e}
+    assert quality(pairs, got) >= 0.97 * quality(pairs, labels(c.leiden(frame(spark, pairs))))
+    for name in set(got.values()):
+        own, seen = {n for n in got if got[n] == name}, {name}
+        while more := {y for e in pairs for x, y in (e, e[::-1]) if x in seen and y in own} - seen:
+            seen |= more
+        assert seen == own
+    graph = c._Cliques(cliques_.selectExpr("clique", "0L part", "cast(sign as long) sign", "node", "1L n"))
+    named = graph.strengths().join(spark.createDataFrame(sorted(got.items()), "node long, label long"), "node")
+    assert c._quality(graph, named, 1.0) == pytest.approx(quality(pairs, got))
