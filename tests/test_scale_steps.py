@@ -264,3 +264,27 @@ def test_one_mismatch_in_each_arm_is_a_shared_key(spark, monkeypatch):
     cells = table.selectExpr("concat('c', ct) cell_id", "ct cell_ord", "true has_ir", "VJ_1_junction_aa", "VDJ_1_junction_aa", "receptor_type")
     monkeypatch.setattr(ct, "near_pairs", None)  # no pair is made
     assert ct.define_clonotype_clusters(cells, metric="hamming", cutoff=1, receptor_arms="all", dual_ir="primary_only").count() == table.select("ct").count()
+
+
+def test_pairs_of_any_chain_are_reported_once_without_being_dealt(spark):
+    """By keys, the same pairs and distances as by grouped pairs of chains; what is dealt is configurations, not pairs."""
+    rng = np.random.default_rng(6)
+    seq = lambda p: None if rng.random() < p else "C" + "".join(rng.choice(list("ADE"), rng.integers(1, 4))) + "F"
+    gene = lambda x: None if x is None or rng.random() < 0.1 else "V%d" % rng.integers(2)
+    rows = []
+    for i in range(120):
+        own = [seq(p) for p in (0.2, 0.3, 0.2, 0.3)]
+        rows.append((i, *[v for x in own for v in (x, gene(x))], ["TCR", "BCR", None][rng.integers(3)]))
+    names = [f"{a}_{n}" for a in ("VJ", "VDJ") for n in (1, 2)]
+    table = spark.createDataFrame(rows, "ct long, " + ", ".join(f"{c}_junction_aa string, {c}_v_call string" for c in names) + ", receptor_type string")
+    for arms, genes, square in (("VJ", False, False), ("any", True, False), ("any", False, True)):
+        s = ct.Setup(metric="hamming", cutoff=1, receptor_arms=arms, dual_ir="any", same_v_gene=genes)
+        left, right = (table, None) if square else (table, table.where("ct % 3 = 0"))
+        other = left if square else right
+        columns = {a: [f"{a}_{n}_junction_aa" for n in (1, 2)] for a in s.arms}
+        edges = ir_dist(sequences(left, columns), None if square else sequences(other, columns), "hamming", 1)
+        want = sorted(map(tuple, ct.pair_distances(ct.chain_rows(left, s), ct.chain_rows(other, s), edges, s, square).collect()))
+        got = ct.near_pairs(left, right, s)
+        assert want and {w[2] for w in want} == {0, 1} and sorted(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[:plan.index("Join")]
