@@ -123,3 +123,22 @@ def test_leiden_of_cliques(spark):
     graph = c._Cliques(cliques_.selectExpr("clique", "0L part", "cast(sign as long) sign", "node", "1L n"))
     named = graph.strengths().join(spark.createDataFrame(sorted(got.items()), "node long, label long"), "node")
     assert c._quality(graph, named, 1.0) == pytest.approx(quality(pairs, got))
+
+
+def test_fastgreedy_of_cliques(spark):
+    """From cliques of shared keys: every node with a neighbour, connected communities, a modularity near that from the pairs, and of more than one clique."""
+    from chainweave.operators import clonotypes as ct
+
+    r = random.Random(7)
+    rows = sorted({("C" + r.choice("AD") + r.choice("ADEF") + "F", "C" + r.choice("ADEF") + "F", r.choice(["TCR", "BCR"])) for _ in range(24)})
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "ct long, VJ_1_junction_aa string, VDJ_1_junction_aa string, receptor_type string")
+    s = ct.Setup(metric="hamming", cutoff=1, dual_ir="primary_only")
+    pairs = {(x.i, x.j): 1 for x in ct.near_pairs(table, None, s).collect()}
+    got = labels(c.fastgreedy_of_cliques(ct.near_cliques(table, s)))
+    assert set(got) == {x for e in pairs for x in e} and all(got[name] == name == min(n for n in got if got[n] == name) for name in set(got.values()))
+    assert quality(pairs, got) >= 0.95 * quality(pairs, labels(c.fastgreedy(frame(spark, pairs))))
+    for name in set(got.values()):
+        own, seen = {n for n in got if got[n] == name}, {name}
+        while more := {y for e in pairs for x, y in (e, e[::-1]) if x in seen and y in own} - seen:
+            seen |= more
+        assert seen == own
