@@ -288,3 +288,14 @@ def test_pairs_of_any_chain_are_reported_once_without_being_dealt(spark):
         assert want and {w[2] for w in want} == {0, 1} and sorted(map(tuple, got.collect())) == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[:plan.index("Join")]
+
+
+def test_cells_meet_reference_cells_in_all_tasks(spark):
+    """The last join keeps its number of tasks: its rows grow with the square of a configuration's cells, its bytes don't."""
+    cells = spark.createDataFrame([(f"c{i}", i, True, "TCR", f"CA{'ADEFG'[i % 5]}F", None) for i in range(60)],
+                                  "cell_id string, cell_ord long, has_ir boolean, receptor_type string, VJ_1_junction_aa string, VDJ_1_junction_aa string").withColumn("e", F.col("cell_id"))
+    ref = cells.where("cell_ord % 2 = 0")
+    found = ct.annotate_df(ct.ir_query(cells, ref, receptor_arms="all", dual_ir="primary_only"), ref, ["e"])
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted((f"c{i}", f"c{j}", f"c{j}") for i in range(60) for j in range(0, 60, 2) if i % 5 == j % 5)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
